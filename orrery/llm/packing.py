@@ -4,64 +4,90 @@ window closest to its capacity; back-tracking gives how many of each length it t
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, END = 4096, 2
 #: Documents are packed in groups of about so many by a hash; each group leaves a few windows at most that aren't full.
 GROUP_DOCS = 4096
-#: Words of which a worker remembers the ids.
-REMEMBERED = 300_000
+#: Words of which a worker remembers the ids; UTF-8 bytes of text that it encodes at once.
+REMEMBERED, AT_ONCE = 500_000, 1 << 20
+#: Lower-case Latin letters in UTF-8, composed.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Punctuation that ends a word after a letter or digit: the tokenizer parts it from the word.
+TAIL = re.compile(rb"[!#$%&*.,;:?](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!#$%&*.,;:?]*(?=[\x20\x09-\x0d]|\Z)", re.S)
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer of the `tokenizers` library that drops white space and splits at it, so that a text's ids are its words'
-    ids in turn. Words' ids are remembered; new words that are letters only go to the tokenizer together in one text, where `</w>` ends each."""
+    """Ids of whole texts by a tokenizer of the `tokenizers` library that lower-cases, drops white space and splits at it and between letters and punctuation, so that
+    a text's ids are its words' ids in turn. Words are lower-cased, parted from the punctuation that ends them, and remembered with their ids. New words of plain
+    letters go to the tokenizer many at once, where `</w>` ends each, without the steps that leave such words as they are; all others one by one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ids: dict[bytes, bytes] = {}
+        vocab = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain = sorted(w for w in new if w.isalpha())  # of bytes: ASCII letters only
-        if plain:
-            ids = self._encode(b" ".join(plain).decode())
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain):
-                self.ids.update(zip(plain, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+    def _learn(self, new: list[bytes]) -> None:
+        plain = list(filter(PLAIN.fullmatch, new))
+        rest = list(set(new).difference(plain))
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self.ids.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
             else:
-                self.ids.update((w, self._encode(w.decode()).tobytes()) for w in plain)
-        rest = sorted(new - set(plain))
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+                rest += some
+        found = self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found, strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of UTF-8 texts as little-endian unsigned 32-bit numbers."""
-        out = []
-        for text in texts:
-            words = (text or b"").split()  # at space, tab and the line ends of ASCII
-            new = set(words).difference(self.ids)
-            if new:
-                if len(self.ids) > REMEMBERED:
-                    self.ids.clear()
-                    new = set(words)
-                self._learn(new)
-            out.append(b"".join(map(self.ids.__getitem__, words)))
-        return out
+        # a special token's own text keeps its case, by which alone it is one
+        split = [TAIL.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in texts)]
+        every = set().union(*split)
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        if new := list(every.difference(self.ids)):
+            self._learn(new)
+        get = self.ids.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+@cache
+def tokens_of(path: str) -> WordTokens:
+    """One a worker process, which serves many tasks."""
+    return WordTokens(path)
+
+
+def portions(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs whose sizes add up to `most` or little more."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def cut(doc_tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -126,10 +152,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     a null text counts as empty, so each document has a piece."""
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = tokens_of(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, rows = b.slice(at, 256), []
+            for start, stop in portions([n or 0 for n in pc.binary_length(b["text"]).to_pylist()]):
+                part, rows = b.slice(start, stop - start), []
                 for doc_id, raw in zip(part["doc_id"].to_pylist(), tokens.encode(part["text"].cast(pa.binary()).to_pylist()), strict=True):
                     raw += END.to_bytes(4, "little")
                     n = len(raw) // 4
