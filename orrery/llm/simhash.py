@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import components, written
+from .common import components, small_batches, written
 
 BUDGET, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: More fingerprints than this with one value of a block are parted by their other bits.
@@ -52,6 +52,7 @@ def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs(text, ...) -> the columns `keep` and fp, the fingerprint as a long of the same 64 bits."""
+    small_batches(docs.sparkSession)
     own = docs.select(*keep, F.col("text").alias("_text"))
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
