@@ -1,0 +1,82 @@
+"""Service configuration (S15): YAML or JSON with ${VAR}, ${VAR:-default} and $VAR; only what operators use has a class."""
+
+from __future__ import annotations
+
+import os
+import re
+from dataclasses import dataclass, field, fields
+
+VARIABLE = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}|\$(\w+)")
+
+
+def expand(value, env: dict[str, str] | None = None):
+    """Variables of the environment put in, all the way down; a variable that isn't set gives its default, else nothing."""
+    env = os.environ if env is None else env
+    if isinstance(value, str):
+        return VARIABLE.sub(lambda m: env.get(m[1] or m[3], m[2] or ""), value)
+    if isinstance(value, list):
+        return [expand(v, env) for v in value]
+    return {k: expand(v, env) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def listed(value) -> list[str]:
+    """A list, or a text of comma-separated items."""
+    if value is None or value == "":
+        return []
+    items = value if isinstance(value, list) else str(value).split(",")
+    return [str(x).strip() for x in items if str(x).strip()]
+
+
+@dataclass(frozen=True)
+class RateLimit:
+    enabled: bool = True
+    requests_per_minute: int = 10
+    scope: str = "ip"
+    trust_proxy_headers: bool = False
+    trusted_proxies: list[str] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class Limits:
+    max_body_bytes: int = 8_000_000
+    max_text_chars: int = 200_000
+    max_image_bytes: int = 4_000_000
+
+
+@dataclass(frozen=True)
+class Queue:
+    job_ttl_seconds: int = 900
+    result_ttl_seconds: int = 900
+    timeout_seconds: int = 90
+    in_flight: int = 1
+
+
+@dataclass(frozen=True)
+class Config:
+    rate_limit: RateLimit = RateLimit()
+    limits: Limits = Limits()
+    queue: Queue = Queue()
+
+
+def made(kind, data: dict | None):
+    """A class from a mapping: unknown keys are passed over, lists are coerced, nested classes made."""
+    out = {}
+    for f in fields(kind):
+        if data and f.name in data and data[f.name] is not None:
+            v, default = data[f.name], getattr(kind(), f.name)
+            out[f.name] = made(type(default), v) if hasattr(default, "__dataclass_fields__") else listed(v) if isinstance(default, list) else str(v).lower() in ("1", "true", "yes", "on") if isinstance(default, bool) else type(default)(v)
+    return kind(**out)
+
+
+def load(text: str, env: dict[str, str] | None = None) -> Config:
+    import json
+
+    try:
+        data = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("the configuration is not JSON, and there is no YAML reader") from None
+        data = yaml.safe_load(text)
+    return made(Config, expand(data or {}, env))
