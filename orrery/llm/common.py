@@ -73,16 +73,16 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__orrery_at", F.monotonically_increasing_id())
     kept = written(placed, name)
-    part = F.shiftright("_at", 33).cast("int")
+    part = F.shiftright("__orrery_at", 33).cast("int")
     counts = {r["p"]: r["n"] for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
     for p in sorted(counts):
         offsets.append((p, total))
         total += counts[p]
-    start = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "_p int, _start long"))  # one row a partition
-    return kept.withColumn("_p", part).join(start, "_p").withColumn(rank, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_at", "_start")
+    start = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "__orrery_p int, __orrery_start long"))  # one row a partition
+    return kept.withColumn("__orrery_p", part).join(start, "__orrery_p").withColumn(rank, F.col("__orrery_start") + F.col("__orrery_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__orrery_p", "__orrery_at", "__orrery_start")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -125,11 +125,11 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
     own = docs.drop("lang_pred", "score")
     keep = own.columns if keep is None else keep
     kept = own.select(*keep)
-    own = own.select(*keep, F.col("text").alias("_text"))
+    own = own.select(*keep, F.col("text").alias("__orrery_text"))
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [profiles.predict(t) for t in b["_text"].to_pylist()]
+            found = [profiles.predict(t) for t in b["__orrery_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     return own.mapInArrow(batch, StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))

@@ -53,7 +53,7 @@ def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs(text, ...) -> the columns `keep` and fp, the fingerprint as a long of the same 64 bits."""
     small_batches(docs.sparkSession)
-    own = docs.select(*keep, F.col("text").alias("_text"))
+    own = docs.select(*keep, F.col("text").alias("__orrery_text"))
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, budget: int
     Equal fingerprints are one node, so copies make no pairs. A null or empty text has the fingerprint zero, linked like any other; a null doc_id counts only where a component has no other (its id is null then);
     repeated rows are kept; an empty table gives an empty one.
     """
-    keep = [c for c in keep or [] if c != "doc_id"]
+    keep = [c for c in keep or [] if c not in ("doc_id", "fp", "_fp", "fingerprint", "component_id")]
     own = written(fingerprints(docs, ["doc_id", *keep]), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = written(components(links(nodes.select("fp"), budget, hot)), "components")

@@ -79,10 +79,10 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", inline: i
     filed = index(rules, literal_counts(own.select("host", "path"), rules))
     if len(rules) <= inline:
         found = _inline(F.col("host"), F.col("path"), filed)
-        out = own.withColumn("_found", found)
+        out = own.withColumn("__orrery_found", found)
     else:
         out = _joined(own, filed)
-    return out.withColumns({"rule": F.col("_found.name"), "verdict": F.coalesce(F.col("_found.verdict"), F.lit(default))}).drop("_found")
+    return out.withColumns({"rule": F.col("__orrery_found.name"), "verdict": F.coalesce(F.col("__orrery_found.verdict"), F.lit(default))}).drop("__orrery_found")
 
 
 def _inline(host: Column, path: Column, filed: list[tuple[str, int, Rule]]) -> Column:
@@ -108,5 +108,5 @@ def _joined(own: DataFrame, filed: list[tuple[str, int, Rule]]) -> DataFrame:
     once = own.select("host", "path").distinct()
     asked = once.withColumn("token", F.explode(F.concat(tokens(F.col("host"), F.col("path")), F.array(F.lit("")))))
     fits = asked.join(rules, "token").where(F.rlike(F.concat("host", "path"), F.col("pattern")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("size", "pos", "name", "verdict")).alias("_found"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("size", "pos", "name", "verdict")).alias("__orrery_found"))
     return own.join(best, ["host", "path"], "left")
