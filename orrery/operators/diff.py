@@ -17,13 +17,12 @@ def sides(before: DataFrame, after: DataFrame, key: list[str], compare: list[str
 
     Keys are distinct on either side, as ids and edge keys are; of repeated ones one is taken.
     """
-    part = lambda df, p: df.groupBy(*key).agg(F.first(F.struct(*[F.col(c) for c in compare] or [F.lit(1).alias("_")])).alias(p))
-    b, a = part(before, "_b"), part(after, "_a")
-    on = None
-    for k in key:
-        e = b[k].eqNullSafe(a[k])
-        on = e if on is None else on & e
-    both = b.join(a, on, "full").select(*[F.coalesce(a[k], b[k]).alias(k) for k in key], "_a", "_b")
+    names = [f"_k{i}" for i in range(len(key))]
+    part = lambda df, p: df.groupBy(*[F.col(k).alias(f"{p}{n}") for k, n in zip(key, names, strict=True)]).agg(F.first(F.struct(*[F.col(c) for c in compare] or [F.lit(1).alias("_")])).alias(p))
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(f"_b{n}").eqNullSafe(F.col(f"_a{n}"))
+    both = part(before, "_b").join(part(after, "_a"), on, "full").select(*[F.coalesce(f"_a{n}", f"_b{n}").alias(k) for k, n in zip(key, names, strict=True)], "_a", "_b")
     differ = F.array_compact(F.array(*[F.when(~F.col("_a")[c].eqNullSafe(F.col("_b")[c]), F.lit(c)) for c in compare]).cast("array<string>"))
     side = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.size(differ) > 0, "changed").otherwise("same")
     return both.select(*key, side.alias("side"), F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), differ).otherwise(F.array().cast("array<string>")).alias("changes"))

@@ -91,22 +91,30 @@ def build_kb(docs: DataFrame, path: str, embed: Callable[[pd.Series], pd.Series]
     put(index.kb_meta(kept, docs).withColumns({"embedding_model": F.lit(model), "chunk_tokens": F.lit(size), "chunk_overlap": F.lit(overlap), "updated_at": F.current_timestamp()}), "meta")
 
 
+TABLES = {
+    "chunks": "source string, chunk_id string, chunk_index int, token_count int, text string, kb string",
+    "vectors": "chunk_id string, embedding array<float>, kb string",
+    "postings": "chunk_id string, term string, tf long, kb string",
+    "meta": "num_documents long, num_chunks long, bm25_avgdl double, bm25_vocab_size long, embedding_model string, chunk_tokens int, chunk_overlap int, updated_at timestamp, kb string",
+}
+
+
 def load_kb(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """The tables of some knowledge bases (all, if None); chunks and vectors meet by chunk_id."""
     keep = lambda df: df if names is None else df.where(F.col("kb").isin([check_kb_name(n) for n in names]))
-    return {t: keep(spark.read.parquet(f"{path}/{t}")) for t in ("chunks", "vectors", "postings", "meta")}
+    return {t: keep(spark.read.schema(columns).parquet(f"{path}/{t}")) for t, columns in TABLES.items()}
 
 
 def list_kbs(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue, by name."""
-    return spark.read.parquet(f"{path}/meta").orderBy("kb")
+    return spark.read.schema(TABLES["meta"]).parquet(f"{path}/meta").orderBy("kb")
 
 
 def remove_kb(spark: SparkSession, path: str, name: str) -> None:
     """K7."""
     check_kb_name(name)
     gone = False
-    for t in ("chunks", "vectors", "postings", "meta"):
+    for t in TABLES:
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{t}/kb={name}")
         gone |= p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     if not gone:
