@@ -121,7 +121,7 @@ k AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS place FROM h WHERE n
 rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM k GROUP BY 1),
 l AS (SELECT doc_id, source, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_W}'))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
-n AS (SELECT doc_id, coalesce(source, chr(0)) AS source, trim(regexp_replace({_LOW.format('line')}, '{_S}', ' ', 'g')) AS line, len(regexp_extract_all(line, '{_W}')) AS words FROM l),
+n AS (SELECT doc_id, coalesce(source, chr(0)) AS source, trim(regexp_replace(lower(line), '{_S}', ' ', 'g')) AS line, len(regexp_extract_all(line, '{_W}')) AS words FROM l),
 sk AS (SELECT doc_id, min(substr(md5(line), 1, 16)) AS sketch FROM n GROUP BY 1),
 x AS (SELECT n.*, sketch FROM n JOIN sk USING (doc_id)),
 hosts AS (SELECT source, count(DISTINCT sketch) AS docs FROM x GROUP BY 1),
