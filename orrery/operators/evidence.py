@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import strip
 
-PREFIX = "[Threat Thinker]"  # fixed value: marks findings written into a model
+PREFIX = "[Generated]"  # the default mark of findings written into a model; a parameter of model_block
 
 
 def to_nodes(findings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,9 +95,9 @@ def unique_ids(findings: DataFrame, used: DataFrame) -> DataFrame:
     return own.withColumn("new_id", F.element_at(free, n)).drop("_b", "_used")
 
 
-def model_block(new_id: str = "new_id") -> Column:
-    """a finding as a model's threat block."""
-    title = F.when(F.startswith(F.coalesce("title", F.lit("")), F.lit(PREFIX)), F.col("title")).otherwise(F.concat(F.lit(f"{PREFIX} "), F.coalesce("title", F.lit(""))))
+def model_block(new_id: str = "new_id", prefix: str = PREFIX) -> Column:
+    """a finding as a model's threat block; its title is marked unless it is already."""
+    title = F.when(F.startswith(F.coalesce("title", F.lit("")), F.lit(prefix)), F.col("title")).otherwise(F.concat(F.lit(f"{prefix} "), F.coalesce("title", F.lit(""))))
     named = F.transform("rag_sources", lambda s: F.concat(F.coalesce(F.nullif(s["source"], F.lit("")), F.lit("?")), F.lit("#"), F.coalesce(F.nullif(s["chunk_id"], F.lit("")), F.lit("?"))))
     cited = F.when(F.size("rag_sources") > 0, F.concat(F.lit("RAG Sources: "), F.array_join(named, "; ")))
     why = F.nullif(F.coalesce("why", F.lit("")), F.lit(""))

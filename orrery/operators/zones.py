@@ -103,7 +103,7 @@ def ordered_zones(members: DataFrame, zones: DataFrame) -> DataFrame:
 
 def place_nodes(points: DataFrame, rects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J1 + J2 + T7: (zones, placement of each point that some rectangle holds)."""
-    zones = rect_parents(rects)
+    zones = rect_parents(rects).persist()  # the recursive queries below read it several times
     held = points_in_rects(points, rects).withColumn("pos", F.col("zone_id"))
     return zones, ordered_zones(held, zones)
 

@@ -43,7 +43,7 @@ def test_findings_go_into_the_model(spark):
     doc = json.loads(exports.threat_dragon(texts, found(spark), g.nodes, g.edges).first()["json"])
     d = doc["detail"]["diagrams"][0]
     a, b, f = d["cells"]
-    assert [t["id"] for t in a["data"]["threats"]] == ["T1-tt"] and a["data"]["hasOpenThreats"] is True and a["data"]["threats"][0]["title"].startswith("[Threat Thinker] ")
+    assert [t["id"] for t in a["data"]["threats"]] == ["T1-tt"] and a["data"]["hasOpenThreats"] is True and a["data"]["threats"][0]["title"].startswith("[Generated] ")
     assert [t["id"] for t in b["data"]["threats"]] == ["T1"] and b["data"]["hasOpenThreats"] is False and [t["id"] for t in f["data"]["threats"]] == ["T1-tt"] and [t["id"] for t in d["threats"]] == ["T2"]
     assert "RAG Sources: s#c" in a["data"]["threats"][0]["description"]
 
