@@ -38,10 +38,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files of a written table for each core that the cluster offers, at most: shuffles of many small partitions would leave as many small files.
+FILES_PER_CORE = 4
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it: cuts the lineage, survives lost executors, has a known size."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(max(8, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
