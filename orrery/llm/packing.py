@@ -23,7 +23,7 @@ CAPACITY, END = 4096, 2
 #: Documents are packed in groups of about so many by a hash; each group leaves a few windows at most that aren't full.
 GROUP_DOCS = 4096
 #: Words of which a worker remembers the ids; UTF-8 bytes of text that it encodes at once.
-REMEMBERED, AT_ONCE = 500_000, 1 << 20
+REMEMBERED, AT_ONCE = 250_000, 1 << 20
 #: Lower-case Latin letters in UTF-8, composed.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Punctuation that ends a word after a letter or digit: the tokenizer parts it from the word.
@@ -38,28 +38,31 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ids: dict[bytes, bytes] = {}
-        vocab = self.whole.get_vocab(with_added_tokens=True)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    def _ids(self, texts: list[bytes], steps: tuple) -> list[np.ndarray]:
+        """The texts' ids with the given normaliser and first splits: one tokenizer serves for both, to save memory."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
     def _learn(self, new: list[bytes]) -> None:
         plain = list(filter(PLAIN.fullmatch, new))
         rest = list(set(new).difference(plain))
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        portions = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        for some, ids in zip(portions, self._ids([b" ".join(p) for p in portions], self.plain), strict=True):
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(some):
                 raw = ids.tobytes()
                 self.ids.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
             else:
                 rest += some
-        found = self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found, strict=True))
+        self.ids.update(zip(rest, (x.tobytes() for x in self._ids(rest, self.whole)), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of UTF-8 texts as little-endian unsigned 32-bit numbers."""
