@@ -89,15 +89,15 @@ def line_hash(x: Column) -> Column:
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT) -> DataFrame:
     """docs(text, source) -> source, frequent (array of line hashes): the lines above the limit, for each host that has any.
 
-    Distinct documents of a host are told apart by a sketch, the smallest of their line hashes, so copies and most near
-    copies of a document count once and a copied document isn't taken for boilerplate. Counting is by (host, line,
-    sketch), then by (host, line), both combined before the shuffle: a line or a host that most rows have doesn't fall
-    to one task. A line above the limit is held by a fixed share of its host's documents, so there are few.
+    Distinct documents of a host are told apart by a hash of all their distinct line hashes, so documents of the same
+    lines count once and a copied document isn't taken for boilerplate; any other line makes another document. Counting
+    is by (host, line, whole), then by (host, line), both combined before the shuffle: a line or a host that most rows
+    have doesn't fall to one task. A line above the limit is held by a fixed share of its host's documents, so there are few.
     """
     hashes = docs.select("source", line_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
-    held = written(hashes.withColumn("sketch", F.array_min("h")), "line-hashes")  # texts are read once for both counts
-    hosts = held.select("source", "sketch").distinct().groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_docs"))
-    each = held.select("source", "sketch", F.explode("h").alias("line")).distinct().groupBy("source", "line").agg(F.count("*").alias("n"))
+    held = written(hashes.withColumn("whole", F.unhex(F.md5(F.array_join(F.array_sort("h"), "")))), "line-hashes")  # texts are read once for both counts
+    hosts = held.select("source", "whole").distinct().groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_docs"))
+    each = held.select("source", "whole", F.explode("h").alias("line")).distinct().groupBy("source", "line").agg(F.count("*").alias("n"))
     above = each.where(F.col("n") >= min_docs).join(hosts, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("n") * 100 >= F.col("_docs") * min_percent)
     return above.groupBy("source").agg(F.sort_array(F.collect_set("line")).alias("frequent"))
 

@@ -1,5 +1,7 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, clashing extra columns: a defined result for each operator."""
 
+from hashlib import md5
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +162,15 @@ def test_quality_removes_lines_that_many_documents_share(spark):
     assert "subscribe" not in out.loc[1, "kept_text"] and (out.loc[200:, "removed_words"] == 0).all()
 
 
+def test_quality_counts_documents_whose_smallest_line_hash_is_shared(spark):
+    texts = [[f"text {i} holds line {k} alone" for k in range(3)] for i in range(24)]
+    rest = min(md5(x.encode()).hexdigest() for t in texts for x in t)
+    shared = next(x for x in (f"shared line {k}" for k in range(100_000)) if md5(x.encode()).hexdigest() < rest)
+    rows = [(i, "\n".join([shared, *t]), "h") for i, t in enumerate(texts)] + [(100 + i, "\n".join(["lone", *texts[0]]), "h") for i in range(30)]
+    found = quality_rules.frequent_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [(r["source"], r["frequent"]) for r in found] == [("h", [md5(shared.encode()).hexdigest()[:16]])]
+
+
 def test_simhash_edges(docs, none):
     out = simhash.near_duplicates(clash(docs, "fp", "fingerprint", "component_id").select("doc_id", "text", "fp")).toPandas()
     by = out.groupby("doc_id", dropna=False)[["fingerprint", "component_id"]].first()
