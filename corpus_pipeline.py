@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, packing, quality_rules, simhash
+from orrery.llm import language_id, mixing, packing, quality_rules, shingle_join
 from orrery.llm.common import table, written
 from orrery.llm.queries import tokenizer_path, trained
 
@@ -28,10 +28,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each group of near-duplicates (a Jaccard similarity of 0.8 or more of five-word shingles) the document with the smallest doc_id stays."""
+    return shingle_join.survivors(docs.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("quality_rules", apply_quality_rules),
-    ("simhash", drop_near_duplicates),
+    ("near_duplicates", drop_near_duplicates),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_tools, embedding_dedup, hilbert_sharding, language_id, mixing, packing, quality_rules, simhash, url_filters, warc
+from orrery.llm import chat_tools, embedding_dedup, hilbert_sharding, language_id, mixing, packing, quality_rules, shingle_join, simhash, url_filters, warc
 from orrery.llm import queries as q
 from orrery.llm.common import components, fresh_path, global_rank, written
 
@@ -284,3 +284,48 @@ def test_targets_by_hand(spark):
     t = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
     # weights 3, 1, 2, 3; the share is 1740: c, a and null fill at 20, 200 and 100, b takes the rest
     assert t == {"a": 200.0, "c": 20.0, None: 100.0, "b": 1420.0}
+
+
+def plain_survivors(rows):
+    """Indexes of rows (doc_id, text): the first by doc_id, nulls last, of each component of Jaccard similarities of 0.8 or more."""
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= len(a | sets[j]) * 4:
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return {min((k for k in range(len(rows)) if root[k] == r), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)) for r in set(root)}
+
+
+@pytest.mark.parametrize("frequent", [1, 5])
+def test_edited_copies_go_and_others_stay(spark, frequent, monkeypatch):
+    monkeypatch.setattr(shingle_join, "SAMPLE", 2)
+    monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+    rng = np.random.default_rng(5)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for i in range(12):
+        text = [f"w{i}x{k}" for k in range(int(rng.integers(30, 200)))] + passage
+        for edits in (0, 0, 1, 2, 3, 4, 6, 9, 12):
+            copy = list(text)
+            for at in rng.choice(len(copy), edits, replace=False):
+                copy[at] = f"e{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(copy[int(rng.integers(0, 6)) :])))
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    want = {rows[k][0] for k in plain_survivors(rows)}
+    found = shingle_join.survivors(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()["doc_id"].tolist()
+    assert sorted(found) == sorted(want) and 12 < len(want) < len(rows)
+    near = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = component_id").count()
+    assert near > len(want)  # three bits leave edited copies
+
+
+def test_edited_copies_are_chosen_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, "lone " + " ".join(f"d{k}" for k in range(40))), (None, "lone " + " ".join(f"d{k}" for k in range(40)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"][:2]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(1, "a0"), (2, "b0"), (3, "c0"), (None, "lo")], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
