@@ -14,6 +14,8 @@ from orrery.operators import index
 
 SUFFIXES = r"\.(pdf|html|htm|md|markdown|txt|text)$"
 KB_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+#: So many names of knowledge bases are broadcast at most; more are joined.
+FEW_BASES = 10_000
 
 
 class DocumentError(ValueError):
@@ -66,6 +68,12 @@ def token_limit(text: Column, limit: int) -> Column:
     return F.when(n > limit, F.raise_error(F.concat(F.lit("prompt has "), n.cast("string"), F.lit(f" tokens; the limit is {limit}")))).otherwise(n)
 
 
+def of_bases(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The chunks of all knowledge bases that docs name; the names are broadcast only when a count shows that they are few."""
+    names = docs.select("kb").distinct()
+    return chunks.join(F.broadcast(names) if names.count() <= FEW_BASES else names, "kb", "left_semi")
+
+
 def build_kb(docs: DataFrame, path: str, embed: Callable[[pd.Series], pd.Series], size: int = index.CHUNK_TOKENS, overlap: int = index.CHUNK_OVERLAP, model: str = "hashing") -> None:
     """docs(kb, source, stem, text) -> chunks, vectors, postings and meta, each a table partitioned by kb; a kb that exists is replaced, others stay.
 
@@ -82,7 +90,7 @@ def build_kb(docs: DataFrame, path: str, embed: Callable[[pd.Series], pd.Series]
         df.write.partitionBy("kb").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
 
     put(chunked, "chunks")
-    kept = spark.read.parquet(f"{path}/chunks").join(F.broadcast(docs.select("kb").distinct().limit(10_000)), "kb", "left_semi").select(*chunked.columns)
+    kept = of_bases(spark.read.parquet(f"{path}/chunks"), docs).select(*chunked.columns)
     if kept.isEmpty():
         raise DocumentError("no document gave a chunk")
     unique = kept.select("text").distinct().withColumn("embedding", vector("text"))

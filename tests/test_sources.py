@@ -182,3 +182,9 @@ def test_gold_and_reports(spark, tmp_path):
 def test_config():
     c = config.load('{"rate_limit": {"requests_per_minute": "${N:-7}", "trusted_proxies": "a, b", "scope": "$S"}, "queue": {"timeout_seconds": 5}, "other": 1}', {"S": "api_key"})
     assert c.rate_limit.requests_per_minute == 7 and c.rate_limit.trusted_proxies == ["a", "b"] and c.rate_limit.scope == "api_key" and c.queue.timeout_seconds == 5 and c.limits.max_text_chars == 200_000
+
+
+def test_no_knowledge_base_is_left_out_of_many(spark):
+    docs = spark.range(10_050).select(F.concat(F.lit("kb"), "id").alias("kb"))
+    chunks = docs.withColumn("chunk_id", F.col("kb")).unionByName(spark.createDataFrame([("other", "other")], "kb string, chunk_id string"))
+    assert documents.of_bases(chunks, docs).count() == 10_050
