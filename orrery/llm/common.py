@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,43 +22,87 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. On a local master, as in tests, a temporary one where it is unset; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send rows with texts to Python in batches of `rows`, where the session has Spark's default of 10,000: a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+#: UTF-8 bytes of a batch of rows that goes to Python at once: a batch is held several times over there.
+BATCH_BYTES = 2 << 20
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the batches that go to Python by their bytes, unless the session has a bound of its own. For queries, which own their session: operators leave it alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
 
 
-#: Files of a written table for each core that the cluster offers, at most: shuffles of many small partitions would leave as many small files.
-FILES_PER_CORE = 4
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (dots as double underscores) that hold for what runs inside; afterwards the session's own are back."""
+    own = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it: cuts the lineage, survives lost executors, has a known size."""
-    path = fresh_path(df.sparkSession, name)
-    df.coalesce(max(8, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to a table in the shared folder and read it: cuts the lineage, survives lost executors, has a known size. Nothing reads the shuffles of the write again, so they are deleted with it."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._orrery_path = path
+    if (held := _scratch.get()) is not None:
+        held.append(out)
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table that written() made; the caller knows that nothing reads it any more."""
-    spark, path = df.sparkSession, df._orrery_path
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that written() made; the caller knows that nothing reads them any more."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._orrery_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("_scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at its end, also after an error, but for those that are handed to what this gives: a result reads them. Such a
+    table goes with an enclosing scratch(), if there is one, and else stays in the shared folder."""
+    held: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    outer = _scratch.set(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(outer)
+        drop_written(*[t for t in held if all(t is not k for k in kept)])
+        if (above := _scratch.get()) is not None:
+            above.extend(kept)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -98,22 +145,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     combination and joins it back from a written table, so that adaptive execution can split a hub's partition.
     Loops are ignored. An empty table gives an empty result.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    state = _checksum(now)
-    while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, name)
-        low2 = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = written(small, name)
-        for old in (now, low, large, low2):
-            drop_written(old)
-        now, before = after, state
+    with scratch() as keep:
+        now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
         state = _checksum(now)
-        if state == before:
-            break
+        while state[0]:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+            large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+            low2 = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
+            small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            now, before = written(small, name), state
+            state = _checksum(now)
+            if state == before:
+                break
+        keep(now)
     low = now.groupBy("u").agg(F.min("v").alias("v"))
     return low.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(low.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

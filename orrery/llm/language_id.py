@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import small_batches
-
 #: n-grams of 1 to 3 letters; those of a profile; those of a document.
 ORDERS, PROFILE, TOP = 3, 400, 300
 #: A profile is learned from about so many documents of each language, chosen by a hash of doc_id. This is the bound of what is learned from;
@@ -121,7 +119,6 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
     or score are replaced. The whole text counts, however long. `keep` names the columns that the result
     needs besides (all, if None), so that texts don't travel back in vain.
     """
-    small_batches(docs.sparkSession)
     own = docs.drop("lang_pred", "score")
     keep = own.columns if keep is None else keep
     kept = own.select(*keep)

@@ -17,8 +17,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 CAPACITY, END = 4096, 2
 #: Documents are packed in groups of about so many by a hash; each group leaves a few windows at most that aren't full.
 GROUP_DOCS = 4096
@@ -171,7 +169,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 columns = [pa.array(doc, b.schema.field("doc_id").type), *(pa.array(x, pa.int64()) for x in (n, start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "doc_tokens", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(batch, f"doc_id {kind}, doc_tokens long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

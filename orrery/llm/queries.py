@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tools, embedding_dedup, hilbert_sharding, language_id, mixing, packing, quality_rules, simhash, url_filters, warc
-from .common import fresh_path, table, written
+from .common import fresh_path, small_batches, table, written
 
 RULES = [
     url_filters.Rule.prefix("com/", "allow"),
@@ -45,6 +45,7 @@ def trained(docs: DataFrame) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn(trained(docs))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
@@ -64,6 +65,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -77,6 +79,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     parts = written(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False), "pieces")
     return packing.pack(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

@@ -1,12 +1,14 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash, completed by an exact join: the documents that are linked by a Jaccard similarity of 0.8 or more of five-word shingles.
 
-A prefix-filtered join: with shingles in one order for all texts, two sets of similarity T or more share one of the first
-n - ceil(T n) + 1 of either. Any order is right; here shingles that a sample shows to be frequent come last, so that
-passages of many texts make few candidates. Every candidate is checked on whole sets.
+The trie join of fingerprints (simhash) finds copies with few edits. It can't find all pairs of that similarity: they differ in
+about 10 of 64 bits, and at such a budget nearly all pairs of nodes stay open. So what it finds is verified on whole sets, and the
+pairs that it can't reach are found by a prefix-filtered join: with shingles in one order for all texts, two similar sets share
+one of the first n - ceil(0.8 n) + 1 of either. Any order is right; here shingles that a sample shows to be frequent come last, so
+that passages of many texts make few candidates.
 
-Two rounds keep groups of near copies from making all their pairs: first each text meets one leader a shingle and range of
-sizes; then only texts of different components so far meet each other. Sets take several bytes a word, so they are made
-anew from the texts when they are needed, and only those of candidates are written.
+The first round links each text by its fingerprint and with the nearest of one leader a shingle and range of sizes; the second
+compares only texts of different components so far, and of a shingle's texts none of its largest component with one another. So a group of near copies
+doesn't make all its pairs. Sets take several bytes a word: only those of candidates are written.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import components, drop_written, small_batches, written
+from . import simhash
+from .common import components, scratch, written
 
 WORDS, SEED = 5, 42
 #: Similar: 5 * |both| >= 4 * |either|, a Jaccard similarity of 0.8.
@@ -28,39 +32,45 @@ OVER, UNDER = 4, 5
 SAMPLE, FREQUENT, HOT = 50, 5, 50_000
 #: Bits of a set's parity sketch: sets differ in as many shingles at least as their sketches in bits.
 PARITY = 512
-#: So many ids of candidates are broadcast at most; more are joined.
+#: So many keys are broadcast at most, 16 bytes each; more are joined.
 FEW = 200_000
 
 
-def shingles(text: bytes | None, n: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """The sorted distinct hashes of the word n-grams, A-Z in lower case; one for a text of n words or fewer."""
-    words = (text or b"").lower().split()
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return np.array([digest(joined, seed)], np.uint64).view(np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - n + 1].tolist()
-    stops = (ends[n - 1 :] - 1).tolist()
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64).view(np.int64))
+def shingles(text: bytes | None, n: int = WORDS) -> tuple[np.ndarray, int]:
+    """The sorted distinct hashes of the word n-grams (one of the empty text for a text without words), and the fingerprint over all of them."""
+    hashes = simhash.shingle_hashes(text, n, SEED)
+    distinct = np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+    return np.sort(distinct.view(np.int64)), simhash.fingerprint_of(hashes)
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """docs(text, ...) -> all its columns, sig (a hash of the set), parity (its parity sketch) and grams (the set, sorted)."""
-    small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+def parity(grams: np.ndarray) -> np.ndarray:
+    """A bit of each residue of hashes, set if an odd number of shingles have it."""
+    return np.packbits((np.bincount(grams & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
 
-    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
-            sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig), _lists([parity(x) for x in sets]), _lists(sets)], [*b.schema.names, "sig", "parity", "grams"])
 
-    return docs.mapInArrow(batch, docs.select("*", F.lit(0).cast("long").alias("sig"), *[F.array(F.lit(0).cast("long")).alias(c) for c in ("parity", "grams")]).schema)
+def signature(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
-    """A bit of each residue of hashes, set if an odd number of shingles have it."""
-    return np.packbits((np.bincount(grams & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+class Order:
+    """The one order of shingles: those of `hot`, the most frequent first, come last, and the most frequent last of all; the others by their hash."""
+
+    def __init__(self, hot: list[int]):
+        late = np.array(hot, np.int64)
+        place = np.argsort(late)
+        self.known, self.rank = late[place], len(late) - place
+
+    def prefix(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
+        """The first n - ceil(0.8 n) + 1 shingles, and how many of them aren't hot."""
+        size = len(grams) - -(-OVER * len(grams) // UNDER) + 1
+        if not len(self.known):
+            return grams[:size], size
+        place = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        hot = self.known[place] == grams
+        cold = grams[~hot][:size]
+        if len(cold) == size:
+            return cold, size
+        return np.concatenate([cold, grams[hot][np.argsort(self.rank[place[hot]])]])[:size], len(cold)
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -68,91 +78,149 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
 
-def prefixes(sets: DataFrame, hot: list[int]) -> DataFrame:
-    """sets(sig, grams) -> (sig, n, gram, low), a row for each shingle of the prefix; low: it is in the shorter prefix that does for the smaller of two sets."""
-    late = np.array(hot, np.int64)
-    order = np.argsort(late)
-    known = late[order]
+def sketched(docs: DataFrame, keep: list[str], order: Order) -> DataFrame:
+    """docs(text, ...) -> the columns `keep`, sig (a hash of the set), fp, n (its size), parity, prefix (its first shingles in the order) and cold (how many of them aren't hot)."""
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, sizes = [], []
-            for s in b["grams"]:
-                g = s.values.to_numpy(zero_copy_only=False)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                    rank = np.where(known[place] == g, len(late) - order[place], 0)  # hot[0] is the most frequent: last of all
-                    g = g[np.lexsort((g, rank))]
-                out.append(g[: len(g) - -(-OVER * len(g) // UNDER) + 1])
-                sizes.append(len(g))
-            n = np.array(sizes, np.int64)
-            low = n - -(-2 * OVER * n // (OVER + UNDER)) + 1
-            many = np.array([len(g) for g in out], np.int64)
-            within = np.concatenate([*(np.arange(k) for k in many), np.zeros(0, np.int64)])
-            gram = np.concatenate([*out, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["sig"].to_numpy(), many)), pa.array(np.repeat(n, many)), pa.array(gram), pa.array(within < np.repeat(low, many))], ["sig", "n", "gram", "low"])
-
-    return sets.select("sig", "grams").mapInArrow(batch, "sig long, n long, gram long, low boolean")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Most others go by sizes and sketches (sig, n, parity), which can't tell similar sets apart wrongly: those differ in (n1 + n2) / 9 shingles at most."""
+            rows = []
+            for t in b.column(b.num_columns - 1).cast(pa.binary()):
+                grams, fp = shingles(t.as_py())
+                first, cold = order.prefix(grams)
+                rows.append((signature(grams), np.uint64(fp).view(np.int64), len(grams), cold, parity(grams), first))
+            sig, fp, n, cold, bits, first = zip(*rows, strict=True) if rows else ([],) * 6
+            longs = [pa.array(x, pa.int64()) for x in (sig, fp, n, cold)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, _lists(list(bits)), _lists(list(first))], [*b.schema.names[:-1], *NEW])
+
+    own = docs.select(*keep, F.col("text").alias("__orrery_text"))
+    schema = StructType(own.schema.fields[:-1])
+    for name in NEW:
+        schema = schema.add(name, ArrayType(LongType()) if name in ("parity", "prefix") else LongType())
+    return own.mapInArrow(batch, schema)
+
+
+NEW = ["sig", "fp", "n", "cold", "parity", "prefix"]
+
+
+def whole_sets(docs: DataFrame) -> DataFrame:
+    """docs(text, ...) -> sig, grams (the set, sorted)."""
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py())[0] for t in b["text"].cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _lists(sets)], ["sig", "grams"])
+
+    return docs.select("text").mapInArrow(batch, "sig long, grams array<long>")
+
+
+def frequent(docs: DataFrame) -> Order:
+    """The order of shingles, from a sample of the distinct sets chosen by a hash of the text. At most HOT of them come to the driver."""
+    with scratch():
+        some = written(whole_sets(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)), "sampled-sets")
+        seen = some.dropDuplicates(["sig"]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        return Order([r["gram"] for r in seen.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "gram").limit(HOT).collect()])
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def is_row(left: str = "doc_id", right: str = "__orrery_id") -> Column:
+    return F.col(left).eqNullSafe(F.col(right)) & (F.col("__orrery_row") == F.col("__orrery_key"))
+
+
+def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be similar by their sizes and sketches (sig, n, parity), and differ: in how many bits of the sketch. Similar sets differ in (n1 + n2) / 9 shingles at most, so none is lost."""
     one, two = (sketches.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
     differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    close = (F.greatest("na", "nb") * OVER <= F.least("na", "nb") * UNDER) & (differ * (OVER + UNDER) <= F.col("na") + F.col("nb"))
-    pairs = written(pairs.join(one, "a").join(two, "b").where(close).select("a", "b"), "candidates")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidate-ids")
-    needed = F.broadcast(ids) if ids.count() <= FEW else ids
-    grams = written(sets.join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "candidate-sets")
-    left = grams.select(F.col("sig").alias("a"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("sig").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    found = pairs.join(left, "a").join(right, "b").where(both * (OVER + UNDER) >= (F.size("ga") + F.size("gb")) * OVER)
-    found = written(found.select("a", "b"), "links")
-    for t in (pairs, ids, grams):
-        drop_written(t)
-    return found
-
-
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """docs(text), which is read several times, and the sketches of its sets -> pairs (a, b) of similar sets that span the components of all similar pairs."""
-    sets = shingled(docs.select("text")).select("sig", "grams")
-    some = shingled(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).dropDuplicates(["sig"])
-    seen = some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    hot = [r["gram"] for r in seen.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "gram").limit(HOT).collect()]
-    every = written(prefixes(sets, hot), "prefixes")
-    # a shingle in the prefixes of one set only makes no pair
-    shared = written(every.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("gram"), "shared")
-    held = written(every.join(shared, "gram").distinct(), "shared-prefixes")
-    drop_written(every)
-
-    near = F.col("n1") * OVER <= F.col("n") * UNDER  # n1 >= n
-    ranged = held.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(UNDER / OVER))))
-    leader = ranged.groupBy("gram", "range").agg(F.min(F.struct("n", "sig")).alias("first"), F.count("*").alias("k")).where("k > 1").select("gram", "range", F.col("first.sig").alias("a"))
-    first = ranged.select("gram", "range", F.col("sig").alias("b")).join(written(leader, "leaders"), ["gram", "range"]).where("a <> b").select("a", "b").distinct()
-    found = verified(first, sets, sketches)
-    part = written(components(found), "parts").select(F.col("node").alias("sig"), "component")
+    near = (F.greatest("na", "nb") * OVER <= F.least("na", "nb") * UNDER) & (F.col("differ") * (OVER + UNDER) <= F.col("na") + F.col("nb"))
+    return pairs.join(one, "a").join(two, "b").withColumn("differ", differ).where(near).select("a", "b", "differ")
 
+
+def verified(pairs: DataFrame, keyed: DataFrame, best: DataFrame) -> DataFrame:
+    """The written table of the pairs (a, b) whose whole sets are similar. Only their sets are made and moved."""
+    with scratch() as keep:
+        pairs = written(pairs, "candidates")
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidate-ids")
+        rows = written(best.join(few(ids), "sig", "left_semi").select(F.col("row.doc_id").alias("__orrery_id"), F.col("row.__orrery_row").alias("__orrery_key")), "candidate-rows")
+        grams = written(whole_sets(keyed.join(few(rows), is_row(), "left_semi")), "candidate-sets")
+        left = grams.select(F.col("sig").alias("a"), F.col("grams").alias("ga"))
+        right = grams.select(F.col("sig").alias("b"), F.col("grams").alias("gb"))
+        both = F.size(F.array_intersect("ga", "gb"))
+        found = pairs.join(right, "b").join(left, "a").where(both * (OVER + UNDER) >= (F.size("ga") + F.size("gb")) * OVER)
+        return keep(written(found.select("a", "b"), "links"))
+
+
+def held_prefixes(own: DataFrame, best: DataFrame) -> DataFrame:
+    """(gram, sig, n, at): the prefixes of the distinct sets, without the shingles that only one of them has there; at: the place, from 0.
+
+    Shingles known to be frequent are shared by the sample; the others' rows meet by shingle, and there are few of each.
+    """
+    rows = own.join(best.select("sig", "row"), ["sig", "row"], "left_semi").select("sig", "n", "cold", F.posexplode("prefix").alias("at", "gram"))
+    hot = F.col("at") >= F.col("cold")
+    place = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long"))  # one long, as these rows are the bulk of what moves
+    rows = rows.select("gram", "sig", place.alias("place"), F.when(hot, F.xxhash64("gram", "sig")).otherwise(F.col("gram")).alias("meet"), hot.alias("hot"))
+    meet = Window.partitionBy("meet")
+    shared = rows.withColumns({"lo": F.min("sig").over(meet), "hi": F.max("sig").over(meet)}).where("hot or lo <> hi")
+    return shared.select("gram", "sig", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"))
+
+
+def first_pairs(held: DataFrame, best: DataFrame) -> DataFrame:
+    """Candidates (a, b) that are likely to span most components: by fingerprints, and of the leaders of a set's shingles and range of sizes the nearest."""
+    ranged = held.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(UNDER / OVER))))
+    leader = ranged.groupBy("gram", "range").agg(F.min("sig").alias("a"), F.count("*").alias("k")).where("k > 1").select("gram", "range", "a")
+    leader = written(leader, "leaders")
+    led = ranged.select("gram", "range", F.col("sig").alias("b")).join(leader, ["gram", "range"]).where("a <> b").select("a", "b").distinct()
+    nearest = close(written(led, "led"), best).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
+    by_fp = written(best.groupBy("fp").agg(F.min("sig").alias("s")), "fingerprints")
+    edges = written(simhash.links(by_fp.select("fp")), "fingerprint-links")
+    one, two = (by_fp.select(F.col("fp").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    near = edges.join(one, "a").join(two, "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    equal = best.select("fp", F.col("sig").alias("b")).join(by_fp, "fp").where("b <> s").select(F.col("s").alias("a"), "b")
+    return nearest.unionByName(close(near.unionByName(equal), best).select("a", "b")).distinct()
+
+
+def other_pairs(held: DataFrame, part: DataFrame, best: DataFrame) -> DataFrame:
+    """All candidates (a, b) of different components: sets that share a shingle of their prefixes, at places that leave enough for both.
+
+    Of similar sets, at the first shingle that they share no more than 1 + min(what follows in either) are shared, and that must reach 4 / 9 of both sizes. Of a
+    shingle's sets only those outside its largest component are held against all others.
+    """
     own = written(held.join(part, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component"), "parted")
-    mixed = written(own.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram"), "mixed")
-    own = written(own.join(mixed, "gram"), "mixed-prefixes")
-    other = own.select("gram", F.col("sig").alias("b"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-    after = (F.col("n1") > F.col("n")) | ((F.col("n1") == F.col("n")) & (F.col("b") > F.col("sig")))
-    second = own.where("low").join(other, "gram").where((F.col("c") != F.col("c1")) & after & near).select(F.col("sig").alias("a"), "b").distinct()
-    return found.unionByName(verified(second, sets, sketches))
+    sizes = own.groupBy("gram", "c").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("gram", F.col("most.c").alias("main"))
+    own = written(own.join(written(main, "mixed"), "gram"), "mixed-prefixes")
+    a = own.where("c <> main").select("gram", *[F.col(x).alias(f"{x}_a") for x in ("sig", "n", "at", "c")])
+    b = own.select("gram", *[F.col(x).alias(f"{x}_b") for x in ("sig", "n", "at", "c")])
+    fits = (F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) * (OVER + UNDER) >= (F.col("n_a") + F.col("n_b")) * OVER) & (F.greatest("n_a", "n_b") * OVER <= F.least("n_a", "n_b") * UNDER)
+    met = a.join(b, "gram").where((F.col("c_a") != F.col("c_b")) & fits)
+    met = met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
+    return close(written(met, "met"), best).select("a", "b")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...), which is read several times -> one row of each component of similar texts: that of the smallest doc_id (nulls last).
+    """docs(doc_id, text, ...), which is read several times -> one row of each component of similar texts: that of the smallest doc_id (nulls last), of repeated ids the one with the smallest hash.
 
-    Rows are told apart by all their columns and not by doc_id alone, so repeated and null ids do no harm.
+    Rows are told apart by all their columns and not by doc_id alone, so repeated and null ids do no harm; of rows that are equal throughout one counts. Null texts and
+    those without words are alike: one of them stays. Very long texts count whole. An empty table gives an empty one; other columns stay as they are.
     """
     keyed = docs.withColumn("__orrery_row", F.xxhash64(*docs.columns))
-    own = written(shingled(keyed).select("sig", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__orrery_row").alias("row"), F.size("grams").cast("long").alias("n"), "parity"), "shingled")
-    best = written(own.groupBy("sig").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.first("parity").alias("parity")), "best")
-    found = written(components(links(docs, best.select("sig", "n", "parity"))), "components")
-    group = F.coalesce("component", "sig")
-    kept = best.join(found, F.col("sig") == F.col("node"), "left").groupBy(group.alias("c")).agg(F.min("row").alias("row"))
-    kept = written(kept.select(F.col("row.doc_id").alias("__orrery_id"), F.col("row.__orrery_row").alias("__orrery_key")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__orrery_id")) & (F.col("__orrery_row") == F.col("__orrery_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__orrery_row"]).select(docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__orrery_row").alias("row")
+    key = [F.col("row.doc_id").alias("__orrery_id"), F.col("row.__orrery_row").alias("__orrery_key")]
+    with scratch() as keep:
+        own = written(sketched(keyed.select(row, "text"), ["row"], frequent(docs)), "sketches")
+        again = keep(written(own.groupBy("row").count().where("count > 1").select(*key), "repeated"))
+        if not again.isEmpty():
+            some = few(again)
+            keyed = keyed.join(some, is_row(), "left_anti").unionByName(keyed.join(some, is_row(), "left_semi").dropDuplicates(["doc_id", "__orrery_row"]))
+        best = written(own.groupBy("sig").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("parity").alias("parity")), "best")
+        held = written(held_prefixes(own, best), "prefixes")
+        found = verified(first_pairs(held, best), keyed, best)
+        part = written(components(found), "parts").select(F.col("node").alias("sig"), "component")
+        more = verified(other_pairs(held, part, best), keyed, best)
+        part = written(components(found.unionByName(more)), "parts")
+        named = written(own.select("sig", "row").join(part, F.col("sig") == F.col("node"), "left").select("row", F.coalesce("component", "sig").alias("c")), "named")
+        first = named.groupBy("c").agg(F.min("row").alias("first"))
+        gone = keep(written(named.join(first, "c").where(F.col("row") != F.col("first")).select(*key).distinct(), "gone"))
+    return keyed.join(few(gone), is_row(), "left_anti").select(docs.columns)

@@ -11,6 +11,7 @@ the bits. A value that too many fingerprints have is parted further by its remai
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import components, small_batches, written
+from .common import components, scratch, written
 
 BUDGET, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: More fingerprints than this with one value of a block are parted by their other bits.
@@ -31,33 +32,49 @@ FRONTIER = 1 << 20
 CHUNK = 1 << 17
 
 
-def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half the hashes of the word n-grams, repeats included; 0 for a text without words."""
-    words = (text or b"").lower().split()  # of bytes: A-Z only, and the white space of ASCII
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return digest(joined, seed)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - n + 1].tolist()
-    stops = (ends[n - 1 :] - 1).tolist()
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+#: Bytes of a text that are split into words at once, a little more up to the next white space: bounds what one very long text needs.
+AT_ONCE = 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def shingle_hashes(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the word n-grams in turn, repeats included, A-Z in lower case; of the whole sequence for fewer than n words; none for a text without words."""
+    text, digest, found, carry, at = text or b"", xxhash.xxh64_intdigest, [], [], 0
+    while at < len(text):
+        gap = GAP.search(text, at + AT_ONCE)
+        stop = gap.start() if gap else len(text)
+        words = carry + text[at:stop].lower().split()  # of bytes: A-Z only, and the white space of ASCII
+        at, carry = stop, words[max(0, len(words) - n + 1) :]
+        if len(words) >= n:
+            joined = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            starts = np.concatenate(([0], ends[:-1]))[: len(words) - n + 1].tolist()
+            found.append(np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    if found:
+        return np.concatenate(found)
+    return np.array([digest(b" ".join(carry), seed)] if carry else [], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; 0 where there are none."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in range(BITS) if 2 * counts[i] > len(hashes))
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
+    return fingerprint_of(shingle_hashes(text, n, seed))
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], n: int = SHINGLE) -> DataFrame:
     """docs(text, ...) -> the columns `keep` and fp, the fingerprint as a long of the same 64 bits."""
-    small_batches(docs.sparkSession)
     own = docs.select(*keep, F.col("text").alias("__orrery_text"))
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, n) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.int64())], [*b.schema.names[:-1], "fp"])
 
     return own.mapInArrow(batch, StructType(own.schema.fields[:-1]).add("fp", LongType()))
@@ -248,15 +265,15 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, budget: int
     links of fingerprints.
 
     Equal fingerprints are one node, so copies make no pairs. A null or empty text has the fingerprint zero, linked like any other; a null doc_id counts only where a component has no other (its id is null then);
-    repeated rows are kept; an empty table gives an empty one.
+    repeated rows are kept; whole texts count, however long; an empty table gives an empty one.
     """
     keep = [c for c in keep or [] if c not in ("doc_id", "fp", "_fp", "fingerprint", "component_id")]
-    own = written(fingerprints(docs, ["doc_id", *keep]), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    found = written(components(links(nodes.select("fp"), budget, hot)), "components")
-    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    named = written(named, "named")
-    least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    by_fp = written(named.select("fp", "c").join(written(least, "least"), "c").select(F.col("fp").alias("_fp"), "component_id"), "by-fingerprint")
+    with scratch() as hold:
+        own = hold(written(fingerprints(docs, ["doc_id", *keep]), "fingerprints"))
+        nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+        found = written(components(links(nodes.select("fp"), budget, hot)), "components")
+        named = written(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("c")), "named")
+        least = written(named.groupBy("c").agg(F.min("first").alias("component_id")), "least")
+        by_fp = hold(written(named.select("fp", "c").join(least, "c").select(F.col("fp").alias("_fp"), "component_id"), "by-fingerprint"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).cast(StringType())
     return own.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", *keep, hexed.alias("fingerprint"), "component_id")
