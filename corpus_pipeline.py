@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import language_id, mixing, packing, quality_rules, shingle_join
-from orrery.llm.common import table, written
+from orrery.llm.common import scratch, small_batches, table, written
 from orrery.llm.queries import tokenizer_path, trained
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,6 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in none of the languages: those without letters and those that resemble no profile."""
+    small_batches(spark)
     found = language_id.identify(docs, language_id.learn(trained(docs)), COLUMNS)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE)).select(COLUMNS)
 
@@ -28,7 +29,9 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (a Jaccard similarity of 0.8 or more of five-word shingles) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (a Jaccard similarity of 0.8 or more of five-word shingles) the document with the smallest doc_id stays: SimHash links,
+    verified, and an exact join for the pairs that they can't reach."""
+    small_batches(spark)
     return shingle_join.survivors(docs.select(COLUMNS))
 
 
@@ -39,13 +42,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in the sequences."""
+    small_batches(spark)
     return packing.pack(written(packing.pieces(docs, tokenizer_path(), with_ids=False), "pieces"))
 
 
 STAGES = [
     ("language_id", identify_language),
     ("quality_rules", apply_quality_rules),
-    ("near_duplicates", drop_near_duplicates),
+    ("simhash", drop_near_duplicates),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
@@ -55,8 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
