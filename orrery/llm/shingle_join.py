@@ -30,7 +30,7 @@ WORDS, SEED = 5, 42
 OVER, UNDER = 4, 5
 #: Sets of one in SAMPLE show which shingles are frequent: in FREQUENT of them; the HOT most frequent come last. These only order shingles.
 SAMPLE, FREQUENT, HOT = 50, 5, 50_000
-#: Bits of a set's parity sketch: sets differ in as many shingles at least as their sketches in bits.
+#: Bits of a set's parity sketch, at least; it has two to four a shingle. Sets differ in as many shingles at least as their sketches in bits.
 PARITY = 512
 #: So many keys are broadcast at most, 16 bytes each; more are joined.
 FEW = 200_000
@@ -44,8 +44,9 @@ def shingles(text: bytes | None, n: int = WORDS) -> tuple[np.ndarray, int]:
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """A bit of each residue of hashes, set if an odd number of shingles have it."""
-    return np.packbits((np.bincount(grams & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+    """A bit of each residue of hashes, set if an odd number of shingles have it. Of twice the bits, the halves' XOR is the smaller sketch."""
+    bits = max(PARITY, 1 << (2 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount(grams & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def signature(grams: np.ndarray) -> int:
@@ -133,9 +134,12 @@ def is_row(left: str = "doc_id", right: str = "__orrery_id") -> Column:
 def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) that can be similar by their sizes and sketches (sig, n, parity), and differ: in how many bits of the sketch. Similar sets differ in (n1 + n2) / 9 shingles at most, so none is lost."""
     one, two = (sketches.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = (F.greatest("na", "nb") * OVER <= F.least("na", "nb") * UNDER) & (F.col("differ") * (OVER + UNDER) <= F.col("na") + F.col("nb"))
-    return pairs.join(one, "a").join(two, "b").withColumn("differ", differ).where(near).select("a", "b", "differ")
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    size = F.least(F.size("pa"), F.size("pb"))  # sizes so near have sketches of one size, or one of twice the other's
+    folded = lambda p: F.when(F.size(p) == size, F.col(p)).otherwise(xor(F.slice(p, F.lit(1), size), F.slice(p, size + 1, size)))
+    differ = F.aggregate(xor(folded("pa"), folded("pb")), F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    sized = pairs.join(one, "a").join(two, "b").where(F.greatest("na", "nb") * OVER <= F.least("na", "nb") * UNDER)
+    return sized.withColumn("differ", differ).where(F.col("differ") * (OVER + UNDER) <= F.col("na") + F.col("nb")).select("a", "b", "differ")
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, best: DataFrame) -> DataFrame:
