@@ -22,8 +22,12 @@ from .common import written
 CRLF, END = "\r\n", "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
-#: No archive has more bytes than this, so that one fits in a reader's memory.
+#: No archive has more bytes than this, so that one fits in a reader's memory; but one longer record is an archive alone.
 ARCHIVE_BYTES = 64 << 20
+#: Pages up to these bytes are written together, those beyond the last by the longest: a long page then doesn't make the others' archives small.
+SIZE_CLASSES = (16 << 10, 1 << 20)
+#: A gzip member that inflates to more than this is quarantined.
+MEMBER_BYTES = 256 << 20
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,15 +52,23 @@ class Gap:
 
 @dataclass
 class _Failed(Exception):
+    """`end`: where the record ends by its header, length and end mark, if these agree and another record, or nothing, follows."""
+
     reason: str
+    end: int | None = None
 
 
 @dataclass
 class Salvage:
-    """Iterates over the valid records of an archive held in memory; afterwards `gaps` has what was passed over."""
+    """Iterates over the valid records of an archive held in memory; afterwards `gaps` has what was passed over.
+
+    A record whose frame is whole but whose content fails its digest is passed over whole: a record that its payload quotes isn't one of the archive's.
+    Where the frame is broken the next place that may begin a record is tried.
+    """
 
     data: bytes
     gaps: list[Gap] = field(default_factory=list)
+    member_bytes: int = MEMBER_BYTES
 
     def __iter__(self) -> Iterator[Record]:
         at, bad, reason = 0, None, ""
@@ -66,7 +78,7 @@ class Salvage:
             except _Failed as e:
                 if bad is None:
                     bad, reason = at, e.reason
-                at = self._next(at + 1)
+                at = self._next(at + 1) if e.end is None else e.end
                 continue
             if bad is not None:
                 self.gaps.append(Gap(bad, at - bad, reason))
@@ -84,18 +96,28 @@ class Salvage:
     def _gzip(self, at: int) -> Record:
         unpack = zlib.decompressobj(wbits=31)
         try:
-            data = unpack.decompress(memoryview(self.data)[at:])
+            data = unpack.decompress(memoryview(self.data)[at:], self.member_bytes + 1)
         except zlib.error as e:
             raise _Failed(f"gzip: {e}") from None
+        if len(data) > self.member_bytes:
+            raise _Failed(f"gzip: member of more than {self.member_bytes} bytes")
         if not unpack.eof:
             raise _Failed("gzip: cut short")
-        record = self._plain(data, 0, at)
+        end = len(self.data) - len(unpack.unused_data)
+        try:
+            record = self._plain(data, 0, at)
+        except _Failed as e:
+            raise _Failed(e.reason, end) from None
         if record.length != len(data):
-            raise _Failed("gzip: member holds more than a record")
-        return Record(at, len(self.data) - at - len(unpack.unused_data), record.headers, record.block)
+            raise _Failed("gzip: member holds more than a record", end)
+        return Record(at, end - at, record.headers, record.block)
 
     @staticmethod
-    def _plain(data: bytes, at: int, offset: int) -> Record:
+    def _begins(data: bytes, at: int) -> bool:
+        return at == len(data) or data.startswith(MAGIC, at) or VERSION.match(data, at) is not None
+
+    @classmethod
+    def _plain(cls, data: bytes, at: int, offset: int) -> Record:
         if not VERSION.match(data, at):
             raise _Failed("no version line")
         head = data.find(b"\r\n\r\n", at)
@@ -114,11 +136,27 @@ class Salvage:
         if data[end : end + 4] != b"\r\n\r\n":
             raise _Failed("record end not where its length says")
         block = data[start:end]
-        if (told := headers.get("warc-block-digest")) and told != f"sha256:{hashlib.sha256(block).hexdigest()}":
-            raise _Failed("block digest differs")
+        if wrong := differs(headers, block):
+            raise _Failed(wrong, end + 4 if cls._begins(data, end + 4) else None)
         return Record(offset, end + 4 - at, headers, block)
 
 
+def differs(headers: dict[str, str], block: bytes) -> str | None:
+    """What a record's digests and lengths say that its block doesn't bear out. Only SHA-256 in hex is compared; a response's payload is its block, unless that is an HTTP message."""
+    own: str | None = None
+    names = ["warc-block-digest"]
+    if headers.get("warc-type") == "response" and not headers.get("content-type", "").startswith("application/http"):
+        names.append("warc-payload-digest")
+        if (told := headers.get("payload-length")) is not None and told != str(len(block)):
+            return "payload length differs"
+    for name in names:
+        if (told := headers.get(name, "")).startswith("sha256:"):
+            own = own or hashlib.sha256(block).hexdigest()
+            if told.removeprefix("sha256:").lower() != own:
+                return f"{name.removeprefix('warc-').replace('-', ' ')} differs"
+    return None
+
+
 def member(record: bytes) -> bytes:
     """A record as a gzip member of its own."""
     return gzip.compress(record, mtime=0)
@@ -128,8 +166,8 @@ def classified(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
 
     Of the records with one payload of at least min_revisit bytes, that with the smallest page_id is a response and the others revisit it;
-    among rows that repeat the smallest page_id, all are responses. A null html is an empty payload; a null page_id sorts last and, alone in its group, is
-    a response. Only payloads that occur twice go to the join, and only as digests; they are a written table, which the
+    among rows that repeat the smallest page_id, all are responses. A null html is an empty payload, a null url an empty one; very long pages are records like others; a null page_id sorts last and, alone in its group, is
+    a response. Other columns are left out. Only payloads that occur twice go to the join, and only as digests; they are a written table, which the
     planner sends to all tasks when it is small and joins with split partitions when not.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -163,26 +201,41 @@ def record_text():
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write classified pages as WARC files. A record ends with two blank lines, which is the writer's line separator, so the files go through
-    Spark's own committer to any store it knows. An archive holds so many records that even the longest together stay below archive_bytes."""
-    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    most = max(1, archive_bytes // (longest + 2048))
-    pages.select(record_text().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+def sizes(pages: DataFrame) -> DataFrame:
+    """payload_bytes of pages(html), as classified() has them, without its join."""
+    return pages.select(F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("payload_bytes"))
+
+
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, classes: tuple[int, ...] = SIZE_CLASSES, known: DataFrame | None = None) -> None:
+    """Write classified pages as WARC files under path, a folder for each class of sizes that occurs. A record ends with two blank lines, which is the writer's line separator, so the files go through
+    Spark's own committer to any store it knows. An archive holds so many records of its class that even the longest together stay below archive_bytes.
+    `known` are the pages' sizes(), if they are cheaper to read than pages."""
+    size = F.col("payload_bytes")
+    own = F.lit(len(classes))
+    for k in reversed(range(len(classes))):
+        own = F.when(size <= classes[k], F.lit(k)).otherwise(own)
+    found = (pages if known is None else known).groupBy(own.alias("k")).agg(F.max(size).alias("longest")).collect()  # one row a class
+    if not found:
+        pages.select(record_text().alias("value")).write.text(f"{path}/0")
+    for r in found:
+        text = pages.where(own == r["k"]).select(record_text().alias("value"))
+        text.write.option("lineSep", END).option("maxRecordsPerFile", max(1, archive_bytes // (r["longest"] + 2048))).text(f"{path}/{r['k']}")
 
 
 FOUND = "archive string, offset long, length long, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, html string, reason string"
 
 
-def read_archives(spark: SparkSession, path: str, with_html: bool = True) -> DataFrame:
-    """Salvage all archives under path: one row a record, and one of record_type `gap` with its reason for each quarantined gap. A response whose
-    payload doesn't match its digest fails its check. html is null for revisits and, unless asked for, for all."""
+def read_archives(spark: SparkSession, path: str, with_html: bool = True, gaps: str = "rows", member_bytes: int = MEMBER_BYTES) -> DataFrame:
+    """Salvage all archives under path, at any depth: one row a record, and one of record_type `gap` with its reason for each quarantined gap (gaps="raise": an error instead). A record that fails its
+    digests or lengths is quarantined. html is null for revisits and, unless asked for, for all. Repeated records are rows of their own; very long ones are read whole, in the memory of one task; a folder without archives gives no rows."""
+    if gaps not in ("rows", "raise"):
+        raise ValueError("gaps are rows or raise")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (x.split() for x in FOUND.split(", "))])
         for b in batches:
             for k in range(b.num_rows):
-                archive, salvage, rows = b["path"][k].as_py(), Salvage(b["content"][k].as_py()), []
+                archive, salvage, rows = b["path"][k].as_py(), Salvage(b["content"][k].as_py(), member_bytes=member_bytes), []
                 for r in salvage:
                     h, digest = r.headers, r.headers.get("warc-payload-digest", "").removeprefix("sha256:")
                     html = r.block.decode("utf-8", "replace") if with_html and h.get("warc-type") == "response" else None
@@ -194,8 +247,12 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = True) -> Dat
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInArrow(read, FOUND)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    out = files.select("path", "content").mapInArrow(read, FOUND)
+    if gaps == "rows":
+        return out
+    why = F.concat_ws(" ", F.lit("damaged archive"), "archive", "offset", "reason")
+    return out.withColumn("record_type", F.when(F.col("record_type") == "gap", F.raise_error(why).cast("string")).otherwise(F.col("record_type")))
 
 
 def _urn(value: str | None) -> str | None:
