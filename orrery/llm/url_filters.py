@@ -7,6 +7,7 @@ candidate rules and only those run their expressions. The longest rule that fits
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -71,7 +72,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", inline: i
     """Add host, path, rule (null where none fits) and verdict to pages(url, ...).
 
     Where several rules fit, the one with the longest name decides, then the first in `rules`. Null URLs, URLs without
-    `://` and empty hosts fit only rules that match empty text; repeated rows are each judged; an empty table gives an
+    `://` and empty hosts fit only rules that match empty text; very long URLs are judged whole; repeated rows are each judged; an empty table gives an
     empty table; columns named host, path, rule or verdict are replaced, any others stay.
     """
     host, path = host_path(F.col("url"))
@@ -85,26 +86,27 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", inline: i
     return out.withColumns({"rule": F.col("__orrery_found.name"), "verdict": F.coalesce(F.col("__orrery_found.verdict"), F.lit(default))}).drop("__orrery_found")
 
 
+FOUND = "size int, pos int, name string, verdict string"
+
+
 def _inline(host: Column, path: Column, filed: list[tuple[str, int, Rule]]) -> Column:
-    by: dict[str, list[tuple[int, Rule]]] = {}
+    """The index as a literal map from token to rules: a URL's tokens fetch its candidates, and only those run their expressions."""
+    by: dict[str, list[dict]] = {}
     for t, k, r in filed:
-        by.setdefault(t, []).append((k, r))
-    best = F.lit(None).cast("struct<size:int,pos:int,name:string,verdict:string>")
+        by.setdefault(t, []).append({"size": len(r.name), "pos": -k, "name": r.name, "verdict": r.verdict, "pattern": r.pattern})
     if not by:
-        return best
-    have, text = F.concat(tokens(host, path), F.array(F.lit(""))), F.concat(host, path)
-    fits = [
-        F.when(F.array_contains(have, t) & F.rlike(text, F.lit(r.pattern)), F.struct(F.lit(len(r.name)).alias("size"), F.lit(-k).alias("pos"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict")))
-        for t, group in by.items()
-        for k, r in group
-    ]
-    return F.array_max(F.array(*fits)) if fits else best
+        return F.lit(None).cast(f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>")
+    index = F.from_json(F.lit(json.dumps(by)), f"map<string,array<struct<{FOUND.replace(' ', ':').replace(',:', ',')},pattern:string>>>")
+    fetched = F.flatten(F.array_compact(F.transform(F.concat(tokens(host, path), F.array(F.lit(""))), lambda t: F.try_element_at(index, t))))
+    text = F.concat(host, path)
+    fits = F.filter(fetched, lambda c: F.rlike(text, c["pattern"]))
+    return F.array_max(F.transform(fits, lambda c: F.struct(*[c[n.split(" ")[0]].alias(n.split(" ")[0]) for n in FOUND.split(", ")])))
 
 
 def _joined(own: DataFrame, filed: list[tuple[str, int, Rule]]) -> DataFrame:
     """Judge each distinct (host, path) once: its tokens fetch candidate rules by a join on the token."""
     spark = own.sparkSession
-    rules = spark.createDataFrame([(t, len(r.name), -k, r.name, r.verdict, r.pattern) for t, k, r in filed], "token string, size int, pos int, name string, verdict string, pattern string")
+    rules = spark.createDataFrame([(t, len(r.name), -k, r.name, r.verdict, r.pattern) for t, k, r in filed], f"token string, {FOUND}, pattern string")
     once = own.select("host", "path").distinct()
     asked = once.withColumn("token", F.explode(F.concat(tokens(F.col("host"), F.col("path")), F.array(F.lit("")))))
     fits = asked.join(rules, "token").where(F.rlike(F.concat("host", "path"), F.col("pattern")))
