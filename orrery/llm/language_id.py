@@ -6,12 +6,13 @@ sum over the document's n-grams of how far out of place each is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -46,8 +47,27 @@ def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:top]]
 
 
+#: Characters of a text that are counted at once, up to the next of BREAK: bounds what one very long text needs.
+AT_ONCE = 1 << 20
+BREAK = re.compile(r"[\s,;!?()\u3001\u3002\uff01\uff0c\uff1f]")
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a whole text, sorted, and how often each occurs."""
+    if len(text) <= AT_ONCE:
+        return np.unique(gram_codes(text), return_counts=True)
+    held, at = ([], []), 0
+    while at < len(text):
+        cut = BREAK.search(text, at + AT_ONCE)
+        stop = cut.start() if cut else len(text)
+        codes, counts = np.unique(gram_codes(text[at:stop]), return_counts=True)
+        held = tuple([x] for x in _added([*held[0], codes], [*held[1], counts]))
+        at = stop
+    return held[0][0], held[1][0]
+
+
 def document_profile(text: str | None, top: int = TOP) -> np.ndarray:
-    return ranked(*np.unique(gram_codes(text or ""), return_counts=True), top)
+    return ranked(*gram_counts(text or ""), top)
 
 
 class Profiles:
@@ -79,8 +99,8 @@ class Profiles:
 
 def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) -> Profiles:
     """Profiles from docs(doc_id, text, lang) whose lang isn't null. About learn_docs documents of each language are learned from, chosen by
-    a hash of doc_id and all of them where there are fewer; their n-grams are counted by partition, then summed. One row an n-gram of this bounded sample
-    comes to the driver."""
+    a hash of doc_id and all of them where there are fewer; their n-grams are counted by partition, then summed and ranked; only the profiles
+    come to the driver."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     share = {r["lang"]: min(1.0, learn_docs / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
@@ -92,7 +112,7 @@ def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) ->
         total: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                codes, counts = np.unique(gram_codes(text), return_counts=True)
+                codes, counts = gram_counts(text)
                 held = total.setdefault(lang, ([], []))
                 held[0].append(codes)
                 held[1].append(counts)
@@ -102,9 +122,12 @@ def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) ->
             codes, counts = _added(*held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "code", "n"])
 
-    summed = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    by = {lang: g.sort_values("code") for lang, g in summed.groupby("lang")}
-    return Profiles({lang: ranked(g["code"].to_numpy(), g["n"].to_numpy(), size) for lang, g in by.items()}, size)
+    summed = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    best = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= size)
+    by: dict[str, list[int]] = {}
+    for r in best.orderBy("lang", "r").collect():
+        by.setdefault(r["lang"], []).append(r["code"])
+    return Profiles({lang: np.array(codes, np.int64) for lang, codes in by.items()}, size)
 
 
 def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tools, embedding_dedup, hilbert_sharding, language_id, mixing, packing, quality_rules, simhash, url_filters, warc
-from .common import fresh_path, small_batches, table, written
+from .common import fresh_path, scratch, small_batches, table, written
 
 RULES = [
     url_filters.Rule.prefix("com/", "allow"),
@@ -31,7 +31,7 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     utf8 = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     own = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(utf8).cast("long").alias("text_crc32"), "source", "lang", "n_chars")
-    out = hilbert_sharding.assign(own, ["source", "lang", "n_chars"])
+    out = hilbert_sharding.assign(written(own, "shard-rows"), ["source", "lang", "n_chars"])  # without texts, which are read once
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
@@ -54,8 +54,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
-    warc.write_archives(warc.classified(table(spark, sf_dir, "pages")), path)
-    found = warc.read_archives(spark, path, with_html=False).where("record_type <> 'gap'")
+    pages = table(spark, sf_dir, "pages")
+    with scratch():
+        warc.write_archives(warc.classified(pages), path, known=warc.sizes(pages))
+    found = warc.read_archives(spark, path, with_html=False, gaps="raise")
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
@@ -125,10 +127,10 @@ rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM k GROUP BY 1),
 l AS (SELECT doc_id, source, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_W}'))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
 n AS (SELECT doc_id, coalesce(source, chr(0)) AS source, trim(regexp_replace(lower(line), '{_S}', ' ', 'g')) AS line, len(regexp_extract_all(line, '{_W}')) AS words FROM l),
-sk AS (SELECT doc_id, min(substr(md5(line), 1, 16)) AS sketch FROM n GROUP BY 1),
-x AS (SELECT n.*, sketch FROM n JOIN sk USING (doc_id)),
-hosts AS (SELECT source, count(DISTINCT sketch) AS docs FROM x GROUP BY 1),
-above AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT sketch) AS c FROM x GROUP BY 1, 2) JOIN hosts USING (source) WHERE c >= 20 AND c * 100 >= docs * 2),
+t AS (SELECT doc_id, list_sort(list(DISTINCT line)) AS all_lines FROM n GROUP BY 1),
+x AS (SELECT n.*, all_lines FROM n JOIN t USING (doc_id)),
+hosts AS (SELECT source, count(DISTINCT all_lines) AS docs FROM x GROUP BY 1),
+above AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT all_lines) AS c FROM x GROUP BY 1, 2) JOIN hosts USING (source) WHERE c >= 20 AND c * 100 >= docs * 2),
 gone AS (SELECT doc_id, sum(words)::BIGINT AS removed_words FROM n JOIN above USING (source, line) GROUP BY 1),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_S}', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
@@ -139,18 +141,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m"""
 
 OP7_SQL = """
-WITH c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+WITH RECURSIVE c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
-cc AS (SELECT conv_id, call_id, min((turn, text)) AS c, count(*) AS n_calls, bool_or(turn >= 2) AS has FROM c GROUP BY 1, 2),
+cc AS (SELECT conv_id, call_id, turn, min(text) AS text, count(*) AS n_calls, CASE WHEN conv_id % 5 = 1 OR conv_id % 5 = 2 AND turn < 2 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS dep FROM c GROUP BY 1, 2, 3),
 rr AS (SELECT conv_id, call_id, min(content) AS content, count(*) AS n_results FROM r GROUP BY 1, 2),
-k AS (SELECT cc.*, has AND NOT EXISTS (SELECT 1 FROM cc o WHERE o.conv_id = cc.conv_id AND o.call_id = cc.conv_id || '-' || (cc.c[1] - 2)) AS unknown FROM cc)
+k AS (SELECT a.*, o.turn AS known FROM cc a LEFT JOIN cc o ON o.conv_id = a.conv_id AND o.turn = a.dep),
+tangled AS (SELECT DISTINCT conv_id FROM k WHERE known >= turn),
+lv(conv_id, turn, place) AS (SELECT conv_id, turn, 0 FROM k WHERE known IS NULL UNION ALL SELECT k.conv_id, k.turn, lv.place + 1 FROM lv JOIN k ON k.conv_id = lv.conv_id AND k.known = lv.turn),
+p AS (SELECT k.*, CASE WHEN t.conv_id IS NULL THEN k.turn ELSE lv.place END AS place FROM k LEFT JOIN tangled t ON t.conv_id = k.conv_id LEFT JOIN lv ON lv.conv_id = k.conv_id AND lv.turn = k.turn)
 SELECT conv_id, call_id, CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results, c[1]::BIGINT AS place,
-  n_calls IS NOT NULL AND c[2] IS NOT NULL AND NOT unknown AS valid,
-  '{"arguments":' || CASE WHEN n_calls IS NULL THEN 'null' WHEN c[2] IS NULL THEN '{"turn":' || c[1] || '}' ELSE '{"prompt":' || to_json(c[2])::VARCHAR || ',"turn":' || c[1] || '}' END
+  coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results, place::BIGINT AS place,
+  n_calls IS NOT NULL AND text IS NOT NULL AND (dep IS NULL OR known IS NOT NULL) AND place IS NOT NULL AS valid,
+  '{"arguments":' || CASE WHEN n_calls IS NULL THEN 'null' WHEN text IS NULL THEN '{"turn":' || turn || '}' ELSE '{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '}' END
     || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN n_calls IS NULL THEN 'null' ELSE '"answer"' END
     || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
-FROM k FULL JOIN rr USING (conv_id, call_id)"""
+FROM p FULL JOIN rr USING (conv_id, call_id)"""
 
 OP8_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),

@@ -68,6 +68,49 @@ def test_sharding_edges(docs, none):
     assert len(wide) == len(ROWS)
 
 
+def test_text_dimensions_count_whole(spark):
+    rows = [(i, f"https://www.host-of-many-letters{i % 20}", i % 4, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang long, n long").withColumn("lang", F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("lang") + 1).cast("int")))
+    cells = hilbert_sharding.quantise(df, ["source", "lang", "n"]).select("source", "lang", "n", "__orrery_cell").toPandas()
+    by = {c: cells.groupby(c)["__orrery_cell"].agg(lambda x, k=k: {int(v[k]) for v in x}) for k, c in enumerate(("source", "lang"))}
+    assert all(len(x) == 1 for c in by.values() for x in c) and len({min(x) for x in by["source"]}) == 20 and sorted(min(x) for x in by["lang"])[-1] >= 24
+    assert cells.sort_values("n")["__orrery_cell"].map(lambda v: v[2]).is_monotonic_increasing and cells["__orrery_cell"].map(lambda v: v[2]).nunique() >= 30
+
+
+@pytest.mark.parametrize("bits", [2, 5, 6])
+def test_order_equals_a_plain_curve(spark, bits):
+    """The order against a curve walked by rotating and reflecting quadrants, which is another way to the same curve."""
+
+    def walked(x, y, side):
+        d, s = 0, side // 2
+        while s:
+            rx, ry = int(x & s > 0), int(y & s > 0)
+            d += s * s * ((3 * rx) ^ ry)
+            if not ry:
+                if rx:
+                    x, y = side - 1 - x, side - 1 - y
+                x, y = y, x
+            s //= 2
+        return d
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(500)], "doc_id long, a double, b double")
+    out = hilbert_sharding.assign(df, ["a", "b"], shards=8, bits=bits).toPandas().sort_values(["shard", "slot"])
+    cells = hilbert_sharding.quantise(df, ["a", "b"], bits).toPandas().set_index("doc_id")["__orrery_cell"]
+    one = [walked(int(cells[i][0]), int(cells[i][1]), 1 << bits) for i in out["doc_id"]]
+    other = [walked(int(cells[i][1]), int(cells[i][0]), 1 << bits) for i in out["doc_id"]]
+    assert one == sorted(one) or other == sorted(other)
+
+
+def test_a_filter_reads_few_shards(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+    out = hilbert_sharding.assign(df, ["source", "lang", "n_chars"], shards=64).toPandas()
+    boxes = out.groupby("shard").agg({"source": set, "lang": set, "n_chars": ["min", "max"]})
+    hits = lambda c, v: sum(v in s for s in boxes[(c, "set")])
+    by_source, by_lang = (np.mean([hits(c, v) for v in out[c].dropna().unique()]) / 64 for c in ("source", "lang"))
+    assert by_source < 0.5 and by_lang < 0.6, (by_source, by_lang)
+
+
 def test_shards_are_written(spark, docs):
     path = fresh_path(spark, "shards")
     hilbert_sharding.write_shards(hilbert_sharding.assign(docs, ["source", "n_chars"], shards=2), path)
@@ -87,6 +130,26 @@ def test_url_filters_edges(spark):
         assert url_filters.judge(pages.limit(0), q.RULES, inline=inline).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 64, 65, 400])
+def test_url_index_equals_all_rules_tried(spark, n):
+    import re
+
+    rng = np.random.default_rng(n)
+    words = [f"w{k}" for k in range(40)]
+    rules = [url_filters.Rule.prefix(f"{words[rng.integers(40)]}.com/{words[rng.integers(40)]}/", ["allow", "block"][k % 2]) for k in range(n - 2)]
+    rules += [url_filters.Rule("any", "block", r"/w1\b.*w2\b", ("w1", "w2")), url_filters.Rule("bare", "block", r"secret\d", ())]
+    urls = [f"http://{words[rng.integers(40)]}.{words[rng.integers(40)]}.com/{words[rng.integers(40)]}/{words[rng.integers(40)]}{'secret1' if i % 50 == 0 else ''}" for i in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = []
+    for u in urls:
+        text = u.removeprefix("http://")
+        fits = [(len(r.name), -k, r.name, r.verdict) for k, r in enumerate(rules) if re.search(r.pattern, text)]
+        want.append(max(fits)[2:] if fits else (None, "allow"))
+    for inline in (0, 64, 1000):
+        assert [(r["rule"], r["verdict"]) for r in url_filters.judge(pages, rules, inline=inline).orderBy("page_id").collect()] == want
+    assert any(w[0] for w in want)
+
+
 def test_url_rules_of_any_pattern(spark):
     rules = [url_filters.Rule("ads", "block", r"/ads/\d+", ("ads",)), url_filters.Rule("any", "block", r"secret", ())]
     pages = spark.createDataFrame([(1, "http://a.b/ads/12"), (2, "http://a.b/ads/x"), (3, "http://a.b/my-secret")], "page_id long, url string")
@@ -102,6 +165,49 @@ def test_language_id_edges(docs, none):
     assert language_id.Profiles({}).predict("word") == ("und", 0.0)
 
 
+def plain_profile(texts, top):
+    """The most frequent n-grams of words between single spaces, ties by length and characters."""
+    from collections import Counter
+
+    grams = Counter()
+    for t in texts:
+        for word in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            s = f" {word} "
+            grams.update(word)
+            grams.update(s[i : i + 2] for i in range(len(s) - 1))
+            grams.update(s[i : i + 3] for i in range(len(s) - 2))
+    return sorted(grams, key=lambda g: (-grams[g], len(g), g))[:top]
+
+
+def test_language_id_equals_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    profiles = {x: {g: k for k, g in enumerate(plain_profile([r["text"] for r in rows if r["lang"] == x], 400))} for x in {r["lang"] for r in rows} - {None}}
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.learn(docs), ["doc_id"]).collect()}
+    for r in rows:
+        own = plain_profile([r["text"] or ""], 300)
+        far = {x: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert found[r["doc_id"]] == ((best, pytest.approx(max(0, 1 - far[best] / (400 * len(own))))) if own else ("und", 0.0))
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "Ὀδυσσεὺς, der Maß (l'été) 漢字、仮名 ΣΑΣ naïve " * 50
+    want = language_id.gram_counts(text)
+    monkeypatch.setattr(language_id, "AT_ONCE", 17)
+    got = language_id.gram_counts(text)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_shingles_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = " ".join(f"Word{k}" for k in range(500)).encode() + b" tail" + b"x" * 100
+    for t in (text, b"", b" \n ", b"a b", b"a b c", text + b" "):
+        monkeypatch.setattr(simhash, "AT_ONCE", 1 << 20)
+        want = simhash.shingle_hashes(t, 3)
+        monkeypatch.setattr(simhash, "AT_ONCE", 13)
+        assert (simhash.shingle_hashes(t, 3) == want).all() and len(want) == max(1 if t.split() else 0, len(t.split()) - 2)
+
+
 def test_rank_order_distance():
     codes = lambda t: np.array([ord(c) for c in t])
     p = language_id.Profiles({"x": codes("abc"), "y": codes("cba")}, size=3)
@@ -129,6 +235,57 @@ def record(body: bytes, kind="response") -> bytes:
     return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
+def test_salvage_takes_no_record_that_a_damaged_one_quotes():
+    quoting = record(b"<pre>" + record(b"FAKE" * 30) + b"</pre>")
+    data = record(b"first" * 20) + quoting.replace(b"</pre>", b"</prE>") + record(b"third" * 20)
+    s = warc.Salvage(data)
+    assert [r.block for r in s] == [b"first" * 20, b"third" * 20] and [(g.offset, g.length, g.reason) for g in s.gaps] == [(len(record(b"first" * 20)), len(quoting), "block digest differs")]
+    zipped = warc.Salvage(warc.member(quoting.replace(b"</pre>", b"</prE>")) + warc.member(record(b"third" * 20)))
+    assert [r.block for r in zipped] == [b"third" * 20] and len(zipped.gaps) == 1
+    longer = record(b"a" * 50).replace(b"Content-Length: 50", b"Content-Length: 51") + record(b"b" * 50)  # a broken frame is searched for records
+    assert [r.block for r in warc.Salvage(longer)] == [b"b" * 50]
+
+
+def test_salvage_bounds_members_and_checks_payloads():
+    big = warc.Salvage(warc.member(record(b"0" * 100_000)) + warc.member(record(b"x")), member_bytes=10_000)
+    assert [r.block for r in big] == [b"x"] and "more than 10000 bytes" in big.gaps[0].reason
+    head = b"WARC/1.0\r\nWARC-Type: response\r\n%sContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    right = b"ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    fine = [head % x for x in (b"", b"WARC-Payload-Digest: sha1:AAAA\r\n", b"WARC-Payload-Digest: sha256:" + right + b"\r\n", b"Payload-Length: 3\r\n", b"Content-Type: application/http\r\nWARC-Payload-Digest: sha256:00\r\n")]
+    assert all(len(list(warc.Salvage(x))) == 1 for x in fine)
+    for bad in (b"WARC-Payload-Digest: sha256:00\r\n", b"Payload-Length: 4\r\n", b"WARC-Block-Digest: sha256:00\r\n"):
+        s = warc.Salvage(head % bad + record(b"x"))
+        assert [r.block for r in s] == [b"x"] and s.gaps[0].length == len(head % bad)
+
+
+def test_damaged_archives_are_read_on(spark, tmp_path):
+    import glob
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>page {i}</p>" * 20, "more") for i in range(60)] + [(60, "http://b", LONG, "more")], "page_id long, url string, html string, uri string")
+    path = tmp_path / "warc"
+    warc.write_archives(warc.classified(pages).coalesce(1), f"file://{path}", classes=(1000, 10_000))
+    assert sorted(p.name for p in path.iterdir()) == ["0", "2"]
+    (file,) = glob.glob(f"{path}/0/part-*")
+    data = bytearray(open(file, "rb").read())
+    places = [m.start() for m in warc.VERSION.finditer(bytes(data))]
+    data[places[10] + 4] ^= 1  # the version line of record 10
+    data[places[20] - 30] ^= 1  # the payload of record 19
+    del data[places[40] - 50 :]  # cut within record 39
+    (path / "0" / "damaged.warc").write_bytes(bytes(data))
+    out = warc.read_archives(spark, f"file://{path}").toPandas()
+    hurt = out[out["archive"].str.endswith("damaged.warc")]
+    rows = hurt[hurt["record_type"] != "gap"]
+    whole = out[~out["archive"].str.endswith("damaged.warc")]
+    assert sorted(whole["record_id"].astype(int)) == list(range(61)) and len(rows) == 37 and rows["html"].notna().all()
+    order = whole[whole["archive"].str.contains("/0/")].sort_values("offset")["record_id"].tolist()
+    assert rows.sort_values("offset")["record_id"].tolist() == [r for k, r in enumerate(order[:39]) if k not in (10, 19)]
+    gaps = hurt[hurt["record_type"] == "gap"].sort_values("offset")
+    assert gaps["offset"].tolist() == [places[10], places[19], places[39]] and gaps["length"].tolist() == [places[11] - places[10], places[20] - places[19], len(data) - places[39]]
+    assert gaps["reason"].str.contains("version|digest|length|end").all()
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.read_archives(spark, f"file://{path}", gaps="raise").select("record_type").collect()
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_salvage_goes_on_after_damage(zipped):
     parts = [record(b"first" * 20), record(b"second" * 20), record(b"third" * 20)]
@@ -205,8 +362,10 @@ def test_embedding_edges(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_embedding_tiles_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+@pytest.mark.parametrize(("tile", "dense"), [(16, 8), (16, 1000), (4096, 8), (1, 1000)])
+def test_embedding_tiles_equal_brute_force(spark, monkeypatch, tile, dense):
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "DENSE", dense)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((12, 24)).repeat(12, axis=0) + 0.12 * rng.standard_normal((144, 24))
     df = spark.createDataFrame([(i, [float(a) for a in r], i % 2) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
@@ -224,7 +383,7 @@ CALLS = "conv_id long, call_id string, pos long, name string, arguments string,
 
 
 def test_tool_calls_edges(spark):
-    tool = chat_tools.Tool("f", (("x", "integer", True), ("s", "string", False), ("l", "array", False)))
+    tool = chat_tools.Tool.of("f", {"type": "object", "properties": {"x": {"type": "integer"}, "s": {"type": "string"}, "l": {"type": "array"}}, "required": ["x"], "additionalProperties": False})
     calls = spark.createDataFrame([(1, "a", 0, "f", '{"s":"é\\n","x":1}', []), (1, "b", 1, "f", '{"x":"1"}', ["a"]), (1, "b", 2, "f", '{"x":2}', []), (1, "c", 3, "g", "{}", ["zz"]), (1, "d", 4, "f", "no json", None), (1, "n", 5, None, None, []),
                                    (2, "p", 0, "f", '{"x":1,"y":[]}', ["q"]), (2, "q", 1, "f", '{"x":1.5}', []), (3, "r", 0, "f", '{"x":1}', ["s"]), (3, "s", 1, "f", '{"x":1}', ["r"]), (None, "x", 0, "f", "{}", []), (4, None, 0, "f", "{}", [])], CALLS)
     results = spark.createDataFrame([(1, "a", 9, "ok"), (1, "a", 8, None), (1, "o", 1, "lost"), (None, "a", 1, "x")], "conv_id long, call_id string, pos long, content string")
@@ -239,6 +398,48 @@ def test_tool_calls_edges(spark):
     assert chat_tools.link(calls.limit(0), results.limit(0), [tool]).count() == 0
 
 
+def test_tool_schemas_nest(spark):
+    schema = {"type": "object", "required": ["to", "tags"], "properties": {
+        "to": {"type": "object", "required": ["city"], "properties": {"city": {"type": "string", "enum": ["Oslo", "Rome"]}, "zip": {"type": ["string", "null"]}}, "additionalProperties": False},
+        "tags": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "number"}}}}, "mode": {"enum": [1, "a", None]}}}
+    cases = {
+        '{"to":{"city":"Oslo","zip":null},"tags":[{"n":1.5},{}],"more":1}': [], '{"to":{"city":"Bonn","x":1},"tags":[{"n":"1"},3,{"n":"2"}]}': ["to.city is none of its values", "unexpected to.x", "tags[].n is not number", "tags[] is not object"],
+        '{"to":[],"mode":2}': ["to is not object", "missing tags", "mode is none of its values"], '{"to":{"zip":5},"tags":"x","mode":null}': ["missing to.city", "to.zip is not string or null", "tags is not array"], "[1]": ["arguments are not an object"],
+    }
+    df = spark.createDataFrame([(a,) for a in cases], "a string").select("a", chat_tools.errors(F.lit("f"), F.col("a"), [chat_tools.Tool.of("f", schema)]).alias("e"))
+    assert {r["a"]: sorted(r["e"]) for r in df.collect()} == {a: sorted(e) for a, e in cases.items()}
+
+
+def plain_places(calls):
+    """Levels by conversation and call, of calls (conv_id, call_id, pos, after)."""
+    out = {}
+    for conv in {c[0] for c in calls}:
+        own = {c[1]: c for c in calls if c[0] == conv}
+        deps = {i: {d for d in c[3] or [] if d in own} for i, c in own.items()}
+        if all(own[d][2] < own[i][2] for i, ds in deps.items() for d in ds):
+            out |= {(conv, i): c[2] for i, c in own.items()}
+            continue
+        level = {}
+        while new := {i: max((level[d] + 1 for d in ds), default=0) for i, ds in deps.items() if i not in level and ds <= level.keys()}:
+            level |= new
+        out |= {(conv, i): n for i, n in level.items()}
+    return out
+
+
+@pytest.mark.parametrize("in_a_row", [0, 50])
+def test_places_equal_a_plain_sort(spark, in_a_row):
+    rng = np.random.default_rng(2)
+    rows = [(1, f"c{i}", i, [f"c{i + 1}"]) for i in range(300)]  # a chain forwards
+    rows += [(2, f"c{i}", i, [f"c{(i + 1) % 7}"]) for i in range(7)] + [(2, "behind", 9, ["c3"]), (2, "free", 10, None)]  # a ring
+    rows += [(c, f"c{i}", i, [f"c{k}" for k in rng.choice(30, int(rng.integers(0, 3)), replace=False) if int(k) != i]) for c in (3, 4, 5) for i in range(30)]
+    order = [int(x) for x in rng.permutation(40)]
+    rows += [(6, f"c{i}", i, [f"c{order[k]}" for k in rng.choice(place, min(place, 3), replace=False)] if place else []) for place, i in enumerate(order)]
+    rows += [(7, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(5)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, pos long, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["place"] for r in chat_tools.places(calls, in_a_row).collect()}
+    assert got == plain_places(rows) and len(got) > 350
+
+
 def test_packing_fills_windows_best():
     assert packing.fill([3, 5, 7], {3: 4, 5: 1, 7: 1}, 12) in ({7: 1, 5: 1}, {3: 4})
     assert packing.fill([4], {4: 2}, 11) == {4: 2} and packing.fill([], {}, 5) == {} and packing.fill([9], {9: 1}, 5) == {}
