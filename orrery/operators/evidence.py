@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.text import strip
+from orrery.functions.text import let, strip
 
 PREFIX = "[Generated]"  # the default mark of findings written into a model; a parameter of model_block
 
@@ -85,14 +85,28 @@ def to_cells(findings: DataFrame, nodes: DataFrame, edges: DataFrame, cells: Dat
 
 
 def unique_ids(findings: DataFrame, used: DataFrame) -> DataFrame:
-    """Adds new_id to findings(graph_id, pos, id): the id if no cell has it yet, else with -tt, then -tt-1 on; earlier findings go first. used(graph_id, id)."""
-    base = F.coalesce(F.nullif("id", F.lit("")), F.lit("TT-threat"))
-    taken = used.groupBy("graph_id").agg(F.collect_set("id").alias("_used"))
-    own = findings.withColumn("_b", base).join(taken, "graph_id", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<string>")))
-    n = F.row_number().over(Window.partitionBy("graph_id", "_b").orderBy("pos"))
-    names = F.concat(F.array(F.col("_b"), F.concat("_b", F.lit("-tt"))), F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.concat("_b", F.lit("-tt-"), k.cast("string"))))
-    free = F.filter(names, lambda x: ~F.array_contains("_used", x))
-    return own.withColumn("new_id", F.element_at(free, n)).drop("_b", "_used")
+    """Adds new_id to findings(graph_id, pos, id): the id if nothing has it yet, else with -tt, then -tt-1 to -tt-1000; earlier findings go first, and their new ids count as used. used(graph_id, id).
+
+    A graph's findings, which an answer bounds, are folded in their order; of the used ids only those that one of them could get are gathered. An id without a free suffix is an error.
+    """
+    own = findings.withColumn("_b", F.coalesce(F.nullif("id", F.lit("")), F.lit("TT-threat")))
+    stems = F.array_distinct(F.array("id", F.regexp_replace("id", "-tt$", ""), F.regexp_replace("id", "-tt-[0-9]+$", "")))
+    near = used.select("graph_id", "id", F.explode(stems).alias("_b")).join(own.select("graph_id", "_b").distinct(), ["graph_id", "_b"], "left_semi")
+    near = near.groupBy("graph_id").agg(F.collect_set("id").alias("_used"))
+    row = F.struct(*[F.col(c) for c in [*findings.columns, "_b"] if c != "graph_id"])
+    lists = own.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("pos", "_b", row.alias("row")))).alias("rows")).join(near, "graph_id", "left")
+
+    def add(acc: Column, x: Column) -> Column:
+        b, taken = x["_b"], acc["used"]
+        numbered = F.filter(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.concat(b, F.lit("-tt-"), k.cast("string"))), lambda n: ~F.array_contains(taken, n))
+        tt = F.concat(b, F.lit("-tt"))
+        new = F.when(~F.array_contains(taken, b), b).when(~F.array_contains(taken, tt), tt).otherwise(F.coalesce(F.get(numbered, F.lit(0)), F.raise_error(F.concat(F.lit("no free id for "), b)).cast("string")))
+        return let(new, lambda n: F.struct(F.array_append(taken, n).alias("used"), F.array_append(acc["new"], n).alias("new")))
+
+    none = F.array().cast("array<string>")
+    folded = F.aggregate("rows", F.struct(F.coalesce("_used", none).alias("used"), none.alias("new")), add)
+    each = lists.select("graph_id", F.explode(F.arrays_zip(F.col("rows.row").alias("row"), folded["new"].alias("new_id"))).alias("z"))
+    return each.select("graph_id", "z.row.*", "z.new_id").select(*findings.columns, "new_id")
 
 
 def model_block(new_id: str = "new_id", prefix: str = PREFIX) -> Column:

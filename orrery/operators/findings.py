@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from orrery.functions.text import strip
 
 MAX_ANSWERS, MIN_WHY = 12, 6
-#: What a model answers for one finding; everything may be missing.
-ANSWER = (
-    "id string, title string, stride array<string>, severity string, score string, affected array<string>, why string, references array<string>, recommended_action string, "
-    "evidence struct<nodes: array<string>, edges: array<string>>, confidence string, rag_sources array<struct<kb: string, source: string, chunk_id: string, score: double, method: string>>"
-)
+# What a finding has where the answer says nothing.
+TITLE, SEVERITY, SCORE, ACTION = "Untitled", "Medium", 4.0, "No specific action provided"
+SOURCE = "struct<kb:string,source:string,chunk_id:string,score:double,method:string>"
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
 
 
@@ -20,27 +18,83 @@ def texts(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
+def field(v: Column, name: str) -> Column:
+    """A field of an object as a variant; null where it is missing, a variant of null where it is null."""
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def is_kind(v: Column, pattern: str) -> Column:
+    return F.coalesce(F.rlike(F.schema_of_variant(v), F.lit(f"^({pattern})")), F.lit(False))
+
+
+NUMBER = "BIGINT|DOUBLE|FLOAT|DECIMAL"
+
+
+def said(v: Column) -> Column:
+    """Any value as text."""
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(is_kind(v, "VOID"), F.lit("None")).when(is_kind(v, "BOOLEAN"), F.initcap(text)).otherwise(text)
+
+
+def items(v: Column) -> Column:
+    return F.when(is_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array().cast("array<variant>"))
+
+
+def given(v: Column) -> Column:
+    """Neither missing nor null, false, zero or empty."""
+    zero = is_kind(v, NUMBER) & (F.try_variant_get(v, "$", "double") == 0)
+    text = F.try_variant_get(v, "$", "string")
+    empty = (is_kind(v, "STRING") & (text == "")) | (is_kind(v, "BOOLEAN") & (text == "false")) | (is_kind(v, "ARRAY") & (F.size(items(v)) == 0))
+    return v.isNotNull() & ~is_kind(v, "VOID|OBJECT<>") & ~F.coalesce(zero | empty, F.lit(False))
+
+
+def text_or(v: Column, default: str) -> Column:
+    return F.when(given(v), said(v)).otherwise(F.lit(default))
+
+
+def all_said(v: Column) -> Column:
+    return F.transform(items(v), said)
+
+
+def number(v: Column) -> Column:
+    """A number, also one in quotes; true counts as 1. Null for anything else."""
+    return F.when(is_kind(v, "BOOLEAN"), F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(is_kind(v, NUMBER + "|STRING"), F.try_variant_get(v, "$", "string").try_cast("double"))
+
+
+def source(v: Column) -> Column:
+    """A citation; its score is 0 where it gives none."""
+    return F.struct(
+        text_or(field(v, "kb"), "").alias("kb"), text_or(field(v, "source"), "").alias("source"), strip(text_or(field(v, "chunk_id"), "")).alias("chunk_id"),
+        F.when(given(field(v, "score")), number(field(v, "score"))).otherwise(F.lit(0.0)).alias("score"), F.lit(None).cast("string").alias("method"),
+    ).cast(SOURCE)
+
+
 def from_answers(answers: DataFrame) -> DataFrame:
-    """answers(request_id, answer: JSON with `threats`) -> findings(request_id, pos, ...): the first 12 of each answer, with defaults; a confidence that is no number is null;
-    citations need a chunk_id."""
-    parsed = answers.select("request_id", F.from_json("answer", f"threats array<struct<{ANSWER}>>".replace("string,", "string,")).alias("a"))
-    each = parsed.select("request_id", F.posexplode(F.slice("a.threats", 1, MAX_ANSWERS)).alias("pos", "t")).select("request_id", "pos", "t.*")
+    """answers(request_id, answer: JSON with `threats`) -> findings(request_id, pos, ...): the first 12 of each answer, with defaults.
+
+    Types count: a confidence is a JSON number or null, not one in quotes. An empty title, reason or action is as good as none, one of spaces isn't. Citations are
+    objects with a chunk_id, stripped. Findings have no id before they are numbered. Elements that are no objects get all defaults; an answer that is no JSON has no findings.
+    """
+    threats = F.try_variant_get(F.try_parse_json("answer"), "$.threats", "array<variant>")
+    each = answers.select("request_id", F.posexplode(F.slice(threats, 1, MAX_ANSWERS)).alias("pos", "t"))
+    t = F.col("t")
+    confidence = field(t, "confidence")
     return each.select(
         "request_id",
         "pos",
-        F.coalesce("id", F.format_string("T%03d", F.col("pos") + 1)).alias("id"),
-        F.coalesce("title", F.lit("Untitled")).alias("title"),
-        texts("stride").alias("stride"),
-        F.coalesce("severity", F.lit("Medium")).alias("severity"),
-        F.coalesce(F.col("score").try_cast("double"), F.lit(4.0)).alias("score"),
-        texts("affected").alias("affected"),
-        F.coalesce("why", F.lit("")).alias("why"),
-        texts("references").alias("references"),
-        F.coalesce("recommended_action", F.lit("Review and implement appropriate security controls.")).alias("recommended_action"),
-        F.coalesce("evidence.nodes", F.array().cast("array<string>")).alias("evidence_nodes"),
-        F.coalesce("evidence.edges", F.array().cast("array<string>")).alias("evidence_edges"),
-        F.col("confidence").try_cast("double").alias("confidence"),
-        F.filter(F.coalesce("rag_sources", F.array().cast("array<struct<kb:string,source:string,chunk_id:string,score:double,method:string>>")), lambda s: F.coalesce(s["chunk_id"], F.lit("")) != "").alias("rag_sources"),
+        F.lit("").alias("id"),
+        text_or(field(t, "title"), TITLE).alias("title"),
+        all_said(field(t, "stride")).alias("stride"),
+        F.coalesce(said(field(t, "severity")), F.lit(SEVERITY)).alias("severity"),
+        F.coalesce(number(field(t, "score")), F.lit(SCORE)).alias("score"),
+        all_said(field(t, "affected")).alias("affected"),
+        text_or(field(t, "why"), "").alias("why"),
+        all_said(field(t, "references")).alias("references"),
+        text_or(field(t, "recommended_action"), ACTION).alias("recommended_action"),
+        all_said(F.try_variant_get(t, "$.evidence.nodes", "variant")).alias("evidence_nodes"),
+        all_said(F.try_variant_get(t, "$.evidence.edges", "variant")).alias("evidence_edges"),
+        F.when(is_kind(confidence, NUMBER + "|BOOLEAN"), number(confidence)).alias("confidence"),
+        F.filter(F.transform(F.filter(items(field(t, "rag_sources")), lambda s: is_kind(s, "OBJECT")), source), lambda s: s["chunk_id"] != "").alias("rag_sources"),
     )
 
 

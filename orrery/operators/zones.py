@@ -5,13 +5,12 @@ Every key includes graph_id, so a corpus of diagrams is one job and nothing join
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Spark's own bound on the depth of recursion.
-MAX_DEPTH = 100
+from orrery.tables import scratch, written
 
 
 def area(r: str) -> Column:
@@ -58,23 +57,39 @@ def holding_others(rects: DataFrame) -> DataFrame:
 
 
 def closure(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
-    """(graph_id, id, parent) -> (graph_id, id, ancestor, distance), itself at distance 0. A recursive query; a path that comes back to itself ends there."""
-    spark, view = nodes.sparkSession, f"zones_{uuid.uuid4().hex}"
-    nodes.select("graph_id", "id", F.col(parent).alias("parent_id")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(graph_id, id, ancestor, distance, path) AS (
-            SELECT graph_id, id, id, 0, array(id) FROM {view}
-            UNION ALL
-            SELECT u.graph_id, u.id, z.parent_id, u.distance + 1, array_append(u.path, z.parent_id)
-            FROM up u JOIN {view} z ON z.graph_id = u.graph_id AND z.id = u.ancestor
-            WHERE z.parent_id IS NOT NULL AND NOT array_contains(u.path, z.parent_id) AND u.distance < {MAX_DEPTH - 2})
-        SELECT graph_id, id, ancestor, distance FROM up""")
-
-
-def depths(zones: DataFrame) -> DataFrame:
-    """G1: (graph_id, id, name, depth), a root at 0. A parent that isn't a zone makes no level; nor does a zone that is its own parent."""
+    """(graph_id, id, parent) -> (graph_id, id, ancestor, distance), itself at distance 0; in a cycle each ancestor once, at its shortest distance.
+
+    Pointers are doubled: a round joins the ancestors at the farthest distance so far with what is known of them, so rounds grow with the logarithm of the depth, whatever it is. Each
+    round's new pairs are a written table.
+    """
+    key = ["graph_id", "id", "ancestor"]
+    own = nodes.select("graph_id", "id", F.col(parent).alias("ancestor"))
+    with scratch() as keep:
+        parts = [written(own.where("ancestor is not null and ancestor <> id").withColumn("distance", F.lit(1)), "ancestors")]
+        reach, loops = 1, False
+        while True:
+            up = reduce(DataFrame.unionByName, parts)
+            far = parts[-1].where(F.col("distance") == reach).select("graph_id", "id", F.col("ancestor").alias("via"))
+            more = far.join(up.select("graph_id", F.col("id").alias("via"), "ancestor", (F.col("distance") + reach).alias("distance")), ["graph_id", "via"]).select(*key, "distance")
+            new = written(more, "ancestors")
+            loops = loops or not new.where("id = ancestor").isEmpty()
+            if loops:  # what is in or behind a cycle comes back to ancestors that it has already
+                once = new.where("id <> ancestor").groupBy(*key).agg(F.min("distance").alias("distance"))
+                new = written(once.join(up.select(*key), key, "left_anti"), "ancestors")
+            if new.isEmpty():
+                break
+            parts.append(new)
+            reach *= 2
+        for p in parts:
+            keep(p)
+    itself = own.select("graph_id", "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    return reduce(DataFrame.unionByName, [itself, *parts])
+
+
+def depths(zones: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """G1: (graph_id, id, name, depth), a root at 0. A parent that isn't a zone makes no level; nor does a zone that is its own parent. `up` is the zones' closure, if it is at hand."""
     known = zones.select("graph_id", F.col("id").alias("ancestor"))
-    up = closure(zones).join(known, ["graph_id", "ancestor"], "left_semi")
+    up = (closure(zones) if up is None else up).join(known, ["graph_id", "ancestor"], "left_semi")
     return up.groupBy("graph_id", "id").agg(F.max("distance").alias("depth")).join(zones.select("graph_id", "id", "name"), ["graph_id", "id"])
 
 
@@ -103,7 +118,7 @@ def ordered_zones(members: DataFrame, zones: DataFrame) -> DataFrame:
 
 def place_nodes(points: DataFrame, rects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J1 + J2 + T7: (zones, placement of each point that some rectangle holds)."""
-    zones = rect_parents(rects).persist()  # the recursive queries below read it several times
+    zones = written(rect_parents(rects), "zones")  # read in each round below
     held = points_in_rects(points, rects).withColumn("pos", F.col("zone_id"))
     return zones, ordered_zones(held, zones)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import findings
@@ -56,30 +56,51 @@ def finding_denoise_fixed(spark, sf_dir):
     return out.select("request_id", "pos", "id", "title", "severity", "score")
 
 
-@query("""WITH o AS (SELECT o_custkey AS request_id, o_orderkey, o_totalprice, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
-SELECT request_id, pos::INTEGER AS pos, CASE WHEN o_orderkey % 4 = 0 THEN printf('T%03d', pos + 1) ELSE o_orderkey::VARCHAR END AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'Untitled' ELSE o_orderpriority END AS title, 'Medium' AS severity,
-CASE WHEN o_orderkey % 5 = 0 THEN 4.0 ELSE (o_orderkey % 9)::DOUBLE END AS score, CASE WHEN o_orderkey % 6 <> 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END::INTEGER AS n_sources FROM o WHERE pos < 12""")
+@query("""WITH o AS (SELECT o_custkey AS request_id, o_orderkey AS k, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT request_id, pos::INTEGER AS pos, '' AS id, CASE k % 8 WHEN 0 THEN 'Untitled' WHEN 1 THEN 'Untitled' WHEN 2 THEN 'Untitled' WHEN 3 THEN '  ' WHEN 4 THEN '7' ELSE o_orderpriority END AS title, CASE k % 4 WHEN 0 THEN 'Medium' WHEN 1 THEN 'None' WHEN 2 THEN '' ELSE 'High' END AS severity,
+CASE WHEN k % 5 = 0 THEN 4.0 ELSE (k % 9)::DOUBLE END AS score, CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN k % 3 = 0 THEN 'No specific action provided' ELSE ' do' END AS recommended_action,
+CASE WHEN k % 7 = 0 THEN '' ELSE 'S,None,3,True' END AS stride, CASE WHEN k % 2 = 0 THEN '/s/c1/0.0 kb//c2/0.25' ELSE '' END AS sources, CASE WHEN k % 10 = 0 THEN '' ELSE 'n' || k END AS nodes FROM o WHERE pos < 12""")
 def answer_projection(spark, sf_dir):
-    """The orders of a customer as a model's answer; 12 of them count."""
+    """The orders of a customer as a model's answer, in which each field comes in several types; 12 of them count."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    cite = F.when(k % 2 == 0, F.array(F.struct(F.lit("kb").alias("kb"), F.lit("c1").alias("chunk_id")), F.struct(F.lit("kb").alias("kb"), F.lit("").alias("chunk_id"))))
-    t = F.struct(k.alias("_o"), F.when(k % 4 != 0, k.cast("string")).alias("id"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("title"), F.when(k % 5 != 0, (k % 9).cast("string")).otherwise(F.lit("n/a")).alias("score"), F.when(k % 6 != 0, "0.5").otherwise("high").alias("confidence"), cite.alias("rag_sources"))
-    a = o.groupBy(F.col("o_custkey").alias("request_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(t)).alias("threats"))).alias("answer"))
-    return findings.from_answers(a).select("request_id", "pos", "id", "title", "severity", "score", "confidence", F.size("rag_sources").alias("n_sources"))
 
-
-@query("""WITH o AS (SELECT o_custkey AS graph_id, o_orderkey::VARCHAR AS id, o_orderpriority AS title, o_orderstatus AS severity, (o_orderkey % 9)::DOUBLE AS score FROM orders)
+    def one_of(n: int, *cases) -> Column:
+        """The case of k modulo n; the last one for what is left, nothing for None."""
+        out = F.lit(cases[-1]) if isinstance(cases[-1], str) else cases[-1]
+        for i, c in reversed(list(enumerate(cases[:-1]))):
+            out = F.when(k % n == i, F.lit(c)).otherwise(out)
+        return out
+
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = {
+        "title": one_of(8, None, '""', "null", '"  "', "7", quoted(F.col("o_orderpriority"))),
+        "severity": one_of(4, None, "null", '""', '"High"'),
+        "score": F.when(k % 5 == 0, '"n/a"').when(k % 2 == 0, (k % 9).cast("string")).otherwise(quoted((k % 9).cast("string"))),
+        "confidence": one_of(6, '"high"', '"0.5"', "true", "2", "0.5"),
+        "recommended_action": one_of(3, "[]", '" do"'),
+        "stride": one_of(7, "{}", '["S",null,3,true]'),
+        "rag_sources": F.when(k % 2 == 0, '[{"source":"s","chunk_id":" c1 "},{"kb":"x","chunk_id":"  "},"c3",{"kb":"kb","chunk_id":"c2","score":"0.25"}]').otherwise('{"chunk_id":"c"}'),
+        "evidence": F.when(k % 10 == 0, "null").otherwise(F.concat(F.lit('{"nodes":["n'), k.cast("string"), F.lit('"]}'))),
+    }
+    threat = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), c) for name, c in fields.items()]), F.lit("}"))
+    a = o.groupBy(F.col("o_custkey").alias("request_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), threat.alias("t")))), lambda x: x["t"]).alias("t"))
+    out = findings.from_answers(a.select("request_id", F.concat(F.lit('{"threats":['), F.array_join("t", ","), F.lit("]}")).alias("answer")))
+    cited = F.array_join(F.transform("rag_sources", lambda s: F.concat_ws("/", s["kb"], s["source"], s["chunk_id"], s["score"].cast("string"))), " ")
+    return out.select("request_id", "pos", "id", "title", "severity", "score", "confidence", "recommended_action", F.array_join("stride", ",").alias("stride"), cited.alias("sources"), F.array_join("evidence_nodes", ",").alias("nodes"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS graph_id, o_orderkey::VARCHAR AS id, o_orderpriority AS title, o_orderstatus AS severity, (o_orderkey % 9)::DOUBLE AS score, o_orderkey AS o FROM orders)
 SELECT graph_id, md5('# Threat Analysis Report' || chr(10) || chr(10) || '> This report was generated with the help of a model and may contain errors; review it before use.' || chr(10) || chr(10) || '## Threat Summary' || chr(10) || chr(10) || '| ID | Threat | Severity | Score |' || chr(10) || '|----|---------|---------|-------|' || chr(10)
-|| string_agg('| ' || id || ' | ' || title || ' | ' || severity || ' | ' || printf('%.1f', score) || ' |' || chr(10), '' ORDER BY id) || chr(10) || '## Threat Details' || chr(10) || chr(10)
+|| string_agg('| ' || id || ' | ' || title || ' | ' || severity || ' | ' || printf('%.1f', score) || ' |' || chr(10), '' ORDER BY o) || chr(10) || '## Threat Details' || chr(10) || chr(10)
 || string_agg('### ' || id || ': ' || title || chr(10) || chr(10) || '**Severity:** ' || severity || chr(10) || chr(10) || '**Score:** ' || printf('%.1f', score) || chr(10) || chr(10) || '**STRIDE:** S, T' || chr(10) || chr(10) || '**Affected Components:** ' || chr(10) || chr(10) || '**Why:** so' || chr(10) || chr(10)
-|| '**Recommended Actions:**' || chr(10) || chr(10) || 'act' || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY id)) AS md5 FROM o GROUP BY 1""")
+|| '**Recommended Actions:**' || chr(10) || chr(10) || 'act' || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY o)) AS md5 FROM o GROUP BY 1""")
 def report_markdown(spark, sf_dir):
     """K2: a report of each customer's orders."""
     o = table(spark, sf_dir, "orders")
     none = F.array().cast("array<string>")
     sources = F.array().cast("array<struct<kb:string,source:string,chunk_id:string,score:double,method:string>>")
-    f = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("severity"), (F.col("o_orderkey") % 9).cast("double").alias("score"), F.array(F.lit("S"), F.lit("T")).alias("stride"), none.alias("affected"), F.lit("so").alias("why"), none.alias("references"), sources.alias("rag_sources"), F.lit("act").alias("recommended_action"))
+    f = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("severity"), (F.col("o_orderkey") % 9).cast("double").alias("score"), F.array(F.lit("S"), F.lit("T")).alias("stride"), none.alias("affected"), F.lit("so").alias("why"), none.alias("references"), sources.alias("rag_sources"), F.lit("act").alias("recommended_action"))
     return exports.report_markdown(f).select("graph_id", F.md5("markdown").alias("md5"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import diff, evidence, flows, patch, zones
@@ -232,10 +232,11 @@ def evidence_edge_resolve(spark, sf_dir):
     return evidence.resolve_edges(f, e).select("finding_id", "edge_pos")
 
 
-@query("""WITH u AS (SELECT n_regionkey AS g, n_nationkey AS pos, 'T' || (n_nationkey % 2) AS id FROM nation), n AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY pos) AS r FROM u)
-SELECT g::VARCHAR AS graph_id, pos, id, list_filter(list_concat([id, id || '-tt'], list_transform(range(1, 1001), lambda k: id || '-tt-' || k)), lambda x: x NOT IN ('T0', 'T1-tt'))[r] AS new_id FROM n""")
+@query("""WITH u AS (SELECT n_regionkey AS g, n_nationkey AS pos, ['T0', 'T1', 'T0-tt', '', 'T1'][row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)] AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)
+SELECT g::VARCHAR AS graph_id, pos, id, ['T0-tt', 'T1', 'T0-tt-tt', 'TT-threat', 'T1-tt-1'][r] AS new_id FROM u""")
 def finding_unique_ids(spark, sf_dir):
     """W7."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("graph_id"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("T"), (F.col("n_nationkey") % 2).cast("string")).alias("id"))
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("graph_id"), F.col("n_nationkey").alias("pos"), F.element_at(F.array(*[F.lit(x) for x in ("T0", "T1", "T0-tt", "", "T1")]), place).alias("id"))
     used = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("graph_id"), F.explode(F.array(F.lit("T0"), F.lit("T1-tt"))).alias("id"))
     return evidence.unique_ids(n, used).select("graph_id", "pos", "id", "new_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.text import clamp, embed_model, escape_html, language_name, overlap, page_text, tokens
+from orrery.functions.text import clamp, embed_model, entities, escape_html, language_name, overlap, page_text, tokens
 from orrery.operators import citations, index, retrieve
 from orrery.operators.flows import distinct_queries
 from orrery.plans.registry import query, table
@@ -213,23 +213,33 @@ def mmr_select(spark, sf_dir):
     return retrieve.mmr(cands, 8).select("request_id", "chunk_id", "source", "final_score", "mmr_rank")
 
 
-@query("""WITH d AS (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z0-9_:/.-]+') AS t FROM documents), n AS (SELECT *, len(t) AS n, greatest(0, ceil((len(t) - 200) / 180))::INT AS last FROM d WHERE len(t) > 0),
-w AS (SELECT *, unnest(range(last + 1)) AS i FROM n) SELECT lang AS kb, doc_id || '-' || lpad(i::VARCHAR, 5, '0') AS chunk_id, i::INTEGER AS chunk_index, (least(i * 180 + 200, n) - i * 180)::INTEGER AS token_count, md5(array_to_string(t[i * 180 + 1:least(i * 180 + 200, n)], ' ')) AS text_md5 FROM w""")
+@query(r"""WITH d AS (SELECT doc_id, lang, regexp_extract_all(text, '[ \t\n\x0B\f\r]*(?:[A-Za-z0-9_:/.-]+|[^ \t\n\x0B\f\rA-Za-z0-9_:/.-])|[ \t\n\x0B\f\r]+') AS t FROM documents), n AS (SELECT *, len(t) AS n, greatest(0, ceil((len(t) - 200) / 180))::INT AS last FROM d WHERE len(list_filter(t, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) > 0),
+w AS (SELECT *, unnest(range(last + 1)) AS i FROM n) SELECT lang AS kb, doc_id || '-' || lpad(i::VARCHAR, 5, '0') AS chunk_id, i::INTEGER AS chunk_index, (least(i * 180 + 200, n) - i * 180)::INTEGER AS token_count, md5(array_to_string(t[i * 180 + 1:least(i * 180 + 200, n)], '')) AS text_md5 FROM w""")
 def chunk_windows(spark, sf_dir):
     """Windows of 200 tokens that share 20."""
     out = index.chunks(table(spark, sf_dir, "documents"), kb="lang", stem="doc_id", size=200, overlap=20)
     return out.select("kb", "chunk_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
 
 
-@query("""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM a),
-c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM b) SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM c""")
+def sql_map(entries: dict[str, str]) -> str:
+    text = lambda t: "'" + t.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in entries.items()) + "}"
+
+
+@query(rf"""WITH m AS (SELECT {sql_map(entities())} AS known),
+t AS (SELECT page_id, i, string_split(x, '&') AS p FROM (SELECT page_id, unnest(x) AS x, unnest(range(len(x))) AS i FROM (SELECT page_id, regexp_split_to_array(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z](?:[^"''>]|"[^"]*"|''[^'']*'')*>|</?[a-z][^>]*>|<[!?][^>]*>') AS x FROM pages))),
+e AS (SELECT page_id, i, unnest(p) AS piece, unnest(range(len(p))) AS j FROM t),
+n AS (SELECT *, regexp_extract(piece, '^(#?[A-Za-z0-9]+);', 1) AS name FROM e),
+c AS (SELECT *, CASE WHEN regexp_full_match(name, '#[0-9]{{1,9}}') THEN substr(name, 2)::BIGINT WHEN regexp_full_match(name, '#[xX][0-9A-Fa-f]{{1,7}}') THEN ('0x' || substr(name, 3))::BIGINT END AS code FROM n),
+r AS (SELECT page_id, i, j, CASE WHEN j = 0 THEN piece ELSE coalesce(coalesce(known[name], known['#' || code], chr(code::INTEGER)) || substr(piece, length(name) + 2), '&' || piece) END AS piece FROM c, m),
+s AS (SELECT page_id, i, regexp_replace(string_agg(piece, '' ORDER BY j), '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g') AS text FROM r GROUP BY 1, 2),
+x AS (SELECT page_id, coalesce(string_agg(text, ' ' ORDER BY i) FILTER (text <> ''), '') AS t FROM s GROUP BY 1) SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM x""")
 def html_clean_text(spark, sf_dir):
     """S9, F8."""
     return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe, CASE split_part(split_part(url, '://', 2), '/', 2) WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE upper(split_part(split_part(url, '://', 2), '/', 2)) END AS language,
+@query("""SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe, CASE split_part(split_part(url, '://', 2), '/', 2) WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE upper(split_part(split_part(url, '://', 2), '/', 2)) END AS language,
 CASE WHEN contains(url, ':') THEN substr(url, strpos(url, ':') + 1) ELSE url END AS model FROM pages""")
 def text_functions(spark, sf_dir):
     """F24, F25, F26."""

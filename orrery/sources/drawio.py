@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from orrery.functions.text import clean_value
 from orrery.operators.zones import absolute, holding_others, place_nodes
 from orrery.sources.graphs import TEXTS, Graph, lines, metrics, ones, register
+from orrery.tables import written
 
 CELLS = (
     "graph_id string, page_no int, page_id string, page_name string, cell_pos int, id string, label string, style string, vertex string, edge string, source string, target string, parent string, "
@@ -123,7 +124,7 @@ def is_edge_label() -> Column:
 @register("drawio")
 def parse(texts: DataFrame, page: str | None = None) -> Graph:
     """texts(graph_id, text) -> a graph's tables. What can't be read gives an empty graph and an error row (Q25)."""
-    every = cells(texts).persist()  # read by many joins; the files are taken apart once
+    every = written(cells(texts), "cells")  # read by many joins; the files are taken apart once
     own = select_page(every, page).where("coalesce(id, '') <> ''").withColumn("is_label", is_edge_label())
     edge = F.coalesce(F.col("edge") == "1", F.lit(False))
     flows = own.where(edge & ~F.col("is_label"))
@@ -135,7 +136,7 @@ def parse(texts: DataFrame, page: str | None = None) -> Graph:
     around = holding_others(sized.select("graph_id", "id", "x", "y", "width", "height")).select("graph_id", "id").withColumn("around", F.lit(True))
     style = lambda p: F.rlike("style", F.lit(p))
     zone = F.col("has_geometry") & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("label") != "") & style(CONTAINER) & (style(BOUNDARY) | F.coalesce("around", F.lit(False)))  # P8
-    vertices = vertices.join(around, ["graph_id", "id"], "left").withColumn("is_zone", zone).persist()
+    vertices = written(vertices.join(around, ["graph_id", "id"], "left").withColumn("is_zone", zone), "vertices")
     ends = flows.select("graph_id", F.col("source").alias("id")).unionByName(flows.select("graph_id", F.col("target").alias("id"))).where("coalesce(id, '') <> ''").distinct().withColumn("is_end", F.lit(True))
     named = vertices.where("not is_zone").join(ends, ["graph_id", "id"], "left").where("label <> '' or is_end").withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "id"))  # P9
     rects = vertices.where("is_zone").select("graph_id", "cell_pos", "id", F.col("label").alias("name"), "x", "y", "width", "height")

@@ -10,6 +10,7 @@ import json
 import zipfile
 from pathlib import PurePath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +53,9 @@ def finding_struct() -> list[Column]:
 
 
 def report_json(findings: DataFrame, metrics: DataFrame | None = None, graph: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
-    """K1: findings(graph_id, id, ...) -> (graph_id, json)."""
+    """K1: findings(graph_id, pos, id, ...) -> (graph_id, json), findings in their order."""
     at = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    out = findings.groupBy("graph_id").agg(in_order("id", *finding_struct()).alias("threats"))
+    out = findings.groupBy("graph_id").agg(in_order("pos", *finding_struct()).alias("threats"))
     parts = [at.alias("generated_at"), F.size("threats").alias("count"), "threats"]
     if metrics is not None:
         out = out.join(metrics.select("graph_id", F.struct(*[c for c in metrics.columns if c != "graph_id"]).alias("import_metrics")), "graph_id", "left")
@@ -77,7 +78,7 @@ def report_markdown(findings: DataFrame) -> DataFrame:
         F.when(F.size("rag_sources") > 0, F.concat(F.lit("**RAG Sources:**\n\n"), F.array_join(cited, ""), F.lit("\n"))).otherwise(""),
         F.lit("**Recommended Actions:**\n\n"), "recommended_action", F.lit("\n\n---\n\n"),
     )
-    own = findings.groupBy("graph_id").agg(F.array_join(F.transform(in_order("id", row.alias("t")), lambda x: x["t"]), "").alias("r"), F.array_join(F.transform(in_order("id", full.alias("t")), lambda x: x["t"]), "").alias("f"))
+    own = findings.groupBy("graph_id").agg(F.array_join(F.transform(in_order("pos", row.alias("t")), lambda x: x["t"]), "").alias("r"), F.array_join(F.transform(in_order("pos", full.alias("t")), lambda x: x["t"]), "").alias("f"))
     head = f"# Threat Analysis Report\n\n> {NOTICE}\n\n## Threat Summary\n\n| ID | Threat | Severity | Score |\n|----|---------|---------|-------|\n"
     return own.select("graph_id", F.concat(F.lit(head), "r", F.lit("\n## Threat Details\n\n"), "f").alias("markdown"))
 
@@ -111,7 +112,7 @@ def report_html(findings: DataFrame, nodes: DataFrame, edges: DataFrame, graph:
     text = lambda df, by, name: df.groupBy("graph_id").agg(F.array_join(F.transform(in_order(by, "html"), lambda x: x["html"]), "\n").alias(name))
     br = lambda c: F.replace(escape_html(F.col(c)), F.lit("\n"), F.lit("<br>"))
     section = F.concat(F.lit("<section><h2>"), escape_html(F.col("id")), F.lit(": "), br("title"), F.lit("</h2><p>"), escape_html(F.col("severity")), F.format_string(" (%.1f)", "score"), F.lit("</p><p>"), br("why"), F.lit("</p><p>"), br("recommended_action"), F.lit("</p></section>"))
-    f = text(findings.withColumn("html", section), "id", "f")
+    f = text(findings.withColumn("html", section), "pos", "f")
     own = f.join(text(n, "node_pos", "n"), "graph_id", "full").join(text(e, "edge_pos", "e"), "graph_id", "full").join(graph.select("graph_id", script_safe(F.to_json("graph")).alias("g")), "graph_id", "left")
     part = lambda c: F.coalesce(c, F.lit(""))
     head = f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Threat Analysis Report</title></head><body><h1>Threat Analysis Report</h1><p>{NOTICE}</p>\n'
@@ -158,9 +159,9 @@ def threat_dragon(texts: DataFrame, findings: DataFrame, nodes: DataFrame, edges
     placed = evidence.to_cells(findings, nodes, edges, export_cells(all_cells)).join(named.select("graph_id", F.col("id").alias("finding_id"), F.to_json(evidence.model_block(), {"ignoreNullFields": "false"}).alias("block")), ["graph_id", "finding_id"])
     per = placed.groupBy("graph_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("p", "q", "cell_id", "block"))), {"ignoreNullFields": "false"}).alias("placed"))
 
-    @F.udf("string")
-    def put(text, rows):
-        return into_model(text, [(r["cell_id"], json.loads(r["block"])) for r in json.loads(rows or "[]")])
+    @F.pandas_udf("string")
+    def put(text: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([into_model(t, [(r["cell_id"], json.loads(r["block"])) for r in json.loads(x or "[]")]) for t, x in zip(text, rows, strict=True)], dtype=object)
 
     return texts.join(per, "graph_id", "left").select("graph_id", put("text", "placed").alias("json"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions.text import blank_to_null, strip
 from orrery.operators.zones import cyclic, ordered_zones
 from orrery.sources.graphs import TEXTS, Graph, lines, metrics, register
+from orrery.tables import written
 
 NODE = "struct<id: string, label: string, zone: string, zones: array<string>, type: string, data: array<string>, auth: string, notes: string>"
 EDGE = "struct<id: string, src: string, dst: string, label: string, protocol: string, data: array<string>>"
@@ -78,7 +79,7 @@ def parse(texts: DataFrame, strict: bool = False) -> Graph:
     wrong = violations(texts)
     if strict and (first := wrong.first()) is not None:
         raise ValidationError(f"{first['graph_id']}: {first['error']}")
-    good = texts.join(wrong.select("graph_id").distinct(), "graph_id", "left_anti").persist()  # validated once, read for nodes, edges, zones and metrics
+    good = written(texts.join(wrong.select("graph_id").distinct(), "graph_id", "left_anti"), "valid-graphs")  # validated once, read for nodes, edges, zones and metrics
     zones = entries(good, "zones").withColumn("x", F.from_json("raw", ZONE)).select("graph_id", F.col("pos").alias("zone_pos"), F.col("key").alias("id"), strip(F.col("x.name")).alias("name"), blank_to_null(F.col("x.parent_id")).alias("parent_id"))
     x = entries(good, "nodes").withColumn("x", F.from_json("raw", NODE)).select("graph_id", F.col("pos").alias("node_pos"), F.col("key").alias("id"), "x.label", "x.zone", "x.zones", "x.type", "x.data", "x.auth", "x.notes")
     members = x.select("graph_id", F.col("id").alias("node_id"), F.posexplode("zones").alias("pos", "z")).select("graph_id", "node_id", strip(F.col("z")).alias("zone_id"), "pos")

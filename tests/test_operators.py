@@ -17,14 +17,22 @@ def test_text_functions(spark):
     lit = F.lit
     r = one(
         spark, tok=text.tokens(lit("A bC d_e/F-1.x (y)")), lab=text.unquoted_label(lit(" 'a b' ")), odd=text.unquoted_label(lit("'")), empty=text.unquoted_label(lit('""')), short=text.shorten(lit("abcdef"), 3, "..."), esc=text.escape_html(lit("<a b='c'>&")),
-        lang=text.language_name(lit("JA")), other=text.language_name(lit("xx")), model=text.embed_model(lit("openai:m:x")), over=text.overlap(F.array(lit("a"), lit("b"), lit("a")), F.array(lit("b"))), none=text.overlap(F.array().cast("array<string>"), F.array(lit("b"))),
+        lang=text.language_name(lit("ja")), upper=text.language_name(lit("JA")), uk=text.language_name(lit("uk")), en=text.language_name(lit("en")), other=text.language_name(lit("xx")), model=text.embed_model(lit("openai:m:x")), over=text.overlap(F.array(lit("a"), lit("b"), lit("a")), F.array(lit("b"))), none=text.overlap(F.array().cast("array<string>"), F.array(lit("b"))),
         clean=text.clean_markup(lit("a<br/>b &amp;lt; <i>c</i>\n d")), safe=text.script_safe(lit("</x>")),
     )
     assert r["tok"] == ["bc", "d_e/f-1.x"] and r["lab"] == "a b" and r["odd"] == "'" and r["empty"] is None and r["short"] == "abc..." and r["esc"] == "&lt;a b=&#x27;c&#x27;&gt;&amp;"
-    assert r["lang"] == "Japanese" and r["other"] == "XX" and r["model"] == "m:x" and r["over"] == 0.5 and r["none"] == 0.0 and r["clean"] == "a b &lt; c d" and r["safe"] == "<\\/x>"
+    assert r["lang"] == "Japanese" and r["upper"] == "JA" and r["uk"] == "Ukrainian" and r["en"] == "EN" and r["other"] == "XX" and r["model"] == "m:x" and r["over"] == 0.5 and r["none"] == 0.0 and r["clean"] == "a b &lt; c d" and r["safe"] == "<\\/x>"
     assert text.clean_value("a%20&eacute;<b>x</b><br>y") == "a é x y" and text.clean_value(None) == ""
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>if a &lt; b and c &gt; d then caf&eacute;</p>", "if a < b and c > d then café"), ("a < b<br/> c <i title='x>y'>d</i >e", "a < b c d e"), ("<!DOCTYPE html><style>p{}</style>x<!-- <b>no</b> --><SCRIPT>s</script >y", "x y"),
+    ("&#233;&#xE9;&#146;&#x1F600; &nope; &amp;lt; a&b; R&D &copy; &#0; &#55296;", "éé’😀 &nope; &lt; a&b; R&D © \ufffd \ufffd"), (" \u00a0<b> </b>&nbsp;x&nbsp;y ", "x\u00a0y"), ("", ""), ("<a href=\"x>y", "y"),
+])
+def test_page_text(spark, page, want):
+    assert one(spark, t=text.page_text(F.lit(page)))["t"] == want
+
+
 @pytest.mark.parametrize("answer", ['{"a": [1, 2]}', '```json\n{"a": [1, 2]}\n```', 'Sure: {"a": [1, 2,],}', '{"a": [1, 2], "b": {"c": "tru', '{"a": [1, 2], "b', '{"a": [1, 2]} trailing'])
 def test_json_repair(answer):
     assert repair.loads(answer)["a"] == [1, 2]
@@ -52,6 +60,35 @@ def test_chunk_spans(spark):
             index.spans(F.lit(1), *bad)
 
 
+def test_chunks_keep_every_character(spark):
+    texts = ["über, (x) naïve — “q”!", "日本語のテキスト。", " lead  and trail \n", "", " \t", None, "a" * 5]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "stem long, text string").withColumns({"kb": F.lit("k"), "source": F.lit("s")})
+    got = {}
+    for r in index.chunks(docs, size=4, overlap=0).orderBy("chunk_id").collect():
+        got[r["chunk_id"][0]] = got.get(r["chunk_id"][0], "") + r["text"]
+    assert got == {str(i): t for i, t in enumerate(texts) if (t or "").strip()}
+
+
+def test_chunks_by_a_tokenizer(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def load():
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    words = " ".join(f"word{i}, naïve {i}" for i in range(30))
+    docs = spark.createDataFrame([("d", words), ("e", " "), ("f", "short")], "stem string, text string").withColumns({"kb": F.lit("k"), "source": F.lit("s")})
+    got = index.token_chunks(docs, load, size=20, overlap=5).orderBy("chunk_id").collect()
+    ids, enc = load().encode(words), load()
+    starts = [k for k in range(0, len(ids), 15) if k == 0 or k + 5 < len(ids)]
+    assert [(r["chunk_id"], r["token_count"], r["text"]) for r in got] == [*((f"d-{n:05d}", len(ids[k : k + 20]), enc.decode(ids[k : k + 20])) for n, k in enumerate(starts)), ("f-00000", len(enc.encode("short")), "short")]
+
+
 def test_bm25_by_hand(spark):
     r = one(spark, i=index.idf(F.lit(3.0), F.lit(1.0)))
     assert abs(r["i"] - 0.980829) < 1e-6
@@ -189,6 +226,17 @@ def test_zone_forest(spark):
     assert {r["id"] for r in zones.cyclic(z).collect()} == {"s", "x", "y"}
 
 
+def test_zones_of_any_depth_and_number(spark):
+    chain = spark.range(150).select(F.lit("g").alias("graph_id"), F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.col("id").cast("string").alias("name"))
+    assert {r["id"]: r["depth"] for r in zones.depths(chain).collect()} == {i: i for i in range(150)}
+    assert zones.paths(chain).where("id = 149").first()["path"] == " > ".join(map(str, range(150))) and zones.cyclic(chain).count() == 0
+    ring = spark.range(7).select(F.lit("r").alias("graph_id"), F.col("id"), F.when(F.col("id") < 5, F.pmod(F.col("id") + 1, F.lit(5))).otherwise(F.col("id") - 1).alias("parent_id"))
+    up = zones.closure(ring)
+    assert {(r["id"], r["ancestor"]): r["distance"] for r in up.collect()} == {(i, (i + d) % 5): d for i in range(5) for d in range(5)} | {(5, 5): 0, (6, 6): 0, (6, 5): 1} | {(5, (4 + d) % 5): 1 + d for d in range(5)} | {(6, (4 + d) % 5): 2 + d for d in range(5)}
+    many = spark.range(1_200_000).select(F.expr("id div 2").alias("graph_id"), F.expr("id % 2").alias("id"), F.expr("if(id % 2 = 1, 0, null)").alias("parent_id"))
+    assert zones.closure(many).count() == 1_800_000
+
+
 def test_absolute_geometry(spark):
     c = spark.createDataFrame([("g", "a", None, 1.0, 2.0), ("g", "b", "a", 10.0, 20.0), ("g", "c", "d", 1.0, 1.0), ("g", "d", "c", 5.0, 5.0)], "graph_id string, id string, parent string, x double, y double")
     assert {r["id"]: (r["x"], r["y"]) for r in zones.absolute(c).collect()} == {"a": (1, 2), "b": (11, 22), "c": (6, 6), "d": (6, 6)}
@@ -207,6 +255,16 @@ def test_evidence(spark):
     assert {r["ref"]: r["edge_pos"] for r in evidence.resolve_edges(f, edges).collect()} == {"a->b:x": 0, "a -> b": 1, "b->a": 2, "e1": 0, "a->b: q": 1, "q->r": None}
 
 
+def test_new_ids_are_unique(spark):
+    f = spark.createDataFrame([("g", p, i, "x") for p, i in enumerate(["T1", "T1", "T1-tt", "T1", "", None, "T2"])] + [("h", 0, "T1", "y")], "graph_id string, pos int, id string, title string")
+    used = spark.createDataFrame([("g", "T2"), ("g", "T2-tt"), ("g", "T2-tt-1"), ("h", "T9")], "graph_id string, id string")
+    out = evidence.unique_ids(f, used).orderBy("graph_id", "pos").collect()
+    assert [r["new_id"] for r in out] == ["T1", "T1-tt", "T1-tt-tt", "T1-tt-1", "TT-threat", "TT-threat-tt", "T2-tt-2", "T1"] and {r["title"] for r in out} == {"x", "y"}
+    full = spark.createDataFrame([("g", x) for x in ["A", "A-tt", *(f"A-tt-{k}" for k in range(1, 1001))]], "graph_id string, id string")
+    with pytest.raises(Exception, match="no free id"):
+        evidence.unique_ids(spark.createDataFrame([("g", 0, "A")], "graph_id string, pos int, id string"), full).collect()
+
+
 def test_evidence_goes_to_cells(spark):
     nodes, edges = graph(spark)
     cells = spark.createDataFrame([("g", 0, "a", "cell", None, None, None), ("g", 1, "f1", "flow", "a", "b", "x"), ("g", 2, "f2", "flow", "a", "b", None)], "graph_id string, cell_pos int, id string, kind string, src string, dst string, label string")
