@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(size))
 
 
+def trim() -> None:
+    """In a Python worker, at a task's end: hand freed memory back to the system, since the worker stays for other tasks. Where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Settings (dots as double underscores) that hold for what runs inside; afterwards the session's own are back."""

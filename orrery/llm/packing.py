@@ -11,12 +11,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 CAPACITY, END = 4096, 2
 #: Documents are packed in groups of about so many by a hash; each group leaves a few windows at most that aren't full.
 GROUP_DOCS = 4096
@@ -62,6 +63,11 @@ class WordTokens:
                 rest += some
         self.ids.update(zip(rest, (x.tobytes() for x in self._ids(rest, self.whole)), strict=True))
 
+    def forget(self) -> None:
+        """Give the memory of remembered words back: a worker process goes on to other tasks."""
+        self.ids = {}
+        trim()
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of UTF-8 texts as little-endian unsigned 32-bit numbers."""
         # a special token's own text keeps its case, by which alone it is one
@@ -152,7 +158,7 @@ def plan(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, doc_tokens, start, length, ids_crc32 and, if asked, ids: one row a piece. A text's ids are followed by END;
-    a null text counts as empty, so each document has a piece."""
+    a null text counts as empty, so each document has a piece. Whole texts are encoded, however long; repeated rows have pieces each; a null doc_id stays null; other columns are left out; an empty table gives an empty one."""
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(tokenizer_path)
@@ -168,6 +174,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 doc, n, start, length, crc, ids = zip(*rows, strict=True)
                 columns = [pa.array(doc, b.schema.field("doc_id").type), *(pa.array(x, pa.int64()) for x in (n, start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "doc_tokens", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        tokens.forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(batch, f"doc_id {kind}, doc_tokens long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
@@ -177,24 +184,24 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOC
     """Add sequence_id and offset to pieces(doc_id, start, length, ids_crc32, ...).
 
     Pieces that fill a window are a sequence alone. The others are dealt to groups by a hash of all that identifies them and a group is packed at
-    once: it needs its lengths alone, so its memory is bounded by group_docs whatever the corpus. Copies of a document are pieces like others.
+    once: it needs its lengths alone, so its memory is bounded by group_docs whatever the corpus. Copies of a document and repeated rows of one doc_id are pieces like others; other columns stay.
     parts is read twice, so it should be a written table. A sequence's id is its group's number in the upper bits and its place there in the lower 32. An empty table gives an empty one.
     """
     n = parts.count()
     groups = max(1, -(-n // group_docs))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        lengths = pdf["length"].tolist()
-        seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        base = int(pdf["_group"].iloc[0]) << 32
+    def one(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "length")]))
+        lengths = group["length"].to_pylist()
+        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        base = group["_group"][0].as_py() << 32
         for k, window in enumerate(plan(lengths, capacity)):
             at = 0
             for i in window:
                 seq[i], off[i] = base + k, at
                 at += lengths[i]
-        return pdf.drop(columns="_group").assign(sequence_id=seq, offset=off)
+        return group.drop_columns("_group").append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
     own = parts.drop("sequence_id", "offset").withColumn("_group", F.pmod(F.xxhash64(F.lit(3), "doc_id", "start", "ids_crc32"), F.lit(groups)))
     schema = own.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
-    return own.groupBy("_group").applyInPandas(one, schema)
+    return own.groupBy("_group").applyInArrow(one, schema)
