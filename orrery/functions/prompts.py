@@ -16,6 +16,10 @@ ATTEMPTS = 2
 TOKEN_LIMITS = {"hosted": 60_000, "local": 12_000}
 FINDINGS_SYSTEM = "You find security threats in a system's architecture. Answer with one JSON object that has a list `threats`."
 HINTS_SYSTEM = "You infer missing attributes of a system's components. Answer with one JSON object that has `nodes` by id and a list `edges`."
+RERANK_SYSTEM = "You judge how relevant passages are to a query. Answer with one JSON object that has a list `scores` of objects with `idx` and `score`, from 0 to 1."
+DIFF_SYSTEM = "You explain to engineers what changed between two versions of a system's architecture and of its threats, and what that means for security."
+# Candidates that a prompt lists, passages that one call scores.
+MOST_CANDIDATES, RERANK_BATCH = 30, 12
 FORMATS = ("json", "markdown", "html", "threat-dragon")
 
 
@@ -53,10 +57,54 @@ def token_limit(provider: str, given: int | None = None) -> int:
     return given if given else TOKEN_LIMITS["local" if provider in ("local", "ollama") else "hosted"]
 
 
-def findings_prompt(graph_json: Column, context: Column, documents: Column, lang: str = "en") -> Column:
-    """F32: the user text for finding threats: the graph, retrieved passages, context documents; parts that are null are left out."""
+def findings_prompt(graph_json: Column, context: Column, documents: Column, lang: str = "en", candidates: Column | None = None) -> Column:
+    """The user text for finding threats: the graph, retrieved passages, context documents; parts that are null are left out. candidates, an array of structs with chunk_id, kb and source, are what may be
+    cited: the first 30 are listed, where there are passages."""
     part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n\n# {title}\n"), c))
-    return F.concat(F.lit(f"Write all texts in {language(lang)}.\n\n# Graph\n"), graph_json, F.coalesce(part("Retrieved passages", context), F.lit("")), F.coalesce(part("Context documents", documents), F.lit("")))
+    out = F.concat(F.lit(f"Write all texts in {'English' if lang == 'en' else language(lang)}.\n\n# Graph\n"), graph_json, F.coalesce(part("Retrieved passages", context), F.lit("")), F.coalesce(part("Context documents", documents), F.lit("")))
+    if candidates is None:
+        return out
+    named = lambda k, v: F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("None")))
+    listed = F.transform(F.slice(candidates, 1, MOST_CANDIDATES), lambda c: F.concat_ws(" ", F.lit("-"), *[named(k, c[k]) for k in ("chunk_id", "kb", "source")]))
+    rule = "Where a passage supports a threat, cite it in `rag_sources` as {\"kb\", \"source\", \"chunk_id\", \"score\" from 0 to 1}, with a chunk_id of this list only:\n"
+    cite = F.when((F.coalesce(context, F.lit("")) != "") & (F.size(candidates) > 0), F.concat(F.lit(f"\n\n# Citations\n{rule}"), F.array_join(listed, "\n")))
+    return F.concat(out, F.coalesce(cite, F.lit("")))
+
+
+def hints_prompt(skeleton: Column, lang: str = "en") -> Column:
+    """F32: the user text for inferring attributes, from a graph's skeleton."""
+    wanted = "For nodes: label, type, zone, zones, data (a list), auth, notes. For edges: from, to, protocol, data (a list). Leave out what you can't tell."
+    return F.concat(F.lit(("" if lang == "en" else f"Write all texts in {language(lang)}.\n\n") + f"# Attributes\n{wanted}\n\n# Graph (nodes with id and label, edges with from, to and label)\n"), skeleton)
+
+
+def diff_prompt(changes_json: str, lang: str = "en") -> str:
+    """F32, K5: the user text for explaining a difference."""
+    asked = "1. what changed in the graph\n2. what changed in the threats\n3. what that means for security\n4. whether the risk is higher or lower\n5. what to do"
+    return ("" if lang == "en" else f"Write all texts in {language(lang)}.\n\n") + f"# Changes\n{changes_json}\n\n# Explain\n{asked}"
+
+
+def model_reranker(model: Callable[[str, str], str], batch: int = RERANK_BATCH, most: int = 1200) -> Callable[[str, list[str]], list[float]]:
+    """A reranker that asks a model for scores, `batch` passages a call; what it doesn't score, or not with a number, is 0, others are brought into [0, 1]."""
+
+    def number(x) -> float | None:
+        try:
+            return float(x)
+        except (TypeError, ValueError):
+            return None
+
+    def score(query: str, texts: list[str]) -> list[float]:
+        out = [0.0] * len(texts)
+        for start in range(0, len(texts), max(1, batch)):
+            some = [" ".join((t or "").strip().split("\n")) for t in texts[start : start + max(1, batch)]]
+            shown = "\n".join(f"[{i}] {t[:most] + '...' if len(t) > most else t}" for i, t in enumerate(some))
+            answer = ask_json(lambda shown=shown: model(RERANK_SYSTEM, f"Query: {query}\n{shown}"), has_scores)
+            for x in answer["scores"]:
+                at, value = (number(x.get(k)) for k in ("idx", "score")) if isinstance(x, dict) else (None, None)
+                if at is not None and value is not None and 0 <= int(at) < len(some):
+                    out[start + int(at)] = max(0.0, min(1.0, value))
+        return out
+
+    return score
 
 
 def rerank_prompt(query: Column, texts: Column, most: int = 1200) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from orrery.functions.vectors import dot, norm
 from orrery.operators import index
 
 STRATEGIES, RERANKERS = ("dense", "hybrid"), ("off", "local", "llm", "auto")
-#: Rows below which a table of queries is sent to all tasks.
-BROADCAST_QUERIES = 10_000
+#: Rows up to which a table of queries is sent to all tasks; more make blocks, so many at most.
+BROADCAST_QUERIES, MOST_BLOCKS = 10_000, 1000
 
 
 class RetrievalError(ValueError):
@@ -75,31 +76,56 @@ def rrf(rank: Column, k: int) -> Column:
     return 1.0 / (k + rank)
 
 
+def blocks(queries: DataFrame, most: int = BROADCAST_QUERIES) -> list[DataFrame]:
+    """The stated set of queries(query_id, ...) as tables that are sent to all tasks, of at most `most` rows each by a count."""
+    n = queries.count()
+    if n <= most:
+        return [F.broadcast(queries)]
+    parts = -(-2 * n // most)
+    while True:
+        if parts > MOST_BLOCKS:
+            raise RetrievalError(f"{n} queries at once make more than {MOST_BLOCKS} blocks")
+        block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        if queries.groupBy(block).count().agg(F.max("count")).first()[0] <= most:
+            return [F.broadcast(queries.where(block == k)) for k in range(parts)]
+        parts *= 2
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct terms of each query, marked for broadcast where they are few."""
+    return few(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+
+
 def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame) -> DataFrame:
     """A3: queries(query_id, text), postings, lengths -> query_id, kb, chunk_id, score for the chunks that share a term with the query.
 
-    A join on the term against the inverted index, then a sum with map-side combination. Queries' distinct terms count once.
+    Postings of terms that no query asks for go first. What a posting adds to a score is the same for all queries, so it is computed before the join with them, and the sum has
+    map-side combination. Postings that carry doc_len need no join with the lengths.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = index.kb_stats(lens)
-    hits = posts.join(few(asked), "term").join(index.term_stats(posts).join(asked.select("term").distinct(), "term", "left_semi"), ["kb", "term"])
-    scored = hits.join(lens, ["kb", "chunk_id"]).join(stats, "kb")
+    asked = asked_terms(queries)
+    own = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    if "doc_len" not in own.columns:
+        own = own.join(lens, ["kb", "chunk_id"])
     each = index.bm25_term(F.col("tf"), F.col("df"), F.col("n_chunks"), F.col("doc_len"), F.col("avgdl"))
-    return scored.groupBy("query_id", "kb", "chunk_id").agg(F.sum(each).alias("score"))
+    adds = own.join(index.term_stats(own), ["kb", "term"]).join(index.kb_stats(lens), "kb").select("kb", "chunk_id", "term", each.alias("adds"))
+    return adds.join(asked, "term").groupBy("query_id", "kb", "chunk_id").agg(F.sum("adds").alias("score"))
+
+
+def bm25_texts(queries: DataFrame, chunked: DataFrame) -> DataFrame:
+    """A3 over chunks(kb, chunk_id, text) that have no index yet: only asked terms are counted, and a chunk's length goes along with them."""
+    posts = index.postings(chunked, terms=asked_terms(queries).select("term").distinct())
+    return bm25(queries, posts, index.lengths(chunked))
 
 
 def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """queries(query_id, embedding), vectors(kb, chunk_id, embedding) -> query_id, kb, chunk_id, score: each query against each vector.
 
-    The stated set of queries is sent to the vectors in one block after its size is checked, so vectors aren't shuffled.
+    The stated set of queries is sent to the vectors in blocks whose size is checked, so vectors aren't shuffled.
     """
     q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_n"))
     v = vectors.select("kb", "chunk_id", "embedding", norm(F.col("embedding")).alias("_m"))
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    if n > BROADCAST_QUERIES:
-        raise RetrievalError(f"more than {BROADCAST_QUERIES} queries at once: pass them in blocks")
     score = dot(F.col("embedding"), F.col("_q")) / ((F.col("_m") + 1e-10) * (F.col("_n") + 1e-10))
-    return v.join(F.broadcast(q), F.lit(True)).select("query_id", "kb", "chunk_id", score.alias("score"))
+    return reduce(DataFrame.unionByName, [v.join(block, F.lit(True)).select("query_id", "kb", "chunk_id", score.alias("score")) for block in blocks(q)])
 
 
 def topk(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "kb"), digits: int = 6) -> DataFrame:
@@ -119,7 +145,7 @@ def with_zeros(sparse: DataFrame, queries: DataFrame, lens: DataFrame, k: int) -
     hit = sparse.select("query_id", "kb", "chunk_id")
     per = sparse.groupBy("query_id", "kb").agg(F.count("*").alias("_n"))
     first = lens.select("kb", "chunk_id").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2 * k).drop("_r")
-    wide = first.join(few(queries.select("query_id")), F.lit(True))
+    wide = reduce(DataFrame.unionByName, [first.join(block, F.lit(True)) for block in blocks(queries.select("query_id"))])
     more = wide.join(hit, ["query_id", "kb", "chunk_id"], "left_anti").join(per.where(F.col("_n") >= k), ["query_id", "kb"], "left_anti")
     return sparse.unionByName(more.withColumn("score", F.lit(0.0)))
 
@@ -183,6 +209,20 @@ def overlap_reranker(query: str, texts: list[str]) -> list[float]:
     return [len(q & terms(t)) / max(1, len(q)) for t in texts]
 
 
+def choose_reranker(mode: str, local: Callable | None = None, llm: Callable | None = None) -> tuple[str, Callable | None]:
+    """(backend, function): auto takes the local one if there is one, else the model's, else none; a backend that is asked for by name and isn't there is an error."""
+    if mode not in RERANKERS:
+        raise RetrievalError(f"reranker must be one of {RERANKERS}")
+    by = {"local": local, "llm": llm}
+    if mode == "off":
+        return "off", None
+    if mode == "auto":
+        return next(((k, f) for k, f in by.items() if f is not None), ("off", None))
+    if by[mode] is None:
+        raise RetrievalError(f"reranker {mode} asked for but none given")
+    return mode, by[mode]
+
+
 def rerank(cands: DataFrame, requests: DataFrame, fn: Callable[[str, list[str]], list[float]], required: bool = False, text_chars: int = 3500) -> DataFrame:
     """Adds rerank_raw by fn(query, texts) for the candidates of each request (a bounded number: Options.candidates). requests(request_id, query).
 
@@ -250,7 +290,7 @@ def search(queries: DataFrame, chunked: DataFrame, vectors: DataFrame, k: int =
     if strategy == "dense":
         return d.select("query_id", "kb", "chunk_id", F.col("score").alias("dense_score"), F.lit(0.0).alias("sparse_score"), F.col("score").alias("fused_score"), F.col("score").alias("final_score"), "rank")
     lens = index.lengths(chunked)
-    s = topk(with_zeros(bm25(queries, index.postings(chunked), lens), queries, lens, k), k)
+    s = topk(with_zeros(bm25_texts(queries, chunked), queries, lens, k), k)
     fused = fuse(d, s, opts)
     w = Window.partitionBy("query_id", "kb").orderBy(F.col("fused_score").desc(), "chunk_id")
     out = fused.withColumn("fused_score", F.round("fused_score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -272,7 +312,7 @@ def retrieve(requests: DataFrame, queries: DataFrame, chunked: DataFrame, vector
     each = max(opts.topk, opts.candidates)
     lens = index.lengths(chunked)
     d = topk(dense(queries, vectors), each)
-    s = topk(with_zeros(bm25(queries, index.postings(chunked), lens), queries, lens, each), each)
+    s = topk(with_zeros(bm25_texts(queries, chunked), queries, lens, each), each)
     fused = fuse(d, s, opts).join(queries.select("query_id", "request_id", "query_pos"), "query_id")
     cands = candidates(fuse_queries(fused), opts.candidates).join(chunked.select("kb", "chunk_id", "source", "text"), ["kb", "chunk_id"])
     if reranker is not None and opts.reranker != "off":

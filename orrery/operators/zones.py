@@ -28,32 +28,70 @@ def holds_point(r: str, x: Column, y: Column) -> Column:
     return x.between(c(f"{r}.x"), c(f"{r}.x") + c(f"{r}.width")) & y.between(c(f"{r}.y"), c(f"{r}.y") + c(f"{r}.height"))
 
 
+#: Rectangles a cell of a diagram's grid, about; cells a side, at most. A rectangle has a row for each cell that it meets.
+PER_CELL, MOST_CELLS = 32, 64
+
+
+def grid(rects: DataFrame) -> DataFrame:
+    """(graph_id, _x0, _y0, _sx, _sy, _g): a grid of _g times _g cells over each diagram's rectangles, so that a large diagram's joins spread over many tasks and compare neighbours only."""
+    found = rects.groupBy("graph_id").agg(
+        F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max(F.col("x") + F.col("width")).alias("_x1"), F.max(F.col("y") + F.col("height")).alias("_y1"),
+        F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / PER_CELL)))).cast("int").alias("_g"),
+    )
+    side = lambda lo, hi: F.greatest((F.col(hi) - F.col(lo)) / F.col("_g"), F.lit(1e-300))
+    return found.select("graph_id", "_x0", "_y0", side("_x0", "_x1").alias("_sx"), side("_y0", "_y1").alias("_sy"), "_g")
+
+
+def _step(value: Column, axis: str) -> Column:
+    """The cell of a coordinate; rises with it, so a rectangle's cells are those between its ends'."""
+    return F.greatest(F.lit(0.0), F.least(F.floor((value - F.col(f"_{axis}0")) / F.col(f"_s{axis}")).cast("double"), F.col("_g") - 1.0)).cast("int")
+
+
+def at_cell(df: DataFrame, cells: DataFrame, x: Column, y: Column) -> DataFrame:
+    return df.join(cells, "graph_id").withColumns({"_cx": _step(x, "x"), "_cy": _step(y, "y")}).drop(*cells.columns[1:])
+
+
+def in_cells(rects: DataFrame, cells: DataFrame) -> DataFrame:
+    own = rects.where("x is not null and y is not null and width >= 0 and height >= 0").join(cells, "graph_id")
+    c = F.col
+    own = own.withColumn("_cx", F.explode(F.sequence(_step(c("x"), "x"), _step(c("x") + c("width"), "x")))).withColumn("_cy", F.explode(F.sequence(_step(c("y"), "y"), _step(c("y") + c("height"), "y"))))
+    return own.drop(*cells.columns[1:])
+
+
+def _same_cell(a: str, b: str) -> Column:
+    return (F.col(f"{a}.graph_id") == F.col(f"{b}.graph_id")) & (F.col(f"{a}._cx") == F.col(f"{b}._cx")) & (F.col(f"{a}._cy") == F.col(f"{b}._cy"))
+
+
 def rect_parents(rects: DataFrame) -> DataFrame:
     """rects(graph_id, id, name, x, y, width, height) -> zones(graph_id, id, name, parent_id).
 
     The parent is the smallest rectangle that encloses one; ties by id. Rectangles of one size and place enclose each other, so only the larger, or of two equals that
-    with the smaller id, can be the parent: parents never form a cycle (Q4).
+    with the smaller id, can be the parent: parents never form a cycle (Q4). What encloses a rectangle holds its corner, so they meet in that corner's cell.
     """
-    a, b = rects.alias("a"), rects.alias("b")
+    cells = grid(rects)
+    a, b = in_cells(rects, cells).alias("a"), at_cell(rects, cells, F.col("x"), F.col("y")).alias("b")
     bigger = (area("a") > area("b")) | ((area("a") == area("b")) & (F.col("a.id") < F.col("b.id")))
-    pairs = b.join(a, (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.id") != F.col("b.id")) & encloses("a", "b") & bigger, "left")
+    pairs = b.join(a, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b") & bigger)
     # of equal areas the one nearest in the order of (area, id descending) is the inner one
-    best = pairs.groupBy(F.col("b.graph_id").alias("graph_id"), F.col("b.id").alias("id"), F.col("b.name").alias("name")).agg(F.min(F.struct(area("a").alias("area"), F.col("a.id").alias("id"))).alias("p"))
-    return best.select("graph_id", "id", F.coalesce(F.nullif("name", F.lit("")), F.col("id").cast("string")).alias("name"), F.col("p.id").alias("parent_id"))
+    best = pairs.groupBy(F.col("b.graph_id").alias("graph_id"), F.col("b.id").alias("id")).agg(F.min(F.struct(area("a").alias("area"), F.col("a.id").alias("id"))).alias("p"))
+    own = rects.select("graph_id", "id", "name").distinct().join(best, ["graph_id", "id"], "left")
+    return own.select("graph_id", "id", F.coalesce(F.nullif("name", F.lit("")), F.col("id").cast("string")).alias("name"), F.col("p.id").alias("parent_id"))
 
 
 def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
     """points(graph_id, node_id, cx, cy) -> (graph_id, node_id, zone_id) for each rectangle that holds the point, edges included."""
-    p, r = points.alias("p"), rects.alias("r")
-    on = (F.col("p.graph_id") == F.col("r.graph_id")) & holds_point("r", F.col("p.cx"), F.col("p.cy"))
+    cells = grid(rects)
+    p, r = at_cell(points, cells, F.col("cx"), F.col("cy")).alias("p"), in_cells(rects, cells).alias("r")
+    on = _same_cell("p", "r") & holds_point("r", F.col("p.cx"), F.col("p.cy"))
     return p.join(r, on).select(F.col("p.graph_id").alias("graph_id"), F.col("p.node_id").alias("node_id"), F.col("r.id").alias("zone_id"))
 
 
 def holding_others(rects: DataFrame) -> DataFrame:
     """The rectangles of positive size that enclose another of positive size."""
     sized = rects.where("width > 0 and height > 0")
-    a, b = sized.alias("a"), sized.select("graph_id", "id", "x", "y", "width", "height").alias("b")
-    return a.join(b, (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.id") != F.col("b.id")) & encloses("a", "b"), "left_semi")
+    cells = grid(sized)
+    a, b = in_cells(sized, cells).alias("a"), at_cell(sized.select("graph_id", "id", "x", "y", "width", "height"), cells, F.col("x"), F.col("y")).alias("b")
+    return a.join(b, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b"), "left_semi").drop("_cx", "_cy").distinct()
 
 
 def closure(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:

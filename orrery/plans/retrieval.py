@@ -45,7 +45,7 @@ def corpus_bm25_stats(spark, sf_dir):
 def benchmark_hits(spark, sf_dir, k):
     d = kb(table(spark, sf_dir, "documents"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve.topk(retrieve.bm25(q, index.postings(d), index.lengths(d)), k)
+    return retrieve.topk(retrieve.bm25_texts(q, d), k)
 
 
 BENCH_HITS = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({DOC_TOK}) AS term FROM benchmark),
@@ -87,7 +87,7 @@ def fused(spark, sf_dir, k=40):
     d = kb(docs)
     q = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text", "lang")
     lens = index.lengths(d)
-    sparse = retrieve.topk(retrieve.with_zeros(retrieve.bm25(q, index.postings(d), lens), q, lens, k), k)
+    sparse = retrieve.topk(retrieve.with_zeros(retrieve.bm25_texts(q, d), q, lens, k), k)
     dense = retrieve.topk(retrieve.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir)), k)
     return q, retrieve.fuse(dense, sparse)
 

@@ -95,6 +95,17 @@ def diff_markdown(nodes: DataFrame, edges: DataFrame, findings: DataFrame, narra
     return "\n".join([*out, *(["## Summary", "", narrative, ""] if narrative else [])])
 
 
+def diff_changes(nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> str:
+    """K5, F32: what one pair of reports has gained and lost, as JSON for a prompt: counts and rows. nodes(side, id, label, type), edges(side, src, dst, label), findings(side, id, title, severity)."""
+    out: dict[str, dict] = {"graph_changes": {}, "threat_changes": {}}
+    for part, what, df, fields in (("graph_changes", "nodes", nodes, ["id", "label", "type"]), ("graph_changes", "edges", edges, ["src", "dst", "label"]), ("threat_changes", "threats", findings, ["id", "title", "severity"])):
+        rows = df.where("side in ('added', 'removed')").select("side", *fields).orderBy(*fields).collect()  # of one pair of reports
+        for side in ("added", "removed"):
+            own = [{f: r[f] if r[f] is not None else "" for f in fields} for r in rows if r["side"] == side]
+            out[part] |= {f"{what}_{side}": len(own), f"{side}_{what}": own}
+    return json.dumps(out, ensure_ascii=False, indent=2)
+
+
 def html_rows(findings: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Table rows of HTML for nodes and edges with the findings that name them."""
     listed = F.array_join(F.transform("findings", escape_html), ", ")

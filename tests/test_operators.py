@@ -119,6 +119,20 @@ def test_zero_scores_fill_a_list(spark):
     assert [r["chunk_id"] for r in out] == [3, 0, 1] and out[1]["score"] == 0
 
 
+def test_queries_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([("k", i, [float(x) for x in rng.standard_normal(4)]) for i in range(20)], "kb string, chunk_id int, embedding array<double>")
+    q = v.select(F.col("chunk_id").alias("query_id"), "embedding")
+    whole = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieve.dense(q, v).collect()}
+    assert len(retrieve.blocks(q, 3)) > 5 and sum(b.count() for b in retrieve.blocks(q, 3)) == 20
+    few = retrieve.blocks
+    monkeypatch.setattr(retrieve, "blocks", lambda df: few(df, 3))
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieve.dense(q, v).collect()} == whole and len(whole) == 400
+    monkeypatch.setattr(retrieve, "MOST_BLOCKS", 2)
+    with pytest.raises(retrieve.RetrievalError):
+        few(q, 3)
+
+
 def test_threshold_fallbacks(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (2, 1, 0.2), (2, 2, 0.1)], "request_id int, pos int, final_score double")
     key = lambda d: sorted((r["request_id"], r["pos"]) for r in d.collect())
@@ -219,6 +233,21 @@ def test_rectangles(spark):
     assert {x["id"] for x in zones.holding_others(r).collect()} == {"o", "p"}
 
 
+def test_rectangles_of_a_large_diagram(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i}", f"R{i}", float(x), float(y), float(w), float(h)) for i, (x, y, w, h) in enumerate(zip(rng.integers(0, 300, 400), rng.integers(0, 300, 400), rng.integers(0, 120, 400), rng.integers(0, 120, 400), strict=True))]
+    r = rect(spark, *rows)
+    pts = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-20, 450, (300, 2)))]
+    got = {(x["node_id"], x["zone_id"]) for x in zones.points_in_rects(spark.createDataFrame([("g", *p) for p in pts], "graph_id string, node_id string, cx double, cy double"), r).collect()}
+    assert got == {(p, i) for p, cx, cy in pts for i, _, x, y, w, h in rows if x <= cx <= x + w and y <= cy <= y + h} and got
+    inside = lambda a, b: a[0] != b[0] and a[2] <= b[2] and a[3] <= b[3] and a[2] + a[4] >= b[2] + b[4] and a[3] + a[5] >= b[3] + b[5]
+    larger = lambda a, b: a[4] * a[5] > b[4] * b[5] or (a[4] * a[5] == b[4] * b[5] and a[0] < b[0])
+    want = {b[0]: min(((a[4] * a[5], a[0]) for a in rows if inside(a, b) and larger(a, b)), default=(0, None))[1] for b in rows}
+    assert {x["id"]: x["parent_id"] for x in zones.rect_parents(r).collect()} == want
+    sized = [a for a in rows if a[4] > 0 and a[5] > 0]
+    assert sorted(x["id"] for x in zones.holding_others(r).collect()) == sorted(a[0] for a in sized if any(inside(a, b) for b in sized))
+
+
 def test_zone_forest(spark):
     z = spark.createDataFrame([("g", "a", "A", None), ("g", "b", "B", "a"), ("g", "s", "S", "s"), ("g", "x", "X", "y"), ("g", "y", "Y", "x"), ("g", "u", "U", "gone")], "graph_id string, id string, name string, parent_id string")
     assert {r["id"]: r["depth"] for r in zones.depths(z).where("id in ('a','b','s','u')").collect()} == {"a": 0, "b": 1, "s": 0, "u": 0}
