@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, scratch, written
+from .common import components, scratch, trim, written
 from .simhash import Forest
 
 COSINE = 0.98
@@ -160,6 +160,7 @@ def _joiner(cosine: float, width: int, dense: int):
                 state.add(home[lo:hi], ids[lo:hi], n[lo:hi], x)
         if state is not None:
             yield from state.result()
+        trim()
 
     return join
 

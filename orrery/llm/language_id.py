@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .common import trim
+
 #: n-grams of 1 to 3 letters; those of a profile; those of a document.
 ORDERS, PROFILE, TOP = 3, 400, 300
 #: A profile is learned from about so many documents of each language, chosen by a hash of doc_id. This is the bound of what is learned from;
@@ -121,6 +123,7 @@ def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) ->
         for lang, held in total.items():
             codes, counts = _added(*held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "code", "n"])
+        trim()
 
     summed = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= size)
@@ -151,5 +154,6 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
         for b in batches:
             found = [profiles.predict(t) for t in b["__orrery_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+        trim()
 
     return own.mapInArrow(batch, StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))

@@ -34,10 +34,10 @@ class WordTokens:
     a text's ids are its words' ids in turn. Words are lower-cased, parted from the punctuation that ends them, and remembered with their ids. New words of plain
     letters go to the tokenizer many at once, where `</w>` ends each, without the steps that leave such words as they are; all others one by one."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.plain = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ids: dict[bytes, bytes] = {}
@@ -73,7 +73,7 @@ class WordTokens:
         # a special token's own text keeps its case, by which alone it is one
         split = [TAIL.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in texts)]
         every = set().union(*split)
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) > self.remembered:
             self.ids.clear()
         if new := list(every.difference(self.ids)):
             self._learn(new)
@@ -82,9 +82,9 @@ class WordTokens:
 
 
 @cache
-def tokens_of(path: str) -> WordTokens:
+def tokens_of(path: str, remembered: int) -> WordTokens:
     """One a worker process, which serves many tasks."""
-    return WordTokens(path)
+    return WordTokens(path, remembered)
 
 
 def portions(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
@@ -156,12 +156,12 @@ def plan(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return windows
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, doc_tokens, start, length, ids_crc32 and, if asked, ids: one row a piece. A text's ids are followed by END;
     a null text counts as empty, so each document has a piece. Whole texts are encoded, however long; repeated rows have pieces each; a null doc_id stays null; other columns are left out; an empty table gives an empty one."""
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(tokenizer_path)
+        tokens = tokens_of(tokenizer_path, remembered)
         for b in batches:
             for start, stop in portions([n or 0 for n in pc.binary_length(b["text"]).to_pylist()]):
                 part, rows = b.slice(start, stop - start), []

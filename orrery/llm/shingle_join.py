@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import simhash
-from .common import components, scratch, written
+from .common import components, scratch, trim, written
 
 WORDS, SEED = 5, 42
 #: Similar: 5 * |both| >= 4 * |either|, a Jaccard similarity of 0.8.
@@ -92,6 +92,7 @@ def sketched(docs: DataFrame, keep: list[str], order: Order) -> DataFrame:
             sig, fp, n, cold, bits, first = zip(*rows, strict=True) if rows else ([],) * 6
             longs = [pa.array(x, pa.int64()) for x in (sig, fp, n, cold)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, _lists(list(bits)), _lists(list(first))], [*b.schema.names[:-1], *NEW])
+        trim()
 
     own = docs.select(*keep, F.col("text").alias("__orrery_text"))
     schema = StructType(own.schema.fields[:-1])
@@ -110,6 +111,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t.as_py())[0] for t in b["text"].cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _lists(sets)], ["sig", "grams"])
+        trim()
 
     return docs.select("text").mapInArrow(batch, "sig long, grams array<long>")
 

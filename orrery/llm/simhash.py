@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import components, scratch, written
+from .common import components, scratch, trim, written
 
 BUDGET, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: More fingerprints than this with one value of a block are parted by their other bits.
 HOT = 20_000
 #: Node pairs that are expanded at once: bounds memory.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 #: Fingerprints that are joined at once, whole groups of them.
 CHUNK = 1 << 17
 
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, keep: list[str], n: int = SHINGLE) -> DataFram
         for b in batches:
             found = np.array([fingerprint(t, n) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.int64())], [*b.schema.names[:-1], "fp"])
+        trim()
 
     return own.mapInArrow(batch, StructType(own.schema.fields[:-1]).add("fp", LongType()))
 
@@ -221,6 +222,7 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
         for keys, values in _chunks(batches):
             edges = _edges(keys, values, budget)
             yield pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64())], ["a", "b"])
+        trim()
 
     return sorted_.mapInArrow(join, "a long, b long").distinct()
 
