@@ -13,6 +13,8 @@ from orrery.llm.common import scratch, small_batches, table, written
 from orrery.llm.queries import tokenizer_path, trained
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of which a packing worker remembers the ids: fewer than alone, since executors hold what earlier stages took.
+REMEMBERED = 60_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in the sequences."""
     small_batches(spark)
-    return packing.pack(written(packing.pieces(docs, tokenizer_path(), with_ids=False), "pieces"))
+    return packing.pack(written(packing.pieces(docs, tokenizer_path(), with_ids=False, remembered=REMEMBERED), "pieces"))
 
 
 STAGES = [
