@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
-from contextvars import ContextVar
+from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.tables import drop_written, fresh_path, scratch, shared_dir, written
+
+__all__ = ["drop_written", "fresh_path", "scratch", "shared_dir", "written"]
+
 #: White space of the word rule: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,17 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. On a local master, as in tests, a temporary one where it is unset; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 #: UTF-8 bytes of a batch of rows that goes to Python at once: a batch is held several times over there.
 BATCH_BYTES = 2 << 20
 
@@ -52,68 +41,6 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Settings (dots as double underscores) that hold for what runs inside; afterwards the session's own are back."""
-    own = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in own}
-    try:
-        for k, v in own.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it: cuts the lineage, survives lost executors, has a known size. Nothing reads the shuffles of the write again, so they are deleted with it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._orrery_path = path
-    if (held := _scratch.get()) is not None:
-        held.append(out)
-    return out
-
-
-def drop_written(*tables: DataFrame) -> None:
-    """Delete tables that written() made; the caller knows that nothing reads them any more."""
-    for df in tables:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._orrery_path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_scratch: ContextVar[list[DataFrame] | None] = ContextVar("_scratch", default=None)
-
-
-@contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables written inside are deleted at its end, also after an error, but for those that are handed to what this gives: a result reads them. Such a
-    table goes with an enclosing scratch(), if there is one, and else stays in the shared folder."""
-    held: list[DataFrame] = []
-    kept: list[DataFrame] = []
-    outer = _scratch.set(held)
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df)
-        return df
-
-    try:
-        yield keep
-    finally:
-        _scratch.reset(outer)
-        drop_written(*[t for t in held if all(t is not k for k in kept)])
-        if (above := _scratch.get()) is not None:
-            above.extend(kept)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -123,8 +50,8 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank") -> DataFrame:
-    """Add the 0-based rank of each row in the total order `order`, without a window over all rows.
+def global_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank", sums: tuple[str, ...] = ()) -> DataFrame:
+    """Add the 0-based rank of each row in the total order `order`, without a window over all rows; for each column of `sums` also before_<column>, its sum over the rows of a lower rank.
 
     Rows are range partitioned by sampled bounds, sorted within partitions and written once, each with its
     partition and its place there; partition offsets are the running sum of the partitions' row counts (a table of
@@ -136,13 +63,20 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__orrery_at", F.monotonically_increasing_id())
     kept = written(placed, name)
     part = F.shiftright("__orrery_at", 33).cast("int")
-    counts = {r["p"]: r["n"] for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    start = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "__orrery_p int, __orrery_start long"))  # one row a partition
-    return kept.withColumn("__orrery_p", part).join(start, "__orrery_p").withColumn(rank, F.col("__orrery_start") + F.col("__orrery_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__orrery_p", "__orrery_at", "__orrery_start")
+    found = kept.groupBy(part.alias("p")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate(sums)]).orderBy("p").collect()
+    offsets, total = [], [0] * (1 + len(sums))
+    for r in found:
+        offsets.append((r["p"], *total))
+        total = [a + (b or 0) for a, b in zip(total, r[1:], strict=True)]
+    made = "".join(f", __orrery_s{k} long" for k in range(len(sums)))
+    start = F.broadcast(spark.createDataFrame(offsets or [(0, *total)], "__orrery_p int, __orrery_start long" + made))  # one row a partition
+    out = kept.withColumn("__orrery_p", part)
+    if sums:
+        earlier = Window.partitionBy("__orrery_p").orderBy("__orrery_at").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in sums})
+    out = out.join(start, "__orrery_p").withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"__orrery_s{k}") for k, c in enumerate(sums)})
+    out = out.withColumn(rank, F.col("__orrery_start") + F.col("__orrery_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("__orrery_p", "__orrery_at", "__orrery_start", *[f"__orrery_s{k}" for k in range(len(sums))])
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -480,6 +480,14 @@ def test_mixing_edges(docs, none):
     assert len(kept) == out["copies"].sum() and set(kept.columns) >= {"doc_id", "text", "lang", "source"}
 
 
+def test_many_sources_have_the_same_targets(spark):
+    rng = np.random.default_rng(9)
+    s = spark.createDataFrame([(f"s{i:03d}", int(rng.integers(0, 1000) ** 2)) for i in range(300)] + [(None, 7)], "source string, source_size long")
+    few, many = ({r["source"]: (r["weight"], r["target"]) for r in mixing.targets(s, one_task=n).collect()} for n in (1000, 0))
+    assert few == many and len(few) == 301
+    assert mixing.targets(s.limit(0), one_task=-1).count() == 0
+
+
 def test_targets_by_hand(spark):
     s = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 50)], "source string, source_size long")
     t = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
