@@ -68,12 +68,14 @@ def graph_query(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edge = F.concat("src", F.lit("->"), "dst", F.lit(" ("), F.coalesce(F.nullif("label", F.lit("")), F.lit("flow")), F.lit(") data="), data)
     n = nodes.groupBy("graph_id").agg(F.substring(listed(node, "node_pos"), 1, QUERY_CHARS).alias("n"))
     e = edges.groupBy("graph_id").agg(F.substring(listed(edge, "edge_pos"), 1, QUERY_CHARS).alias("e"))
+    # fixed value
     text = F.concat(F.lit("Security knowledge needed for a system with components: "), F.coalesce("n", F.lit("")), F.lit(" | data flows: "), F.coalesce("e", F.lit("")))
     return n.join(e, "graph_id", "full").select("graph_id", text.alias("query"))
 
 
 def graph_queries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, query_pos, query): the graph's text, its riskiest flows, sensitive and public nodes; distinct but for case and white space, 8 at most."""
+    # fixed values: the texts of queries
     flow = F.concat(
         F.lit("Security controls and abuse cases for flow "), "src_label", F.lit(" ("), "src_zone", F.lit(") -> "), "dst_label", F.lit(" ("), "dst_zone", F.lit(") over "), "proto",
         F.lit("; data="), "items", F.lit(". Include authentication, authorization, encryption, and tampering risks."),

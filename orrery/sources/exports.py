@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from orrery.functions.text import escape_html, script_safe
 from orrery.operators import evidence
 
+# Headings of reports and names of JSON fields, here and below.
 NOTICE = "This report was generated with the help of a model and may contain errors; review it before use."
 NODE_FIELDS = ["id", "label", "zone", "zones", "zone_path", "type", "data", "auth", "notes"]
 

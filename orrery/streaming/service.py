@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,7 +54,8 @@ def job_states(events: DataFrame, ttl: int = 900) -> DataFrame:
             return
         pdf = pd.concat(batches, ignore_index=True).sort_values("t", kind="stable")
         t, status = int(pdf["t"].iloc[-1]), pdf["status"].iloc[-1]
-        if state.exists and state.get[0] > t:
+        if state.exists and state.get[0] > t:  # late events change nothing, but the job is alive
+            state.setTimeoutDuration(ttl * 1000)
             return
         state.update((t, status))
         state.setTimeoutDuration(ttl * 1000)
@@ -64,15 +66,76 @@ def job_states(events: DataFrame, ttl: int = 900) -> DataFrame:
     return own.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, status string, updated_at long", "t long, status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def upsert(states: DataFrame, path: str, checkpoint: str):
-    """K9: keeps a table of the latest state of each job; each micro-batch replaces it under a new version folder, so that a batch that is repeated writes the same."""
+def jobs(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """The queue as a stream: files of JSON lines under path, oldest first, as jobs(job_id, ts, status, payload)."""
+    return spark.readStream.schema("job_id string, ts timestamp, status string, payload string").option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
+#: Parts of the table of states: a micro-batch rewrites those that its jobs fall into.
+BUCKETS = 64
+
+
+def upsert(states: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, ttl: int | None = None):
+    """K9: keeps a table of the latest state of each job under path, partitioned by a hash of the job, read by latest(). A micro-batch rewrites only the partitions that its jobs fall into, by a new version of each and then a
+    manifest of the versions that count, so readers see whole batches and a batch that is repeated changes nothing; what the manifest no longer names is deleted. With ttl, jobs without a change for so many seconds go
+    when their partition is rewritten."""
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("job_id").agg(F.max_by(F.struct("status", "updated_at"), "updated_at").alias("s")).select("job_id", "s.*")
-        if n:
-            old = spark.read.schema(new.schema).parquet(f"{path}/v={n - 1}")
-            new = old.join(new.select("job_id"), "job_id", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/v={n}")
+        done, fs = _file(spark, f"{path}/manifest-{n}")
+        if fs.exists(done):  # a repeated batch that had been merged
+            return
+        new = batch.groupBy("job_id").agg(F.max_by(F.struct("status", "updated_at"), "updated_at").alias("s")).select("job_id", "s.*").withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+        before = versions(spark, path, n - 1)
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most `buckets`
+        old = [before[b] for b in touched if b in before]
+        if old:
+            kept = spark.read.schema(new.drop("bucket").schema).parquet(*old).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+            new = kept.join(new.select("job_id"), "job_id", "left_anti").unionByName(new)
+        if ttl is not None:
+            new = new.where(F.col("updated_at") >= F.unix_micros(F.current_timestamp()) - ttl * 1_000_000)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
+        now = {b: p for b, p in before.items() if b not in touched} | {b: f"{path}/v={n}/bucket={b}" for b in touched}
+        _put(spark, f"{path}/manifest-{n}", json.dumps(now))
+        for gone in set(before.values()) - set(now.values()):
+            _delete(spark, gone)
+        _delete(spark, f"{path}/manifest-{n - 2}")
 
     return states.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
+def versions(spark: SparkSession, path: str, n: int | None = None) -> dict[int, str]:
+    """The folder of each partition that has one, by the manifest of batch n, or the last."""
+    root, fs = _file(spark, path)
+    if not fs.exists(root):
+        return {}
+    found = sorted(int(f.getPath().getName().removeprefix("manifest-")) for f in fs.listStatus(root) if f.getPath().getName().startswith("manifest-"))
+    found = [k for k in found if n is None or k <= n]
+    if not found:
+        return {}
+    text = spark.read.text(f"{path}/manifest-{found[-1]}", wholetext=True).first()[0]
+    return {int(b): p for b, p in json.loads(text).items()}
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, status, updated_at): the table that upsert() keeps. Partitions whose jobs have all gone have no files."""
+    schema = "job_id string, status string, updated_at long"
+    here = [p for p in versions(spark, path).values() if _file(spark, p)[1].exists(_file(spark, p)[0])]
+    return spark.read.schema(schema).parquet(*here) if here else spark.createDataFrame([], schema)

@@ -84,5 +84,16 @@ def test_job_states_stream_and_upsert(spark, tmp_path):
     path = str(tmp_path / "out")
     q = service.upsert(states, path, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    last = sorted((tmp_path / "out").iterdir())[-1]
-    assert {r["job_id"]: r["status"] for r in spark.read.parquet(str(last)).collect()} == {"j": "running", "i": "queued"}
+    assert {r["job_id"]: r["status"] for r in service.latest(spark, path).collect()} == {"j": "running", "i": "queued"}
+    folder = str(tmp_path / "in")
+    for k in range(2):  # two more batches, each of one job
+        spark.createDataFrame([(f"n{k}", "2024-01-01 00:01:00", "queued")], "job_id string, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+        service.upsert(service.job_states(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)), path, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["job_id"]: r["status"] for r in service.latest(spark, path).collect()} == {"j": "running", "i": "queued", "n0": "queued", "n1": "queued"}
+    assert service.latest(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_queue_is_a_stream(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.json").write_text('{"job_id": "a", "ts": "2024-01-01T00:00:00Z", "status": "queued", "payload": "{}"}\n')
+    assert [r["job_id"] for r in run(service.jobs(spark, str(tmp_path / "q")), "jobs", spark)] == ["a"]

@@ -180,8 +180,16 @@ def test_gold_and_reports(spark, tmp_path):
 
 
 def test_config():
-    c = config.load('{"rate_limit": {"requests_per_minute": "${N:-7}", "trusted_proxies": "a, b", "scope": "$S"}, "queue": {"timeout_seconds": 5}, "other": 1}', {"S": "api_key"})
-    assert c.rate_limit.requests_per_minute == 7 and c.rate_limit.trusted_proxies == ["a", "b"] and c.rate_limit.scope == "api_key" and c.queue.timeout_seconds == 5 and c.limits.max_text_chars == 200_000
+    text = '{"security": {"rate_limit": {"requests_per_minute": "${N:-7}", "trusted_proxies": "a, b", "scope": "$S", "enabled": "no"}, "request_limits": {"allowed_image_types": ""}, "auth": {"mode": "none"}}, "engine": {"model": {"params": {"t": 1}, "aws_region": "x"}, "allowed_inputs": ["ir"]}, "server": {"port": "81"}, "other": 1}'
+    c = config.load(text, {"S": "api_key", "REDIS_URL": "redis://r"})
+    limit = c.security.rate_limit
+    assert limit.requests_per_minute == 7 and limit.trusted_proxies == ["a", "b"] and limit.scope == "api_key" and not limit.enabled and c.security.request_limits.max_text_chars == 200_000 and len(c.security.request_limits.allowed_image_types) == 3
+    assert c.server.port == 81 and c.engine.allowed_inputs == ["ir"] and c.engine.model.params == {"t": 1} and c.engine.model.aws_region == "x" and c.queue.redis_url == "redis://r" and c.observability.redact.input_content
+    assert config.load("{}", {"SERVE_API_KEYS": "k1, k2"}).security.auth.api_keys == ["k1", "k2"]
+    for bad in ("{}", '{"security": {"auth": {"mode": "none"}}, "queue": {"backend": "x"}}'):
+        with pytest.raises(config.ConfigError):
+            config.load(bad, {})
+    assert config.provider_ready(config.Model(), {}) == "OPENAI_API_KEY is required" and config.provider_ready(config.Model(), {"OPENAI_API_KEY": "x"}) is None and config.provider_ready(config.Model(provider="Ollama"), {}, images=True)
 
 
 def test_no_knowledge_base_is_left_out_of_many(spark):
