@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import json
 from contextlib import suppress
 
 import pyarrow as pa
@@ -50,6 +51,12 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def known_numbers(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small table of longs that the driver knows, as one literal that the JVM reads: createDataFrame would send a list through Python workers on the executors, which stay after it."""
+    kind = "array<struct<" + ",".join(f"{c}:bigint" for c in columns) + ">>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(columns, r, strict=True)) for r in rows])), kind)))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank", sums: tuple[str, ...] = ()) -> DataFrame:
     """Add the 0-based rank of each row in the total order `order`, without a window over all rows; for each column of `sums` also before_<column>, its sum over the rows of a lower rank.
 
@@ -62,14 +69,13 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__orrery_at", F.monotonically_increasing_id())
     kept = written(placed, name)
-    part = F.shiftright("__orrery_at", 33).cast("int")
+    part = F.shiftright("__orrery_at", 33)
     found = kept.groupBy(part.alias("p")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate(sums)]).orderBy("p").collect()
     offsets, total = [], [0] * (1 + len(sums))
     for r in found:
         offsets.append((r["p"], *total))
         total = [a + (b or 0) for a, b in zip(total, r[1:], strict=True)]
-    made = "".join(f", __orrery_s{k} long" for k in range(len(sums)))
-    start = F.broadcast(spark.createDataFrame(offsets or [(0, *total)], "__orrery_p int, __orrery_start long" + made))  # one row a partition
+    start = F.broadcast(known_numbers(spark, offsets, ["__orrery_p", "__orrery_start", *[f"__orrery_s{k}" for k in range(len(sums))]]))  # one row a partition
     out = kept.withColumn("__orrery_p", part)
     if sums:
         earlier = Window.partitionBy("__orrery_p").orderBy("__orrery_at").rowsBetween(Window.unboundedPreceding, -1)
