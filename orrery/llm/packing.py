@@ -4,6 +4,7 @@ window closest to its capacity; back-tracking gives how many of each length it t
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -161,6 +162,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     a null text counts as empty, so each document has a piece. Whole texts are encoded, however long; repeated rows have pieces each; a null doc_id stays null; other columns are left out; an empty table gives an empty one."""
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would each hold memory
         tokens = tokens_of(tokenizer_path, remembered)
         for b in batches:
             for start, stop in portions([n or 0 for n in pc.binary_length(b["text"]).to_pylist()]):
