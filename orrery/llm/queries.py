@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tools, embedding_dedup, hilbert_sharding, language_id, mixing, packing, quality_rules, simhash, url_filters, warc
+from . import alignment, chat_tools, embedding_dedup, hilbert_sharding, language_id, mixing, packing, quality_rules, simhash, suffix_dedup, url_filters, warc, whitening
 from .common import fresh_path, scratch, small_batches, table, written
 
 RULES = [
@@ -91,8 +91,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.score(alignment.links(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_sharding, op2_url_filters, op3_language_id, op4_warc, op5_quality_rules, op6_simhash, op7_tool_calls, op8_embedding_dedup, op9_packing, op10_mixing]
+    own = [op1_hilbert_sharding, op2_url_filters, op3_language_id, op4_warc, op5_quality_rules, op6_simhash, op7_tool_calls, op8_embedding_dedup, op9_packing, op10_mixing, op11_alignment, op12_suffix_dedup, op13_whitening]
     return {f.__name__: f for f in own}
 
 
