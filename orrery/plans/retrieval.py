@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.text import clamp, embed_model, entities, escape_html, language_name, overlap, page_text, tokens
-from orrery.operators import citations, index, retrieve
+from orrery.operators import blockmax, citations, clusters, index, retrieve
 from orrery.operators.flows import distinct_queries
 from orrery.plans.registry import query, table
 from orrery.sources import documents
+from orrery.tables import scratch, written
 
 TOK = "list_transform(list_filter(regexp_extract_all({}, '[A-Za-z0-9_:/.-]+'), lambda x: length(x) > 1), lambda x: lower(x))"
 DOC_TOK = TOK.format("text")
@@ -43,9 +44,11 @@ def corpus_bm25_stats(spark, sf_dir):
 
 
 def benchmark_hits(spark, sf_dir, k):
-    d = kb(table(spark, sf_dir, "documents"))
+    """The k best documents of each benchmark item, from a block-max index of all documents."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve.topk(retrieve.bm25_texts(q, d), k)
+    with scratch() as keep:
+        posts = keep(written(blockmax.postings(kb(table(spark, sf_dir, "documents"))), "postings"))
+        return keep(written(blockmax.search(q, posts, k)[0], "benchmark-hits"))
 
 
 BENCH_HITS = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({DOC_TOK}) AS term FROM benchmark),
@@ -77,7 +80,7 @@ dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM dk WHERE rank <= 8")
 def dense_topk(spark, sf_dir):
     """F2, J13, T2."""
-    hits = retrieve.topk(retrieve.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir)), 8)
+    hits, _ = clusters.search(vector_queries(spark, sf_dir), clusters.build(vectors(spark, sf_dir)), 8)
     return hits.select("query_id", "chunk_id", "score", "rank")
 
 
@@ -260,6 +263,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC
 def cross_kb_merge(spark, sf_dir):
     """Each label a knowledge base; the best of each, then the best of all."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("kb"), F.col("vec_id").alias("chunk_id"), "embedding")
-    each = retrieve.topk(retrieve.dense(vector_queries(spark, sf_dir), v), 8)
+    each, _ = clusters.search(vector_queries(spark, sf_dir), clusters.build(v), 8)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "kb", "chunk_id")
     return each.withColumn("pos", F.row_number().over(w)).where("pos <= 8").select("query_id", "kb", "chunk_id", "score", "pos")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.operators import service
 from orrery.plans.registry import query, table
+from orrery.streaming import service as streams
+from orrery.tables import fresh_path, settings
 
 
 def requests(spark, sf_dir) -> DataFrame:
@@ -28,6 +30,47 @@ def rate_limit_sliding(spark, sf_dir):
     return service.sliding_log(requests(spark, sf_dir), 2, 86400).drop("ts")
 
 
+def replayed(spark, events: DataFrame, operator, closing: dict, lateness_s: int = 3600, parts: int = 4) -> DataFrame:
+    """What a streaming operator makes of events(ts, ...) that arrive up to lateness_s late and out of order, in `parts` deliveries. The stream is stopped after half of them and goes on
+    from its checkpoint. A last row (`closing`) comes so late that the watermark reaches the last event."""
+    path = fresh_path(spark, "replay")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(lateness_s)).cast("long")
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + late * 1_000_000
+    first, last, end = events.agg(F.min(arrival), F.max(arrival), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    if first is None:
+        end = first = last = 0
+    part = F.least(F.floor((arrival - first) * parts / max(1, last - first)), F.lit(parts - 1))
+    end_row = events.sparkSession.range(1).select(*[F.lit(closing.get(c)).cast(t).alias(c) if c != "ts" else F.timestamp_micros(F.lit(-(-end // 1000) * 1000 + lateness_s * 1_000_000)).cast(t).alias(c) for c, t in events.dtypes])
+    for k in range(parts):
+        own = events.where(part == k)
+        (own.unionByName(end_row) if k == parts - 1 else own).write.mode("append").parquet(f"{path}/in")
+        if k in (parts // 2 - 1, parts - 1):
+            source = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+            with settings(spark, **{c.replace(".", "__"): v for c, v in streams.STATE_STORE.items()}):
+                run = operator(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
+            run.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, i, event_id, log, ok) AS (SELECT user_id, i, event_id, [t], true FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.i, e.event_id, CASE WHEN len(list_filter(log, lambda x: x >= e.t - 86400000000)) < 2 THEN list_append(list_filter(log, lambda x: x >= e.t - 86400000000), e.t) ELSE list_filter(log, lambda x: x >= e.t - 86400000000) END, len(list_filter(log, lambda x: x >= e.t - 86400000000)) < 2 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, user_id AS key, ok AS admitted FROM r""")
+def rate_limit_stream(spark, sf_dir):
+    """M2 as a stream with event-time state: all events, shuffled within an hour, by the SQL of the batch query."""
+    return replayed(spark, requests(spark, sf_dir), lambda s: streams.sliding_log(s, 2, 86400, "3600 seconds"), {"event_id": -1})
+
+
+@query("""WITH n AS (SELECT ceil(max(epoch_us(ts)) / 1000.0)::BIGINT * 1000 AS now FROM events), l AS (SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated_at FROM events GROUP BY 1)
+SELECT job_id, CASE WHEN epoch_us(updated_at) < now - 86400000000 THEN 'expired' ELSE status END AS status, epoch_us(updated_at) AS updated_at FROM l, n""")
+def job_state_stream(spark, sf_dir):
+    """M5 as a stream: each job's last row, expired where it had no event for a day of event time."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("status"))
+    out = replayed(spark, e, lambda s: streams.job_states(s, 86400, "3600 seconds"), {"event_id": -1})
+    last = F.max_by("status", F.struct("updated_at", "event_id", F.col("status") == "expired"))  # a job expires after the event it expires by
+    return out.where("job_id is not null").groupBy("job_id").agg(last.alias("status"), F.max("updated_at").alias("updated_at"))
+
+
 @query("""WITH x AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN '10.0.' || (event_id % 256) || '.1' ELSE '192.168.1.' || (event_id % 256) END AS host FROM events)
 SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN host WHEN event_id % 4 = 0 THEN '172.16.0.' || (event_id % 200) WHEN event_id % 4 = 1 THEN '2001:db8::' || (event_id % 100) ELSE host END AS ip, CASE WHEN event_id % 5 = 0 THEN 'k' || user_id ELSE host END AS key FROM x""")
 def client_identity(spark, sf_dir):

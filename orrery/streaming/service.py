@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, DataType, LongType, StringType, StructField, StructType
 
 
 def window_counts(requests: DataFrame, limit: int, seconds: int = 60, lateness: str = "5 minutes") -> DataFrame:
@@ -18,52 +19,128 @@ def window_counts(requests: DataFrame, limit: int, seconds: int = 60, lateness:
     return n.select("key", F.col("window.start").alias("start"), "n", F.least("n", F.lit(limit)).alias("admitted"), F.greatest(F.col("n") - limit, F.lit(0)).alias("rejected"))
 
 
-def sliding_log(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """M2: requests(event_id, ts, key) -> (event_id, key, admitted). State of a key: the times of its last admitted requests, `limit` at most; it ends `seconds` after the last one in processing time."""
+#: The state store that transformWithState needs, as a setting of the session while a query starts.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(batches, ignore_index=True).sort_values(["t", "event_id"], kind="stable")
-        out = []
-        for event, t in zip(pdf["event_id"], pdf["t"], strict=True):
-            log = [x for x in log if x >= t - seconds * 1_000_000]
-            ok = len(log) < limit
-            if ok:
-                log.append(int(t))
-            out.append((event, key[0], ok))
-        state.update((log,))
-        state.setTimeoutDuration(2 * seconds * 1000)
-        yield pd.DataFrame(out, columns=["event_id", "key", "admitted"])
-
-    own = requests.select("event_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    types = dict(requests.dtypes)
-    return own.groupBy("key").applyInPandasWithState(step, f"event_id {types['event_id']}, key {types['key']}, admitted boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def job_states(events: DataFrame, ttl: int = 900) -> DataFrame:
-    """M5: events(job_id, ts, status) -> (job_id, status, updated_at) whenever a job's latest status changes; `expired` once it has had no event for the time to live."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], "expired", last[0])], columns=["job_id", "status", "updated_at"])
-            return
-        pdf = pd.concat(batches, ignore_index=True).sort_values("t", kind="stable")
-        t, status = int(pdf["t"].iloc[-1]), pdf["status"].iloc[-1]
-        if state.exists and state.get[0] > t:  # late events change nothing, but the job is alive
-            state.setTimeoutDuration(ttl * 1000)
-            return
-        state.update((t, status))
-        state.setTimeoutDuration(ttl * 1000)
-        yield pd.DataFrame([(key[0], status, t)], columns=["job_id", "status", "updated_at"])
 
-    own = events.select("job_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    kind = dict(events.dtypes)["job_id"]
-    return own.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, status string, updated_at long", "t long, status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class _KeyedTimer(StatefulProcessor):
+    """A processor that has one event-time timer a key at most: registering another replaces it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", StructType([StructField("ms", LongType())]))
+
+    def wake(self, ms: int | None) -> None:
+        """Be called once the watermark reaches `ms` (milliseconds since 1970); None: not at all."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old == ms:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def fired(self) -> None:
+        self.timer.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class _SlidingLog(_KeyedTimer):
+    """State of a key: the requests that wait for the watermark, and the times of those admitted within the window behind it."""
+
+    def __init__(self, limit: int, micros: int, event: DataType):
+        self.limit, self.micros, self.event = limit, micros, event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", StructType([StructField("t", LongType()), StructField("event_id", self.event)]))
+        self.log = handle.getListState("log", StructType([StructField("t", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
+        new = [(r["t"], r["event_id"]) for r in rows]
+        self.waiting.appendList(new)
+        first = -(-min(t for t, _ in new) // 1000)
+        old = self.timer.get()[0] if self.timer.exists() else None
+        self.wake(first if old is None else min(first, old))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.fired()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(x) for x in self.waiting.get())
+        log = deque(x[0] for x in self.log.get())
+        out, at = [], 0
+        while at < len(waiting) and waiting[at][0] <= now:  # nothing earlier can come any more
+            t, event = waiting[at]
+            while log and log[0] < t - self.micros:
+                log.popleft()
+            admitted = len(log) < self.limit
+            if admitted:
+                log.append(t)
+            out.append(Row(event_id=event, key=key[0], admitted=admitted))
+            at += 1
+        while log and log[0] < now - self.micros:
+            log.popleft()
+        rest = waiting[at:]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.log.put([(t,) for t in log]) if log else self.log.clear()
+        # with neither, the key has no state left
+        self.wake(-(-rest[0][0] // 1000) if rest else (log[-1] + self.micros) // 1000 + 1 if log else None)
+        return iter(out)
+
+
+def sliding_log(requests: DataFrame, limit: int, seconds: int = 60, lateness: str = "5 minutes") -> DataFrame:
+    """M2: requests(event_id, ts, key) -> (event_id, key, admitted), as the batch operator decides it, whatever order requests come in.
+
+    A request waits until the watermark has passed its time, since an earlier one might still come; then those of its key are judged by (ts, event_id). Requests that come later than
+    `lateness` are dropped. A key's state ends once the watermark is a window past its last admitted request. The session needs STATE_STORE when the query starts.
+    """
+    schema = requests.select("event_id", "key").schema
+    own = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select("event_id", "key", "ts", F.unix_micros("ts").alias("t"))
+    processor = _SlidingLog(limit, seconds * 1_000_000, schema["event_id"].dataType)
+    return own.groupBy("key").transformWithState(processor, StructType([schema["event_id"], schema["key"], StructField("admitted", BooleanType())]), "append", "eventTime")
+
+
+class _JobStates(_KeyedTimer):
+    """State of a job: its latest event."""
+
+    def __init__(self, micros: int, event: DataType):
+        self.micros, self.event = micros, event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", StructType([StructField("t", LongType()), StructField("event_id", self.event), StructField("status", StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        t, event, status = max(((r["t"], r["event_id"], r["status"]) for r in rows), key=lambda x: x[:2])
+        before = tuple(self.last.get()) if self.last.exists() else None
+        if before is not None and before[:2] >= (t, event):
+            return iter(())
+        self.last.update((t, event, status))
+        self.wake((t + self.micros) // 1000 + 1)
+        return iter([Row(job_id=key[0], status=status, updated_at=t, event_id=event)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        t, event, _ = self.last.get()
+        self.fired()
+        self.last.clear()
+        return iter([Row(job_id=key[0], status="expired", updated_at=t, event_id=event)])
+
+
+def job_states(events: DataFrame, ttl: int = 900, lateness: str = "5 minutes") -> DataFrame:
+    """M5: events(job_id, ts, status, event_id) -> (job_id, status, updated_at, event_id) whenever a job's latest status changes, by (ts, event_id) and not by arrival; `expired`, with the time of its last
+    event, once the watermark is more than the time to live past that. A job's state ends with that. The session needs STATE_STORE when the query starts."""
+    if "event_id" not in events.columns:
+        events = events.withColumn("event_id", F.lit(0))
+    schema = events.select("job_id", "event_id").schema
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select("job_id", "event_id", "status", "ts", F.unix_micros("ts").alias("t"))
+    out = StructType([schema["job_id"], StructField("status", StringType()), StructField("updated_at", LongType()), schema["event_id"]])
+    return own.groupBy("job_id").transformWithState(_JobStates(ttl * 1_000_000, schema["event_id"].dataType), out, "append", "eventTime")
 
 
 def jobs(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
