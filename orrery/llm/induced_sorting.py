@@ -2,7 +2,8 @@
 
 Suffixes are classified, the substrings between leftmost-smaller suffixes are sorted by induction and named, the string of names is sorted by the same
 procedure, and its order induces the whole array in linear time. A string of few symbols is induced bucket by bucket, all suffixes of a bucket at once by
-numpy; the much shorter strings of names, which have many symbols, suffix by suffix.
+numpy; the much shorter strings of names, which have many symbols, by stretches of the array that don't write into
+themselves.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import numpy as np
 
 #: Symbols up to which a string is induced bucket by bucket: those of bytes, a separator and the end.
 FEW = 258
+#: Places of the array that are read at once, to begin with.
+STRETCH = 256
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -85,34 +88,66 @@ def _induce_buckets(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, ki
     return out
 
 
-def _induce_single(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, kinds: int) -> np.ndarray:
-    """The same, one suffix after the other, for strings of many symbols."""
+def _scan(out: np.ndarray, before: np.ndarray, heads: np.ndarray) -> None:
+    """Read `out` from its start and put the suffix before each, where before[suffix] is a symbol and not -1, at that symbol's head, which moves on.
+
+    A stretch is read at once up to the first place that it writes to itself; where such stretches are short, as in runs of one symbol, suffixes go one by one.
+    """
+    n, at, most, differs = len(out), 0, STRETCH, np.empty(16 * STRETCH, bool)
+    while at < n:
+        items = out[at : at + most]
+        symbols = before[items]  # an empty place is -1, which reads the last entry, -1
+        source = np.flatnonzero(symbols >= 0)
+        if not len(source):
+            at += len(items)
+            continue
+        first = np.minimum.accumulate(heads[symbols[source]]) - at
+        free = int(np.count_nonzero(first > source))
+        if free < 16 and free < len(source):
+            for k in range(at, min(n, at + 256)):
+                i = int(out[k])
+                c = int(before[i])
+                if c >= 0:
+                    out[heads[c]] = i - 1
+                    heads[c] += 1
+            at = min(n, at + 256)
+            most = max(STRETCH // 4, most // 2)
+            continue
+        stop = min(int(first[free - 1]), len(items) if free == len(source) else int(source[free]))
+        symbols = symbols[source[:free]]
+        order = np.argsort(symbols, kind="stable")
+        symbols = symbols[order]
+        differs[0] = True
+        np.not_equal(symbols[1:], symbols[:-1], out=differs[1:free])
+        new = np.flatnonzero(differs[:free])
+        sizes = np.empty_like(new)
+        np.subtract(new[1:], new[:-1], out=sizes[:-1])
+        sizes[-1] = free - new[-1]
+        to = heads[symbols] + np.arange(free) - np.repeat(new, sizes)
+        out[to] = items[source[:free]][order] - 1
+        heads[symbols[new]] += sizes
+        at += stop
+        most = min(2 * most if stop == len(items) else max(STRETCH // 4, 2 * stop), 16 * STRETCH)
+
+
+def _induce_stretches(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, kinds: int) -> np.ndarray:
+    """The same for strings of many symbols, by stretches of the array."""
     sizes = np.bincount(text, minlength=kinds)
     ends = np.cumsum(sizes)
-    n, symbols = len(text), text.tolist()
+    n, last = len(text), text[:-1].astype(np.int64)
     order, place, many = _grouped(text[seeds], kinds)
-    first = np.full(n, -1, np.int64)
-    first[np.repeat(ends - many, many) + place] = seeds[order]
-    # the symbol of the suffix before, or -1 where that isn't of the kind asked for
-    before = np.append(-1, text[:-1].astype(np.int64))
-    larger, smaller_ = np.append(True, smaller[:-1]), np.append(True, ~smaller[:-1])
-    larger[0] = smaller_[0] = True
-    out, heads = first.tolist(), (ends - sizes).tolist()
-    want = np.where(larger, -1, before).tolist()
-    for i in out:  # the list grows to its right while it is read
-        if i > 0 and (c := want[i]) >= 0:
-            out[heads[c]] = i - 1
-            heads[c] += 1
-    tails = (ends - 1).tolist()
-    out[tails[symbols[-1]]] = n - 1
-    tails[symbols[-1]] -= 1
-    want = np.where(smaller_, -1, before).tolist()
-    for at in range(n - 1, -1, -1):
-        i = out[at]
-        if i > 0 and (c := want[i]) >= 0:
-            out[tails[c]] = i - 1
-            tails[c] -= 1
-    return np.array(out, np.int32)
+    out = np.full(n, -1, np.int32)
+    out[np.repeat(ends - many, many) + place] = seeds[order]
+    # by suffix, the symbol of the suffix before it, or -1 where that is of the other kind or there is none
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = np.where(smaller[:-1], -1, last)
+    _scan(out, before, ends - sizes)
+    tails = ends - 1
+    out[tails[text[-1]]] = n - 1
+    tails[text[-1]] -= 1
+    before[1:n] = np.where(smaller[:-1], last, -1)
+    _scan(out[::-1], before, n - 1 - tails)
+    return out
 
 
 def _names(text: np.ndarray, places: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -140,7 +175,7 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
         return np.zeros(1, np.int32)
     smaller = classify(text)
     seeds = leftmost(smaller)
-    induce = _induce_buckets if kinds <= FEW else _induce_single
+    induce = _induce_buckets if kinds <= FEW else _induce_stretches
     is_seed = np.zeros(len(text), bool)
     is_seed[seeds] = True
     found = induce(text, smaller, seeds, kinds)

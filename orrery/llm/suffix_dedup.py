@@ -23,7 +23,7 @@ from .induced_sorting import common_prefixes, suffix_array
 #: Bytes of a string whose repetition counts; bytes of the strings whose hashes are keys.
 LENGTH, GRAM = 400, 64
 #: Distinct bytes of a shard's segments, about; a key with more is parted.
-SHARD = 512 << 10
+SHARD = 1 << 20
 #: Window starts of a segment at most: runs of a short period share a key for long. Bytes that are hashed at once.
 LONGEST, PORTION = 4096, 256 << 10
 #: An odd base of the polynomial hash.
