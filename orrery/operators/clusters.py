@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.functions.vectors import EPSILON, norm
-from orrery.operators.retrieve import blocks, topk
+from orrery.functions.vectors import EPSILON
+from orrery.operators.retrieve import blocks, checked, topk
 from orrery.tables import scratch, written
 
 #: Vectors that centroids are fitted on, at most; centroids, at most; rounds of fitting; clusters that a query visits first.
@@ -104,13 +104,6 @@ def _near(queries: DataFrame, centres: np.ndarray) -> DataFrame:
     return queries.select("query_id", "_q").mapInArrow(run, T.StructType([kind, T.StructField("cluster", T.IntegerType()), T.StructField("far", T.DoubleType())]))
 
 
-def checked(queries: DataFrame) -> DataFrame:
-    """queries(query_id, embedding) -> query_id, _q, _n. A query without direction (a zero vector, or one without finite entries) is an error."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_n"))
-    fine = _finite(F.col("_q")) & (F.col("_n") > 0)
-    return q.withColumn("_n", F.when(fine, F.col("_n")).otherwise(F.raise_error(F.concat(F.lit("the embedding of query "), F.col("query_id").cast("string"), F.lit(" has no direction"))).cast("double")))
-
-
 def _scores(queries: DataFrame, found: Clusters, wanted: DataFrame) -> DataFrame:
     """Scores of the wanted(query_id, kb, cluster): each vector meets the queries that want its cluster, which are sent to the vectors."""
     pairs = wanted.select("query_id", "kb", "cluster").join(queries, "query_id")

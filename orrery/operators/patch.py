@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.zones import closure, depths
+from orrery.operators.zones import above, depths, intervals
+from orrery.tables import scratch, written
 
 NONE = "cast(array() as array<string>)"
 
@@ -26,8 +27,8 @@ def resolve_zones(refs: DataFrame, zones: DataFrame) -> DataFrame:
     return out.withColumn("zone_id", F.coalesce("_id", "_name")).drop("_id", "_name", "_low")
 
 
-def normalised_zones(hints: DataFrame, nodes: DataFrame, zones: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """hints(graph_id, id, zones), nodes(graph_id, id, zones) -> (graph_id, id, zones). `up` is the zones' closure, if it is at hand.
+def normalised_zones(hints: DataFrame, nodes: DataFrame, zones: DataFrame, labels: DataFrame | None = None, level: DataFrame | None = None) -> DataFrame:
+    """hints(graph_id, id, zones), nodes(graph_id, id, zones) -> (graph_id, id, zones). `labels` are the zones' intervals and `level` their depths, if they are at hand.
 
     Hinted zones are resolved. Where the node has zones: those that are above or below one of them join them, from outer to inner; if there are none, its
     zones stay. Where it has none: the resolved ones, or the hint as it is if nothing resolves.
@@ -35,11 +36,14 @@ def normalised_zones(hints: DataFrame, nodes: DataFrame, zones: DataFrame, up: D
     asked = hints.select("graph_id", "id", F.posexplode("zones").alias("pos", "ref")).where("coalesce(ref, '') <> ''")
     mapped = resolve_zones(asked, zones).where("zone_id is not null").groupBy("graph_id", "id", "zone_id").agg(F.min("pos").alias("pos"))
     have = nodes.select("graph_id", "id", F.posexplode("zones").alias("pos", "zone_id"))
-    up = closure(zones) if up is None else up
-    related = up.select("graph_id", F.col("id").alias("zone_id"), F.col("ancestor").alias("other")).unionByName(up.select("graph_id", F.col("ancestor").alias("zone_id"), F.col("id").alias("other")))
-    fits = mapped.join(related.join(have.select("graph_id", F.col("id").alias("node"), F.col("zone_id").alias("other")), ["graph_id", "other"]).select("graph_id", F.col("node").alias("id"), "zone_id").distinct(), ["graph_id", "id", "zone_id"], "left_semi")
+    labels = intervals(zones) if labels is None else labels
+    label = lambda df, as_: df.join(labels.select("graph_id", F.col("id").alias("zone_id"), "root", "enter", "leave"), ["graph_id", "zone_id"], "left").alias(as_)
+    m, h = label(mapped, "m"), label(have, "h")
+    near = (F.col("m.graph_id") == F.col("h.graph_id")) & (F.col("m.id") == F.col("h.id")) & ((F.col("m.zone_id") == F.col("h.zone_id")) | above("m", "h") | above("h", "m"))
+    fits = m.join(h, near, "left_semi").select("graph_id", "id", "zone_id", "pos")
     base = have.withColumn("part", F.lit(0)).unionByName(fits.withColumn("part", F.lit(1)))
-    level = depths(zones, up).select("graph_id", F.col("id").alias("zone_id"), "depth")
+    level = depths(zones) if level is None else level
+    level = level.select("graph_id", F.col("id").alias("zone_id"), "depth")
     once = base.groupBy("graph_id", "id", "zone_id").agg(F.min(F.struct("part", "pos")).alias("at")).join(level, ["graph_id", "zone_id"], "left")
     joined = once.groupBy("graph_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "at", "zone_id"))), lambda x: x["zone_id"]).alias("joined"))
     plain = mapped.groupBy("graph_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "zone_id"))), lambda x: x["zone_id"]).alias("plain"))
@@ -61,8 +65,10 @@ def merged_data(own, more):
 def patch_nodes(nodes: DataFrame, hints: DataFrame, zones: DataFrame) -> DataFrame:
     """Nodes ⟕ hints(graph_id, id, attrs map<string,string>, zones array, data array). Unknown ids are ignored. label, type, auth and notes are taken where the key is present; a zone hint is resolved;
     a node's zone follows the innermost of its zones."""
-    up = closure(zones)
-    fresh = normalised_zones(hints.where("zones is not null"), nodes, zones, up).withColumnRenamed("zones", "_zones")
+    with scratch() as keep:
+        labels = keep(intervals(zones))
+        level = keep(written(depths(zones), "zone-depths"))
+    fresh = normalised_zones(hints.where("zones is not null"), nodes, zones, labels, level).withColumnRenamed("zones", "_zones")
     one = resolve_zones(hints.where("attrs['zone'] is not null and attrs['zone'] <> ''").select("graph_id", "id", F.col("attrs")["zone"].alias("ref")), zones).select("graph_id", "id", F.coalesce("zone_id", "ref").alias("_zone"))
     h = hints.select("graph_id", "id", "attrs", F.col("data").alias("_data"), F.lit(True).alias("_hit"))
     out = nodes.join(h, ["graph_id", "id"], "left").join(fresh, ["graph_id", "id"], "left").join(one, ["graph_id", "id"], "left")
@@ -78,7 +84,7 @@ def patch_nodes(nodes: DataFrame, hints: DataFrame, zones: DataFrame) -> DataFra
     })
     out = out.withColumn("zones", F.when((F.size("zones") == 0) & F.col("_zone").isNotNull(), F.array("_zone")).otherwise(F.col("zones")))
     names = zones.select("graph_id", F.col("id").alias("_inner"), F.col("name").alias("_name"))
-    level = depths(zones, up).select("graph_id", F.col("id").alias("z"), "depth")
+    level = level.select("graph_id", F.col("id").alias("z"), "depth")
     inner = out.where("_hit").select("graph_id", "id", F.posexplode("zones").alias("p", "z")).join(level, ["graph_id", "z"], "left")
     inner = inner.groupBy("graph_id", "id").agg(F.max_by("z", F.struct(F.coalesce("depth", F.lit(0)), "p")).alias("_inner"))
     out = out.join(inner, ["graph_id", "id"], "left").join(names, ["graph_id", "_inner"], "left")

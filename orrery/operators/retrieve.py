@@ -9,11 +9,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from orrery.functions.text import tokens
 from orrery.functions.vectors import dot, norm
@@ -117,12 +116,19 @@ def bm25_texts(queries: DataFrame, chunked: DataFrame) -> DataFrame:
     return bm25(queries, posts, index.lengths(chunked))
 
 
+def checked(queries: DataFrame) -> DataFrame:
+    """queries(query_id, embedding) -> query_id, _q, _n (its norm). A query without direction (a zero vector, or one with entries that are null or not finite) is an error."""
+    q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_n"))
+    fine = F.coalesce((F.col("_n") > 0) & (F.col("_n") < float("inf")), F.lit(False))  # NaN counts as larger than all
+    return q.withColumn("_n", F.when(fine, F.col("_n")).otherwise(F.raise_error(F.concat(F.lit("the embedding of query "), F.coalesce(F.col("query_id").cast("string"), F.lit("null")), F.lit(" has no direction"))).cast("double")))
+
+
 def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """queries(query_id, embedding), vectors(kb, chunk_id, embedding) -> query_id, kb, chunk_id, score: each query against each vector.
 
-    The stated set of queries is sent to the vectors in blocks whose size is checked, so vectors aren't shuffled.
+    The stated set of queries is sent to the vectors in blocks whose size is checked, so vectors aren't shuffled. clusters.search() gives the best of each query without comparing all.
     """
-    q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_n"))
+    q = checked(queries)
     v = vectors.select("kb", "chunk_id", "embedding", norm(F.col("embedding")).alias("_m"))
     score = dot(F.col("embedding"), F.col("_q")) / ((F.col("_m") + 1e-10) * (F.col("_n") + 1e-10))
     return reduce(DataFrame.unionByName, [v.join(block, F.lit(True)).select("query_id", "kb", "chunk_id", score.alias("score")) for block in blocks(q)])
@@ -244,33 +250,47 @@ def rerank(cands: DataFrame, requests: DataFrame, fn: Callable[[str, list[str]],
     return own.groupBy("request_id").applyInPandas(one, StructType([*own.drop("query").schema, StructField("rerank_raw", DoubleType())]))
 
 
-def mmr(cands: DataFrame, k: int, trade: float = 0.7, max_per_source: int = 2, by: str = "request_id", order: tuple[str, ...] = ("final_score", "pos")) -> DataFrame:
-    """Maximal marginal relevance: (by, source, final_score, vector, pos, ...) -> at most k rows of each request with `mmr_rank`.
+def mmr(cands: DataFrame, k: int, trade: float = 0.7, max_per_source: int = 2, by: str = "request_id", order: tuple[str, ...] = ("final_score", "pos"), digits: int = 9) -> DataFrame:
+    """Maximal marginal relevance: (by, source, final_score, vector, pos, ...) -> at most k rows of each request with `mmr_rank`.
 
-    Greedy: the next row has the highest trade * score - (1 - trade) * largest cosine to those chosen; the first wins ties; rows of a source that
-    has max_per_source chosen are passed over (0: no cap; a source that is null or empty has none). Its input is bounded by the number of candidates.
+    Greedy: the next row has the highest trade * score - (1 - trade) * largest cosine to those chosen, rounded to `digits`; the first wins ties; rows of a source that
+    has max_per_source chosen are passed over (0: no cap; a source that is null or empty has none). A request's candidates, a bounded number, are one array, and the choice is a fold over k steps
+    whose state holds the places chosen and each candidate's largest cosine to them.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), ascending=[c == "pos" for c in order], ignore_index=True, kind="stable")
-        n, taken, chosen = len(pdf), {}, []
-        rel, sources = pdf["final_score"].to_numpy(float), pdf["source"].tolist()
-        vec = np.stack([np.asarray(v, float) for v in pdf["vector"]])
-        lengths = np.linalg.norm(vec, axis=1)
-        nearest, free = np.full(n, -np.inf), np.ones(n, bool)
-        while len(chosen) < k:
-            open_ = free & np.array([not (s and max_per_source > 0 and taken.get(s, 0) >= max_per_source) for s in sources])
-            if not open_.any():
-                break
-            value = trade * rel - (1 - trade) * (nearest if chosen else 0.0)
-            i = int(np.argmax(np.where(open_, value, -np.inf)))
-            chosen.append(i)
-            free[i] = False
-            taken[sources[i]] = taken.get(sources[i], 0) + 1
-            nearest = np.maximum(nearest, vec @ vec[i] / (lengths * lengths[i] + 1e-10))
-        return pdf.iloc[chosen].assign(mmr_rank=np.arange(1, len(chosen) + 1, dtype="int32"))
-
-    return cands.groupBy(by).applyInPandas(one, StructType([*cands.schema, StructField("mmr_rank", IntegerType())]))
+    c = F.col
+    lows = [(-c(x)).alias(x) if x != "pos" else c(x) for x in order]
+    row = F.struct(*lows, F.struct(*[c(x) for x in cands.columns if x != by]).alias("row"), norm(c("vector")).alias("length"))
+    lists = cands.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("_c"))
+    # what the fold looks at, by place
+    lists = lists.select(by, F.transform("_c", lambda x: x["row"]).alias("_c"), F.transform("_c", lambda x: F.struct(x["row"]["source"].alias("source"), x["row"]["final_score"].cast("double").alias("score"), x["row"]["vector"].alias("vector"), x["length"].alias("length"))).alias("_v"))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("chosen"), F.transform("_v", lambda x: F.lit(0.0)).alias("nearest"))
+    at = lambda i: F.get(c("_v"), i)
+
+    def step(state: Column, _: Column) -> Column:
+        chosen, nearest = state["chosen"], state["nearest"]
+
+        def value(x: Column, i: Column) -> Column:
+            taken = F.size(F.filter(chosen, lambda j: at(j)["source"] == x["source"]))
+            full = (F.coalesce(x["source"].cast("string"), F.lit("")) != "") & (taken >= max_per_source) if max_per_source > 0 else F.lit(False)
+            score = F.round(trade * x["score"] - (1 - trade) * F.get(nearest, i), digits)
+            return F.when(~F.array_contains(chosen, i) & ~full, F.struct(score.alias("value"), (-i).alias("i")))
+
+        def take(best: Column) -> Column:
+            new = -best["i"]
+            b = at(new)
+            near = F.transform("_v", lambda x, i: let_max(F.get(nearest, i), dot(x["vector"], b["vector"]) / (x["length"] * b["length"] + 1e-10), F.size(chosen) == 0))
+            return F.struct(F.concat(chosen, F.array(new)).alias("chosen"), near.alias("nearest"))
+
+        best = F.array_max(F.transform("_v", value))
+        return F.element_at(F.transform(F.array(best), lambda x: F.when(x.isNull(), state).otherwise(take(x))), 1)
+
+    def let_max(before: Column, now: Column, first: Column) -> Column:
+        return F.when(first, now).otherwise(F.greatest(before, now))
+
+    folded = lists.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step))
+    out = folded.select(by, "_c", F.posexplode("_s.chosen").alias("_n", "_i")).select(by, (c("_n") + 1).alias("mmr_rank"), F.get("_c", "_i").alias("_r"))
+    return out.select(*[c(by) if x == by else c("_r")[x].alias(x) for x in cands.columns], "mmr_rank")
 
 
 def context_block(kb: Column, chunk_id: Column, score: Column, source: Column, text: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.tables import scratch, written
@@ -28,38 +28,48 @@ def holds_point(r: str, x: Column, y: Column) -> Column:
     return x.between(c(f"{r}.x"), c(f"{r}.x") + c(f"{r}.width")) & y.between(c(f"{r}.y"), c(f"{r}.y") + c(f"{r}.height"))
 
 
-#: Rectangles a cell of a diagram's grid, about; cells a side, at most. A rectangle has a row for each cell that it meets.
-PER_CELL, MOST_CELLS = 32, 64
+#: Levels of the grid: on level k a diagram's longer side is 2**k cells.
+LEVELS = 16
 
 
 def grid(rects: DataFrame) -> DataFrame:
-    """(graph_id, _x0, _y0, _sx, _sy, _g): a grid of _g times _g cells over each diagram's rectangles, so that a large diagram's joins spread over many tasks and compare neighbours only."""
-    found = rects.groupBy("graph_id").agg(
-        F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max(F.col("x") + F.col("width")).alias("_x1"), F.max(F.col("y") + F.col("height")).alias("_y1"),
-        F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / PER_CELL)))).cast("int").alias("_g"),
-    )
-    side = lambda lo, hi: F.greatest((F.col(hi) - F.col(lo)) / F.col("_g"), F.lit(1e-300))
-    return found.select("graph_id", "_x0", "_y0", side("_x0", "_x1").alias("_sx"), side("_y0", "_y1").alias("_sy"), "_g")
+    """(graph_id, _x0, _y0, _side): each diagram's corner and its longer side, which the grid's cells halve from level to level."""
+    found = rects.groupBy("graph_id").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max(F.col("x") + F.col("width")).alias("_x1"), F.max(F.col("y") + F.col("height")).alias("_y1"))
+    return found.select("graph_id", "_x0", "_y0", F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-300)).alias("_side"))
 
 
-def _step(value: Column, axis: str) -> Column:
-    """The cell of a coordinate; rises with it, so a rectangle's cells are those between its ends'."""
-    return F.greatest(F.lit(0.0), F.least(F.floor((value - F.col(f"_{axis}0")) / F.col(f"_s{axis}")).cast("double"), F.col("_g") - 1.0)).cast("int")
-
-
-def at_cell(df: DataFrame, cells: DataFrame, x: Column, y: Column) -> DataFrame:
-    return df.join(cells, "graph_id").withColumns({"_cx": _step(x, "x"), "_cy": _step(y, "y")}).drop(*cells.columns[1:])
+def _cell(value: Column, axis: str, level: Column) -> Column:
+    """The cell of a coordinate on a level; rises with it. What lies outside of the grid is in its first or last cell."""
+    cells = F.pow(F.lit(2.0), level)
+    return F.greatest(F.lit(0.0), F.least(F.floor((value - F.col(f"_{axis}0")) / F.col("_side") * cells).cast("double"), cells - 1)).cast("int")
 
 
 def in_cells(rects: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each rectangle in the cells that it meets on the level whose cells are as long as its longer side or longer, less than twice: 4 cells at most, whatever the rectangles are."""
     own = rects.where("x is not null and y is not null and width >= 0 and height >= 0").join(cells, "graph_id")
-    c = F.col
-    own = own.withColumn("_cx", F.explode(F.sequence(_step(c("x"), "x"), _step(c("x") + c("width"), "x")))).withColumn("_cy", F.explode(F.sequence(_step(c("y"), "y"), _step(c("y") + c("height"), "y"))))
-    return own.drop(*cells.columns[1:])
+    long = F.greatest("width", "height")
+    level = F.when(long > 0, F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(-F.log2(long / F.col("_side"))).cast("int")))).otherwise(F.lit(LEVELS))
+    own = own.withColumn("_level", level)
+    ends = {f"_{a}{e}": _cell(F.col(a) + (F.col(n) if e else F.lit(0)), a, F.col("_level")) for a, n in (("x", "width"), ("y", "height")) for e in ("", 1)}
+    own = own.withColumns({f"_c{k[1:]}": v for k, v in ends.items()})
+    both = [F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("_cx", "_cx1") for y in ("_cy", "_cy1")]
+    own = own.withColumn("_c", F.explode(F.array_distinct(F.array(*both))))
+    return own.withColumns({"_cx": F.col("_c.x"), "_cy": F.col("_c.y")}).drop("_c", "_cx1", "_cy1", *cells.columns[1:])
+
+
+def at_cell(df: DataFrame, cells: DataFrame, x: Column, y: Column, levels: DataFrame) -> DataFrame:
+    """A point's cell on each level of `levels`(graph_id, _level) that some rectangle is on."""
+    own = df.join(cells, "graph_id").join(levels, "graph_id")
+    return own.withColumns({"_cx": _cell(x, "x", F.col("_level")), "_cy": _cell(y, "y", F.col("_level"))}).drop(*cells.columns[1:])
+
+
+def levels_of(placed: DataFrame) -> DataFrame:
+    """(graph_id, _level): the levels that rectangles are on, LEVELS + 1 a diagram at most."""
+    return placed.select("graph_id", "_level").distinct()
 
 
 def _same_cell(a: str, b: str) -> Column:
-    return (F.col(f"{a}.graph_id") == F.col(f"{b}.graph_id")) & (F.col(f"{a}._cx") == F.col(f"{b}._cx")) & (F.col(f"{a}._cy") == F.col(f"{b}._cy"))
+    return reduce(Column.__and__, [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("graph_id", "_level", "_cx", "_cy")])
 
 
 def rect_parents(rects: DataFrame) -> DataFrame:
@@ -69,7 +79,8 @@ def rect_parents(rects: DataFrame) -> DataFrame:
     with the smaller id, can be the parent: parents never form a cycle (Q4). What encloses a rectangle holds its corner, so they meet in that corner's cell.
     """
     cells = grid(rects)
-    a, b = in_cells(rects, cells).alias("a"), at_cell(rects, cells, F.col("x"), F.col("y")).alias("b")
+    placed = in_cells(rects, cells)
+    a, b = placed.alias("a"), at_cell(rects, cells, F.col("x"), F.col("y"), levels_of(placed)).alias("b")
     bigger = (area("a") > area("b")) | ((area("a") == area("b")) & (F.col("a.id") < F.col("b.id")))
     pairs = b.join(a, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b") & bigger)
     # of equal areas the one nearest in the order of (area, id descending) is the inner one
@@ -81,7 +92,8 @@ def rect_parents(rects: DataFrame) -> DataFrame:
 def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
     """points(graph_id, node_id, cx, cy) -> (graph_id, node_id, zone_id) for each rectangle that holds the point, edges included."""
     cells = grid(rects)
-    p, r = at_cell(points, cells, F.col("cx"), F.col("cy")).alias("p"), in_cells(rects, cells).alias("r")
+    placed = in_cells(rects, cells)
+    p, r = at_cell(points, cells, F.col("cx"), F.col("cy"), levels_of(placed)).alias("p"), placed.alias("r")
     on = _same_cell("p", "r") & holds_point("r", F.col("p.cx"), F.col("p.cy"))
     return p.join(r, on).select(F.col("p.graph_id").alias("graph_id"), F.col("p.node_id").alias("node_id"), F.col("r.id").alias("zone_id"))
 
@@ -90,16 +102,110 @@ def holding_others(rects: DataFrame) -> DataFrame:
     """The rectangles of positive size that enclose another of positive size."""
     sized = rects.where("width > 0 and height > 0")
     cells = grid(sized)
-    a, b = in_cells(sized, cells).alias("a"), at_cell(sized.select("graph_id", "id", "x", "y", "width", "height"), cells, F.col("x"), F.col("y")).alias("b")
-    return a.join(b, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b"), "left_semi").drop("_cx", "_cy").distinct()
+    placed = in_cells(sized, cells)
+    a, b = placed.alias("a"), at_cell(sized.select("graph_id", "id", "x", "y", "width", "height"), cells, F.col("x"), F.col("y"), levels_of(placed)).alias("b")
+    return a.join(b, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b"), "left_semi").drop("_level", "_cx", "_cy").distinct()
+
+
+def climbed(nodes: DataFrame, parent: str = "parent_id", sums: list[str] = [], names: str | None = None) -> DataFrame:
+    """(graph_id, id, root, depth, outside, <sums>, names): of each node that isn't in or below a cycle its root, its depth (a root's is 0), the root's own parent where that is no node, the sums of the columns
+    `sums` over its ancestors and, if asked, the values of the column `names` from the root down to itself. The others have a null depth.
+
+    Each round a node jumps as far again as it has come, so rounds grow with the logarithm of the depth and each writes one row a node. A round in which no node arrives ends it: what is left goes round in circles.
+    """
+    zero = F.lit(0.0)
+    cols = [F.max(F.coalesce(c, zero)).cast("double").alias(c) for c in sums] + ([F.array(F.max(names)).alias("names")] if names else [])
+    lists = ["names"] if names else []
+    own = nodes.groupBy("graph_id", "id").agg(F.max(parent).alias("_p"), *cols)
+    with scratch() as keep:
+        own = written(own, "forest")
+        known = own.select("graph_id", F.col("id").alias("_p"), F.lit(True).alias("_known"), *[F.col(c).alias(f"_up_{c}") for c in sums])
+        up = own.join(known, ["graph_id", "_p"], "left")
+        child = F.coalesce("_known", F.lit(False)) & (F.col("_p") != F.col("id"))
+        outside = F.when(~child & (F.col("_p") != F.col("id")), F.col("_p"))
+        now = up.select("graph_id", "id", F.when(child, F.col("_p")).alias("to"), F.when(child, 1).otherwise(0).alias("depth"), outside.alias("outside"), F.when(~child, F.col("id")).alias("root"), *[F.when(child, F.col(f"_up_{c}")).otherwise(zero).alias(c) for c in sums], *lists)
+        now = written(now, "climbed")
+        open_ = now.where("to is not null").count()
+        while open_:
+            t = now.select("graph_id", F.col("id").alias("to"), F.col("to").alias("t_to"), F.col("depth").alias("t_depth"), F.col("outside").alias("t_outside"), F.col("root").alias("t_root"), *[F.col(c).alias(f"t_{c}") for c in [*sums, *lists]])
+            moved = now.where("to is not null").join(t, ["graph_id", "to"]).select("graph_id", "id", F.col("t_to").alias("to"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_outside").alias("outside"), F.col("t_root").alias("root"), *[(F.col(c) + F.col(f"t_{c}")).alias(c) for c in sums], *[F.concat(f"t_{c}", c).alias(c) for c in lists])
+            now = written(now.where("to is null").unionByName(moved), "climbed")
+            left = now.where("to is not null").count()
+            if left == open_:
+                break
+            open_ = left
+        keep(now)
+    lost = F.col("to").isNotNull()
+    return now.select("graph_id", "id", F.col("root"), F.when(~lost, F.col("depth")).alias("depth"), "outside", *[F.when(~lost, F.col(c)).alias(c) for c in [*sums, *lists]])
+
+
+def intervals(nodes: DataFrame, parent: str = "parent_id", up: DataFrame | None = None) -> DataFrame:
+    """(graph_id, id, root, depth, enter, leave) of the nodes that aren't in or below a cycle: their places in an Euler tour of their tree. A node is above another, or the same, if both have the same root and its
+    interval holds the other's.
+
+    The tour is a list of 2 events a node, ranked by jumping pointers: each round writes 2 rows a node at most, and rounds grow with the logarithm of the tree's size, whatever its shape. `up` is climbed()'s table, if it is at hand.
+    """
+    up = climbed(nodes, parent) if up is None else up
+    with scratch() as keep:
+        tree = nodes.groupBy("graph_id", "id").agg(F.max(parent).alias("_p")).join(up.where("depth is not null").select("graph_id", "id", "root", "depth", "outside"), ["graph_id", "id"])
+        tree = written(tree.withColumn("n", F.monotonically_increasing_id()), "tree")
+        kid = tree.where("depth > 0").join(tree.select("graph_id", F.col("id").alias("_p"), F.col("n").alias("above")), ["graph_id", "_p"])
+        after = F.lead("n").over(Window.partitionBy("above").orderBy("id"))  # two rows at a time, however many children
+        kid = written(kid.select("n", "above", "id", after.alias("next")), "siblings")
+        first = kid.groupBy("above").agg(F.min_by("n", "id").alias("first")).withColumnRenamed("above", "n")
+        enters = tree.select("n").join(first, "n", "left").select((F.col("n") * 2).alias("e"), F.coalesce(F.col("first") * 2, F.col("n") * 2 + 1).alias("to"))
+        leaves = tree.select("n").join(kid, "n", "left").select((F.col("n") * 2 + 1).alias("e"), F.coalesce(F.col("next") * 2, F.col("above") * 2 + 1).alias("to"))
+        now = written(enters.unionByName(leaves).withColumn("far", F.when(F.col("to").isNotNull(), 1).otherwise(0)), "tour")
+        while not now.where("to is not null").isEmpty():
+            t = now.select(F.col("e").alias("to"), F.col("to").alias("t_to"), F.col("far").alias("t_far"))
+            moved = now.where("to is not null").join(t, "to").select("e", F.col("t_to").alias("to"), (F.col("far") + F.col("t_far")).alias("far"))
+            now = written(now.where("to is null").unionByName(moved), "tour")
+        place = now.groupBy(F.shiftright("e", 1).alias("n")).agg(F.max(F.when(F.col("e") % 2 == 0, -F.col("far"))).alias("enter"), F.max(F.when(F.col("e") % 2 == 1, -F.col("far"))).alias("leave"))
+        # events to the tour's end, negative, so that they rise along it
+        return keep(written(tree.join(place, "n").select("graph_id", "id", "root", "depth", "outside", "enter", "leave"), "intervals"))
+
+
+def above(a: str, b: str) -> Column:
+    """Whether a's interval holds b's: a is an ancestor of b, or b."""
+    c = F.col
+    return (c(f"{a}.root") == c(f"{b}.root")) & (c(f"{a}.enter") <= c(f"{b}.enter")) & (c(f"{b}.leave") <= c(f"{a}.leave"))
 
 
 def closure(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
     """(graph_id, id, parent) -> (graph_id, id, ancestor, distance), itself at distance 0; in a cycle each ancestor once, at its shortest distance.
 
-    Pointers are doubled: a round joins the ancestors at the farthest distance so far with what is known of them, so rounds grow with the logarithm of the depth, whatever it is. Each
-    round's new pairs are a written table.
+    All pairs, for results that list them; tests of a pair need intervals() alone. Intervals are cut into dyadic pieces, and a node looks up the pieces that its place lies in, one a level, so that the join makes the
+    pairs themselves and nothing else. Nodes in or below cycles go by circles().
     """
+    with scratch() as keep:
+        up = written(climbed(nodes, parent), "climbed")
+        tree = written(intervals(nodes, parent, up), "intervals")
+        lost = written(nodes.select("graph_id", "id", F.col(parent).alias("parent_id")).join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost")
+        deepest = tree.agg(F.max("depth"), F.min("enter")).first()
+        parts = [tree.select("graph_id", "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))]
+        if deepest[0]:
+            levels = int(-deepest[1]).bit_length() + 1
+            # the aligned piece of each level that begins or ends an interval from inside, as in a segment tree
+            span = tree.withColumns({"lo": F.col("enter") - deepest[1], "hi": F.col("leave") - deepest[1] + 1})
+            pieces = []
+            for k in range(levels):  # a power of two a level
+                low, high = F.expr(f"(lo + {(1 << k) - 1}) div {1 << k}"), F.expr(f"hi div {1 << k}")  # aligned pieces inside are low to high - 1
+                left = (low % 2 == 1) & (low < high)
+                right = (high % 2 == 1) & (low < high)
+                pieces.append(F.array_compact(F.array(F.when(left, F.struct(F.lit(k).alias("k"), low.alias("i"))), F.when(right & ~(left & (low == high - 1)), F.struct(F.lit(k).alias("k"), (high - 1).alias("i"))))))
+            a = span.select("graph_id", "root", F.col("id").alias("ancestor"), F.col("depth").alias("_d"), F.explode(F.flatten(F.array(*pieces))).alias("p"))
+            b = span.select("graph_id", "root", "id", "depth", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"lo div {1 << k}").alias("i")) for k in range(levels)])).alias("p"))
+            parts.append(b.join(a, ["graph_id", "root", "p"]).where("ancestor <> id").select("graph_id", "id", "ancestor", (F.col("depth") - F.col("_d")).alias("distance")))
+        parts.append(tree.where("outside is not null").select("graph_id", "id", F.col("outside").alias("ancestor"), (F.col("depth") + 1).alias("distance")))
+        for t in (tree, lost):
+            keep(t)
+    if not lost.isEmpty():
+        parts.append(circles(lost))
+    return reduce(DataFrame.unionByName, [p.select("graph_id", "id", "ancestor", F.col("distance").cast("int").alias("distance")) for p in parts])
+
+
+def circles(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """closure() for nodes in or below cycles, which are mistakes and few: pointers are doubled over pairs."""
     key = ["graph_id", "id", "ancestor"]
     own = nodes.select("graph_id", "id", F.col(parent).alias("ancestor"))
     with scratch() as keep:
@@ -125,24 +231,41 @@ def closure(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
 
 
 def depths(zones: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """G1: (graph_id, id, name, depth), a root at 0. A parent that isn't a zone makes no level; nor does a zone that is its own parent. `up` is the zones' closure, if it is at hand."""
-    known = zones.select("graph_id", F.col("id").alias("ancestor"))
-    up = (closure(zones) if up is None else up).join(known, ["graph_id", "ancestor"], "left_semi")
-    return up.groupBy("graph_id", "id").agg(F.max("distance").alias("depth")).join(zones.select("graph_id", "id", "name"), ["graph_id", "id"])
+    """G1: (graph_id, id, name, depth), a root at 0. A parent that isn't a zone makes no level; nor does a zone that is its own parent. In or below a cycle it is the distance of the farthest ancestor. `up` is climbed()'s
+    table, if it is at hand."""
+    with scratch() as keep:
+        up = keep(written(climbed(zones), "climbed")) if up is None else up
+        lost = keep(written(zones.select("graph_id", "id", "parent_id").join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost"))
+    deep = up.where("depth is not null").select("graph_id", "id", "depth")
+    if not lost.isEmpty():
+        deep = deep.unionByName(circles(lost).groupBy("graph_id", "id").agg(F.max("distance").alias("depth")))
+    return deep.join(zones.select("graph_id", "id", "name"), ["graph_id", "id"])
 
 
 def paths(zones: DataFrame, sep: str = " > ") -> DataFrame:
-    """(graph_id, id, depth, path): the names from the outermost zone to this one."""
-    names = zones.select("graph_id", F.col("id").alias("ancestor"), "name")
-    up = closure(zones).join(names, ["graph_id", "ancestor"])
+    """(graph_id, id, depth, path): the names from the outermost zone to this one. In or below a cycle, by the distances of circles()."""
+    with scratch() as keep:
+        up = keep(written(climbed(zones, names="name"), "zone-paths"))
+        lost = keep(written(zones.join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost"))
+    out = up.where("depth is not null").select("graph_id", "id", "depth", F.array_join("names", sep).alias("path"))
+    if lost.isEmpty():
+        return out
+    far = circles(lost).join(zones.select("graph_id", F.col("id").alias("ancestor"), "name"), ["graph_id", "ancestor"])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name"))), lambda x: x["name"])
-    return up.groupBy("graph_id", "id").agg(F.max("distance").alias("depth"), F.array_join(ordered, sep).alias("path"))
+    return out.unionByName(far.groupBy("graph_id", "id").agg(F.max("distance").alias("depth"), F.array_join(ordered, sep).alias("path")))
 
 
 def cyclic(zones: DataFrame) -> DataFrame:
-    """The zones that are an ancestor of themselves: those whose parent has them among its ancestors. A zone that is its own parent counts."""
-    up = closure(zones).select("graph_id", F.col("id").alias("parent_id"), F.col("ancestor").alias("id"))
-    return zones.select("graph_id", "id", "parent_id").where("parent_id is not null").join(up, ["graph_id", "parent_id", "id"], "left_semi").select("graph_id", "id")
+    """The zones that are an ancestor of themselves. A zone that is its own parent counts."""
+    own = zones.select("graph_id", "id", "parent_id").where("parent_id is not null")
+    with scratch() as keep:
+        lost = own.join(climbed(zones).where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi")
+        lost = keep(written(lost, "lost"))
+    alone = own.where("parent_id = id").select("graph_id", "id")
+    if lost.isEmpty():
+        return alone
+    up = circles(lost).select("graph_id", F.col("id").alias("parent_id"), F.col("ancestor").alias("id"))
+    return lost.join(up, ["graph_id", "parent_id", "id"], "left_semi").select("graph_id", "id").unionByName(alone).distinct()
 
 
 def ordered_zones(members: DataFrame, zones: DataFrame) -> DataFrame:
@@ -163,6 +286,11 @@ def place_nodes(points: DataFrame, rects: DataFrame) -> tuple[DataFrame, DataFra
 
 def absolute(cells: DataFrame) -> DataFrame:
     """cells(graph_id, id, parent, x, y, width, height) -> the same with x and y summed over all ancestors; cells whose parents form a cycle count each once."""
-    up = closure(cells, "parent").where("distance > 0").join(cells.select("graph_id", F.col("id").alias("ancestor"), F.col("x").alias("px"), F.col("y").alias("py")), ["graph_id", "ancestor"])
-    off = up.groupBy("graph_id", "id").agg(F.sum(F.coalesce("px", F.lit(0.0))).alias("dx"), F.sum(F.coalesce("py", F.lit(0.0))).alias("dy"))
+    with scratch() as keep:
+        up = keep(written(climbed(cells, "parent", ["x", "y"]), "climbed"))
+        lost = keep(written(cells.join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost"))
+    off = up.where("depth is not null").select("graph_id", "id", F.col("x").alias("dx"), F.col("y").alias("dy"))
+    if not lost.isEmpty():
+        pairs = circles(lost, "parent").where("distance > 0").join(cells.select("graph_id", F.col("id").alias("ancestor"), F.col("x").alias("px"), F.col("y").alias("py")), ["graph_id", "ancestor"])
+        off = off.unionByName(pairs.groupBy("graph_id", "id").agg(F.sum(F.coalesce("px", F.lit(0.0))).alias("dx"), F.sum(F.coalesce("py", F.lit(0.0))).alias("dy")))
     return cells.join(off, ["graph_id", "id"], "left").withColumns({"x": F.col("x") + F.coalesce("dx", F.lit(0.0)), "y": F.col("y") + F.coalesce("dy", F.lit(0.0))}).drop("dx", "dy")
