@@ -23,12 +23,15 @@ CAPACITY, END = 4096, 2
 #: Documents are packed in groups of about so many by a hash; each group leaves a few windows at most that aren't full.
 GROUP_DOCS = 4096
 #: Words of which a worker remembers the ids; UTF-8 bytes of text that it encodes at once.
-REMEMBERED, AT_ONCE = 250_000, 1 << 20
+REMEMBERED, AT_ONCE = 400_000, 1 << 20
 #: Lower-case Latin letters in UTF-8, composed.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Punctuation that ends a word after a letter or digit: the tokenizer parts it from the word.
 TAIL = re.compile(rb"[!#$%&*.,;:?](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!#$%&*.,;:?]*(?=[\x20\x09-\x0d]|\Z)", re.S)
 
+#: White space, the punctuation marks of TAIL, and letters and digits, by byte.
+BLANK, MARK, ALNUM = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b"!#$%&*.,;:?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+
 
 class WordTokens:
     """Ids of whole texts by a tokenizer of the `tokenizers` library that lower-cases, drops white space and splits at it and between letters and punctuation, so that
@@ -69,17 +72,67 @@ class WordTokens:
         self.ids = {}
         trim()
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of UTF-8 texts as little-endian unsigned 32-bit numbers."""
-        # a special token's own text keeps its case, by which alone it is one
-        split = [TAIL.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in texts)]
-        every = set().union(*split)
+    def _remembered(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words."""
         if len(self.ids) > self.remembered:
             self.ids.clear()
-        if new := list(every.difference(self.ids)):
-            self._learn(new)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if new := {w for w in words if w not in self.ids}:
+            self._learn(list(new))
+        return list(map(self.ids.__getitem__, words))
+
+    def _special(self, text: bytes) -> bytes:
+        """A text with what may be a special token, whose own text keeps its case, by which alone it is one."""
+        return b"".join(self._remembered(TAIL.sub(rb" \g<0>", text).split()))
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of UTF-8 texts as little-endian unsigned 32-bit numbers.
+
+        Words with the white space after them lie end to end in the texts' bytes, so that they are an Arrow array without a copy, whose distinct values are looked up once; the texts' ids are gathered by those
+        values' numbers.
+        """
+        out: list[bytes] = [self._special(t) if t and b"<|" in t else b"" for t in texts]
+        plain = [k for k, t in enumerate(texts) if t and b"<|" not in t]
+        if not plain:
+            return out
+        joined = b"".join([texts[k].lower() for k in plain])
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(texts[k]) for k in plain])
+        begins = word_borders(raw, ends)
+        raw = np.where(BLANK[raw], np.uint8(0x20), raw)
+        offsets = np.append(begins, len(raw)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        _, at, values = found.dictionary.buffers()
+        at, values = np.frombuffer(at, np.int32)[: len(found.dictionary) + 1].tolist(), values.to_pybytes()
+        ids = self._remembered([values[i:j].strip() for i, j in zip(at, at[1:])])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        word = found.indices.to_numpy()
+        many = sizes[word]
+        at = np.repeat(starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
+        last = np.append(0, np.cumsum(many))[np.searchsorted(begins, ends, "left")].tolist()
+        for k, i, j in zip(plain, [0, *last], last):
+            out[k] = flat[i:j].tobytes()
+        return out
+
+
+def word_borders(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words begin in the lower-cased bytes of texts that end at `ends`: at a text's start, after white space, and where a run of TAIL's punctuation marks follows a letter or digit and ends the word."""
+    blank, mark = BLANK[raw], MARK[raw]
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[0], first[ends] = True, True
+    first = first[:n] if ends[-1] != n else first[:-1]
+    word = ~blank
+    begins = first.copy()
+    begins[1:] |= word[1:] & blank[:-1]
+    runs, stops = np.flatnonzero(mark & ~np.append(False, mark[:-1] & ~first[1:])), np.flatnonzero(mark & ~np.append(mark[1:] & ~first[1:], False))
+    after = np.append(blank[1:] | first[1:], True)[stops]
+    before = raw[runs - 1]
+    two = raw[runs - 2]
+    known = ALNUM[before] | (two == 0xC3) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7)
+    begins[runs[after & known & ~first[runs]]] = True
+    return np.flatnonzero(begins)
 
 
 @cache
@@ -187,6 +240,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOC
 
     Pieces that fill a window are a sequence alone. The others are dealt to groups by a hash of all that identifies them and a group is packed at
     once: it needs its lengths alone, so its memory is bounded by group_docs whatever the corpus. Copies of a document and repeated rows of one doc_id are pieces like others; other columns stay.
+    Equal rows are counted first and then numbered, and the number is part of what is hashed, so that repeated rows spread over groups like others.
     parts is read twice, so it should be a written table. A sequence's id is its group's number in the upper bits and its place there in the lower 32. An empty table gives an empty one.
     """
     n = parts.count()
@@ -204,6 +258,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOC
                 at += lengths[i]
         return group.drop_columns("_group").append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    own = parts.drop("sequence_id", "offset").withColumn("_group", F.pmod(F.xxhash64(F.lit(3), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    own = parts.drop("sequence_id", "offset", "_copies", "_copy")
+    counted = own.groupBy(*own.columns).agg(F.count("*").alias("_copies"))
+    own = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).withColumn("_group", F.pmod(F.xxhash64(F.lit(3), "doc_id", "start", "ids_crc32", "_copy"), F.lit(groups))).drop("_copies", "_copy")
     schema = own.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
     return own.groupBy("_group").applyInArrow(one, schema)
