@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ IN_A_ROW = 500
 
 @dataclass(frozen=True)
 class Tool:
-    """`schema`: a JSON schema of the arguments, of `type` (a name of KINDS or a list of them), `properties`, `required`, `additionalProperties` (false: others are errors), `items` and `enum`, to any depth."""
+    """`schema`: a JSON schema of the arguments, of the words WORDS, to any depth. A word that isn't known is an error, but for NOTES, which say nothing about values."""
 
     name: str
     schema: str
@@ -34,29 +35,84 @@ class Tool:
 
 
 NONE = "cast(array() as array<string>)"
+#: Words of schemas that are checked. additionalProperties is true, false or a schema; items a schema.
+WORDS = "type properties required additionalProperties items enum const minimum maximum exclusiveMinimum exclusiveMaximum minLength maxLength pattern minItems maxItems anyOf".split()
+NOTES = "title description default examples $schema $id $comment".split()
 
 
-def misfits(v: Column, schema: dict, at: str = "") -> Column:
+def is_number(v: Column) -> Column:
+    return F.rlike(F.schema_of_variant(v), F.lit(f"^({KINDS['number']})$"))
+
+
+def number(v: Column) -> Column:
+    """A variant's number, null for anything else."""
+    return F.when(is_number(v), F.try_variant_get(v, "$", "double"))
+
+
+def is_kind(v: Column, kind: str) -> Column:
+    """Whether a variant is of a type of KINDS. A number without fraction is an integer, however it is written."""
+    own = F.rlike(F.schema_of_variant(v), F.lit(f"(?s)^({KINDS[kind]})$"))
+    return own | F.coalesce(number(v) == F.floor(number(v)).cast("double"), F.lit(False)) if kind == "integer" else own
+
+
+def equals(v: Column, value) -> Column:
+    """Whether a variant is a value of JSON; numbers by value, objects whatever their keys' order."""
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return F.coalesce(number(v) == float(value), F.lit(False))
+    return F.to_json(v) == json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def member(v: Column, name: str) -> Column:
+    """A member of a variant that is an object, by any name."""
+    plain = name.isidentifier()
+    return F.try_variant_get(v, f"$.{name}", "variant") if plain else F.get(F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k == name)), F.lit(0))
+
+
+def misfits(v: Column, schema: dict | bool, at: str = "") -> Column:
     """Array of what is wrong with a variant by a schema, each with the path of the value; empty where it fits."""
     say = lambda what: F.lit(f"{at or 'arguments'} {what}")
+    if isinstance(schema, bool):
+        return F.expr(NONE) if schema else F.array(say("is not allowed"))
+    if strange := sorted(set(schema) - {*WORDS, *NOTES}):
+        raise ValueError(f"{at or 'arguments'}: words of a schema that aren't known: {', '.join(strange)}")
     kinds = [schema["type"]] if isinstance(schema.get("type"), str) else list(schema.get("type", []))
-    found = []
+    if unknown := [k for k in kinds if k not in KINDS]:
+        raise ValueError(f"{at or 'arguments'}: types that aren't known: {', '.join(unknown)}")
+    found, unless = [], lambda ok, what: F.when(~F.coalesce(ok, F.lit(True)), F.array(say(what)))
     if kinds:
-        found.append(F.when(~F.rlike(F.schema_of_variant(v), F.lit(f"(?s)^({'|'.join(KINDS[k] for k in kinds)})$")), F.array(say(f"is not {' or '.join(kinds)}"))))
-    if "enum" in schema:
-        known = F.to_json(v).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]])
-        found.append(F.when(~known, F.array(say("is none of its values"))))
+        found.append(unless(reduce(Column.__or__, [is_kind(v, k) for k in kinds]), f"is not {' or '.join(kinds)}"))
+    for word, values in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
+        if values is not None:
+            found.append(unless(reduce(Column.__or__, [equals(v, x) for x in values], F.lit(False)), "is none of its values" if word == "enum" else "is not its value"))
+    n = number(v)
+    for word, fits, what in (("minimum", n.__ge__, "less"), ("maximum", n.__le__, "more"), ("exclusiveMinimum", n.__gt__, "not more"), ("exclusiveMaximum", n.__lt__, "not less")):
+        if word in schema:
+            found.append(unless(fits(F.lit(float(schema[word]))), f"is {what} than {schema[word]:g}"))
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     is_object, is_array = F.rlike(F.schema_of_variant(v), F.lit("(?s)^OBJECT<")), F.rlike(F.schema_of_variant(v), F.lit("(?s)^ARRAY<"))
+    size = F.when(is_array, F.size(F.try_variant_get(v, "$", "array<variant>")))
+    for word, fits, what in (("minLength", F.length(text).__ge__, "shorter"), ("maxLength", F.length(text).__le__, "longer"), ("minItems", size.__ge__, "shorter"), ("maxItems", size.__le__, "longer")):
+        if word in schema:
+            found.append(unless(fits(F.lit(int(schema[word]))), f"is {what} than {schema[word]}"))
+    if "pattern" in schema:
+        found.append(unless(F.rlike(text, F.lit(schema["pattern"])), "does not match its pattern"))
+    if "anyOf" in schema:
+        found.append(unless(reduce(Column.__or__, [F.size(misfits(v, x, at)) == 0 for x in schema["anyOf"]], F.lit(False)), "fits none of its schemas"))
     keys = F.json_object_keys(F.to_json(v))
     for name, own in schema.get("properties", {}).items():
-        x, path = F.try_variant_get(v, f"$['{name}']", "variant"), f"{at}.{name}" if at else name
+        path = f"{at}.{name}" if at else name
         missing = F.array(F.lit(f"missing {path}")) if name in schema.get("required", []) else F.expr(NONE)
-        found.append(F.when(is_object, F.when(F.array_contains(keys, name), misfits(x, own, path)).otherwise(missing)))
+        found.append(F.when(is_object, F.when(F.array_contains(keys, name), misfits(member(v, name), own, path)).otherwise(missing)))
     for name in [n for n in schema.get("required", []) if n not in schema.get("properties", {})]:
         found.append(F.when(is_object & ~F.array_contains(keys, name), F.array(F.lit(f"missing {f'{at}.{name}' if at else name}"))))
-    if schema.get("additionalProperties") is False:
-        more = F.array_except(keys, F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>"))
+    others = schema.get("additionalProperties", True)
+    known = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
+    if others is False:
+        more = F.array_except(keys, known)
         found.append(F.when(is_object, F.transform(F.sort_array(more), lambda k: F.concat(F.lit(f"unexpected {at}." if at else "unexpected "), k))))
+    elif isinstance(others, dict):
+        values = F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(known, k)))
+        found.append(F.when(is_object, F.array_distinct(F.flatten(F.transform(values, lambda x: misfits(x, others, f"{at}.*" if at else "*"))))))
     if "items" in schema:
         wrong = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: misfits(x, schema["items"], f"{at}[]"))
         found.append(F.when(is_array, F.array_distinct(F.flatten(wrong))))
@@ -151,6 +207,15 @@ def _rounds(ids: DataFrame, waits: DataFrame) -> DataFrame:
     return written(out, "places")
 
 
+def plain(messages: DataFrame) -> DataFrame:
+    """messages(conv_id, pos, role, content) that neither call nor answer -> rows like link()'s, one a message: no identifier, status `message`, its position as its place, and its role and content as canonical JSON."""
+    text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit("null"))
+    quoted = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(text(F.col(c)))
+    whole = F.concat(F.lit('{"content":'), quoted("content"), F.lit(',"role":'), quoted("role"), F.lit("}"))
+    none = F.lit(0).cast("long")
+    return messages.select("conv_id", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("status"), none.alias("n_calls"), none.alias("n_results"), F.col("pos").cast("long").alias("place"), F.lit(True).alias("valid"), F.expr(NONE).alias("errors"), whole.alias("json"))
+
+
 def link(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
     """calls(conv_id, call_id, pos, name, arguments, after), results(conv_id, call_id, pos, content) -> one row an identifier: conv_id, call_id, status,
     n_calls, n_results, place, valid, errors, json.
@@ -189,8 +254,9 @@ def canonical(name: Column, arguments: Column, call_id: Column, content: Column)
     return F.concat(F.lit('{"arguments":'), F.when(v.isNotNull(), F.to_json(v)).otherwise(quoted(arguments)), F.lit(',"id":'), quoted(call_id), F.lit(',"name":'), quoted(name), F.lit(',"result":'), quoted(content), F.lit("}"))
 
 
-def turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool traffic of plain chats, messages(conv_id, turn, role, text): each user turn calls the tool `answer`, each assistant turn is the result of the turn before it.
+def turns(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, results, other messages): tool traffic of plain chats, messages(conv_id, turn, role, text): each user turn calls the tool `answer`, each assistant turn is the result of the turn before it; all other turns, such as the system's,
+    are messages in their place.
 
     A call depends on the user turn before it; in conversations whose number leaves 1 by 5 on the one after it, so that positions are no order; in those that leave 2 the first and the
     second depend on each other."""
@@ -202,7 +268,8 @@ def turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
     calls = own.where("role = 'user'").select("conv_id", at(0).alias("call_id"), F.col("turn").alias("pos"), F.lit("answer").alias("name"), arguments.alias("arguments"), after.alias("after"))
     results = own.where("role = 'assistant'").select("conv_id", at(1).alias("call_id"), F.col("turn").alias("pos"), F.col("text").alias("content"))
-    return calls, results
+    others = own.where("role is null or role not in ('user', 'assistant')").select("conv_id", F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
+    return calls, results, others
 
 
 #: The schema that plain chats' calls are held against.

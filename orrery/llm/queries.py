@@ -72,8 +72,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_tools.turns(table(spark, sf_dir, "conversations"))
-    return chat_tools.link(calls, results, [chat_tools.ANSWER]).drop("errors")
+    calls, results, others = chat_tools.turns(table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, [chat_tools.ANSWER]).unionByName(chat_tools.plain(others)).drop("errors")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,8 @@ SELECT conv_id, call_id, CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results
   '{"arguments":' || CASE WHEN n_calls IS NULL THEN 'null' WHEN text IS NULL THEN '{"turn":' || turn || '}' ELSE '{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '}' END
     || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN n_calls IS NULL THEN 'null' ELSE '"answer"' END
     || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
-FROM p FULL JOIN rr USING (conv_id, call_id)"""
+FROM p FULL JOIN rr USING (conv_id, call_id)
+UNION ALL SELECT conv_id, NULL, 'message', 0, 0, turn, true, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
 
 OP8_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),

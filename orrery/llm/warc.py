@@ -26,8 +26,11 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 #: Pages up to these bytes are written together, those beyond the last by the longest: a long page then doesn't make the others' archives small.
 SIZE_CLASSES = (16 << 10, 1 << 20)
-#: A gzip member that inflates to more than this is quarantined.
-MEMBER_BYTES = 256 << 20
+#: A record's headers end within so many bytes; a gzip member that has none by then is quarantined. Its content may be as long as the headers say.
+HEADER_BYTES = 1 << 20
+#: Bytes that are read, or inflated, at once.
+PIECE = 1 << 20
+LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,7 +71,7 @@ class Salvage:
 
     data: bytes
     gaps: list[Gap] = field(default_factory=list)
-    member_bytes: int = MEMBER_BYTES
+    header_bytes: int = HEADER_BYTES
 
     def __iter__(self) -> Iterator[Record]:
         at, bad, reason = 0, None, ""
@@ -94,18 +97,30 @@ class Salvage:
         return min(line.start() if line else len(self.data), member if member >= 0 else len(self.data))
 
     def _gzip(self, at: int) -> Record:
-        unpack = zlib.decompressobj(wbits=31)
-        try:
-            data = unpack.decompress(memoryview(self.data)[at:], self.member_bytes + 1)
-        except zlib.error as e:
-            raise _Failed(f"gzip: {e}") from None
-        if len(data) > self.member_bytes:
-            raise _Failed(f"gzip: member of more than {self.member_bytes} bytes")
-        if not unpack.eof:
-            raise _Failed("gzip: cut short")
-        end = len(self.data) - len(unpack.unused_data)
+        """A member is inflated in pieces and kept as far as its record's header says that the record goes, however far that is; a member that holds more is inflated to its end without being kept."""
+        unpack, data, place, left = zlib.decompressobj(wbits=31), bytearray(), at, b""
+        most, told = self.header_bytes, False
+        while not unpack.eof:
+            if not left:
+                left = self.data[place : place + PIECE]
+                place += len(left)
+                if not left:
+                    raise _Failed("gzip: cut short")
+            try:
+                piece = unpack.decompress(left, PIECE)
+            except zlib.error as e:
+                raise _Failed(f"gzip: {e}") from None
+            left = unpack.unconsumed_tail
+            if len(data) <= most:
+                data += piece
+                if not told and (head := data.find(b"\r\n\r\n", 0, self.header_bytes + 4)) >= 0:
+                    length, told = LENGTH.search(data, 0, head + 2), True
+                    most = head + 8 + int(length[1]) if length else len(data)
+        end = place - len(unpack.unused_data)
+        if len(data) > most:
+            raise _Failed("gzip: member holds more than a record" if told else f"gzip: headers of more than {self.header_bytes} bytes", end)
         try:
-            record = self._plain(data, 0, at)
+            record = self._plain(bytes(data), 0, at)
         except _Failed as e:
             raise _Failed(e.reason, end) from None
         if record.length != len(data):
@@ -225,7 +240,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
 FOUND = "archive string, offset long, length long, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, html string, reason string"
 
 
-def read_archives(spark: SparkSession, path: str, with_html: bool = True, gaps: str = "rows", member_bytes: int = MEMBER_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, with_html: bool = True, gaps: str = "rows", header_bytes: int = HEADER_BYTES) -> DataFrame:
     """Salvage all archives under path, at any depth: one row a record, and one of record_type `gap` with its reason for each quarantined gap (gaps="raise": an error instead). A record that fails its
     digests or lengths is quarantined. html is null for revisits and, unless asked for, for all. Repeated records are rows of their own; very long ones are read whole, in the memory of one task; a folder without archives gives no rows."""
     if gaps not in ("rows", "raise"):
@@ -235,7 +250,7 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = True, gaps:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (x.split() for x in FOUND.split(", "))])
         for b in batches:
             for k in range(b.num_rows):
-                archive, salvage, rows = b["path"][k].as_py(), Salvage(b["content"][k].as_py(), member_bytes=member_bytes), []
+                archive, salvage, rows = b["path"][k].as_py(), Salvage(b["content"][k].as_py(), header_bytes=header_bytes), []
                 for r in salvage:
                     h, digest = r.headers, r.headers.get("warc-payload-digest", "").removeprefix("sha256:")
                     html = r.block.decode("utf-8", "replace") if with_html and h.get("warc-type") == "response" else None

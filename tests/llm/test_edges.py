@@ -247,8 +247,13 @@ def test_salvage_takes_no_record_that_a_damaged_one_quotes():
 
 
 def test_salvage_bounds_members_and_checks_payloads():
-    big = warc.Salvage(warc.member(record(b"0" * 100_000)) + warc.member(record(b"x")), member_bytes=10_000)
-    assert [r.block for r in big] == [b"x"] and "more than 10000 bytes" in big.gaps[0].reason
+    big = warc.Salvage(warc.member(record(b"0" * 5_000_000)) + warc.member(record(b"x")))  # as long as its header says
+    assert [len(r.block) for r in big] == [5_000_000, 1] and not big.gaps
+    for lies, why in ((record(b"0" * 5_000_000).replace(b"Content-Length: 5000000", b"Content-Length: 7"), "more than a record"), (b"WARC/1.1\r\nX: " + b"0" * 5_000_000, "headers of more than")):
+        bomb = warc.Salvage(warc.member(lies) + warc.member(record(b"x")))
+        assert [r.block for r in bomb] == [b"x"] and why in bomb.gaps[0].reason and bomb.gaps[0].length == len(warc.member(lies))
+    short = warc.Salvage(warc.member(record(b"0" * 50).replace(b"Content-Length: 50", b"Content-Length: 9999")) + warc.member(record(b"x")))
+    assert [r.block for r in short] == [b"x"] and len(short.gaps) == 1
     head = b"WARC/1.0\r\nWARC-Type: response\r\n%sContent-Length: 3\r\n\r\nabc\r\n\r\n"
     right = b"ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     fine = [head % x for x in (b"", b"WARC-Payload-Digest: sha1:AAAA\r\n", b"WARC-Payload-Digest: sha256:" + right + b"\r\n", b"Payload-Length: 3\r\n", b"Content-Type: application/http\r\nWARC-Payload-Digest: sha256:00\r\n")]
