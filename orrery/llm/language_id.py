@@ -23,6 +23,8 @@ ORDERS, PROFILE, TOP = 3, 400, 300
 #: A profile is learned from about so many documents of each language, chosen by a hash of doc_id. This is the bound of what is learned from;
 #: profiles of n-grams don't change noticeably beyond.
 LEARN_DOCS = 1000
+#: Languages that profiles are learned for, at most.
+MOST_LANGUAGES = 1000
 #: Below this score no profile resembles the document.
 LEAST_SCORE = 0.1
 
@@ -99,12 +101,15 @@ class Profiles:
         return self.langs[k], float(min(1.0, max(0.0, 1 - d[k] / (self.size * len(p)))))
 
 
-def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) -> Profiles:
+def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE, most_languages: int = MOST_LANGUAGES) -> Profiles:
     """Profiles from docs(doc_id, text, lang) whose lang isn't null. About learn_docs documents of each language are learned from, chosen by
     a hash of doc_id and all of them where there are fewer; their n-grams are counted by partition, then summed and ranked; only the profiles
-    come to the driver."""
+    come to the driver. More than most_languages values of lang are an error: they would all be profiles that each task holds."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    share = {r["lang"]: min(1.0, learn_docs / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
+    share = {r["lang"]: min(1.0, learn_docs / r["n"]) for r in found}
     if not share:
         return Profiles({}, size)
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])

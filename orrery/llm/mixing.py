@@ -62,13 +62,14 @@ def offset(source: Column, seed: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, source, the columns `keep`, size, source_size, target, copies: one row a row of docs.
 
-    All documents of a source expect target / source_size copies. They are laid out by size, then doc_id, so that any stretch of
+    All documents of a source expect target / source_size copies. They are laid out by size, then doc_id, then a hash of what else they hold, so that reruns agree and any stretch of
     the source has its share of words and the words taken miss the target by little. The places come from
     global_rank: a source that holds most rows spreads over many partitions. A null or empty text has size 0; a source
     without words has target 0; null sources are one source; repeated rows each get copies of their own; very long texts count whole; an empty table gives an empty one.
     """
-    keep = [c for c in keep or [] if c not in ("doc_id", "source", "size", "source_size", "target", "copies")]
-    own = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
+    keep = [c for c in keep or [] if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "_tie")]
+    tie = F.xxhash64("text", *[c for c in keep if c != "text"])
+    own = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), tie.alias("_tie"))
     done = []
     if not keep:
         own = written(own, "mix-sizes")  # small, and read twice
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
     with scratch() as hold:
         sizes = written(own.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
         by = hold(written(targets(sizes, weights, share_percent, most), "mix-targets"))
-    ranked = global_rank(own, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc()], "mix-ranks")
+    ranked = global_rank(own, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc(), F.col("_tie").asc()], "mix-ranks")
     first = ranked.groupBy(F.col("source").alias("_s")).agg(F.min("rank").alias("_first"))
     starts = written(by.join(first, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), "source_size", "target", "_first"), "mix-starts")
     drop_written(*done, by)

@@ -234,3 +234,21 @@ def test_equal_rows_spread_over_packing_groups(spark):
     assert sum(sizes) == 100_000 and max(sizes) < 1.2 * packing.GROUP_DOCS
     used = [r["n"] for r in out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
     assert max(used) <= 4096 and out.select("sequence_id", "offset").distinct().count() == 100_000
+
+
+def test_too_many_languages_are_an_error(spark):
+    from orrery.llm import language_id
+
+    df = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="more than 20"):
+        language_id.learn(df, most_languages=20)
+    assert len(language_id.learn(df, most_languages=30).langs) == 30
+
+
+def test_mixing_ties_go_by_content(spark):
+    from orrery.llm import mixing
+
+    rows = [(1, f"w{i} x y", "s", "l") for i in range(50)] + [(None, f"v{i} x y", "s", "l") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    a, b = (sorted(r["text"] for r in mixing.emit(mixing.mix(d, keep=["text"])).collect()) for d in (df.repartition(3), df.orderBy(F.desc("text")).repartition(7)))
+    assert a == b
