@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orrery.operators import diff
 from orrery.sources import exports, threat_dragon
 from orrery.streaming import service
+from orrery.tables import settings
 
 FINDINGS = "graph_id string, pos int, id string, title string, stride array<string>, severity string, score double, affected array<string>, why string, references array<string>, recommended_action string, evidence_nodes array<string>, evidence_edges array<string>, confidence double, rag_sources array<struct<kb:string,source:string,chunk_id:string,score:double,method:string>>"
 MODEL = {"version": "2.0", "detail": {"diagrams": [{"cells": [{"id": "a", "shape": "process", "data": {"type": "tm.Process", "name": "Web", "hasOpenThreats": False}}, {"id": "b", "data": {"type": "tm.Store", "name": "Db", "threats": [{"id": "T1", "status": "Closed"}]}}, {"id": "f", "shape": "flow", "source": {"cell": "a"}, "target": {"cell": "b"}, "labels": ["q"], "data": {"type": "tm.Flow"}}]}]}}
@@ -54,8 +55,12 @@ def test_diff_markdown(spark):
     assert "- removed: a/b" in exports.diff_markdown(s, s.limit(0), s.limit(0), "told")
 
 
+STORE = {k.replace(".", "__"): v for k, v in service.STATE_STORE.items()}
+
+
 def run(stream, name, spark):
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    with settings(spark, **STORE):
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     return spark.table(name).collect()
 
@@ -73,7 +78,7 @@ def test_window_counts_stream(spark, tmp_path):
 
 
 def test_sliding_log_stream(spark, tmp_path):
-    rows = [(i, f"2024-01-01 00:00:{s:02d}", "k") for i, s in enumerate([0, 1, 2, 59])] + [(9, "2024-01-01 00:01:01", "k")]
+    rows = [(i, f"2024-01-01 00:00:{s:02d}", "k") for i, s in enumerate([0, 1, 2, 59])] + [(9, "2024-01-01 00:01:01", "k"), (10, "2024-01-01 01:00:00", "end")]  # the last moves the watermark
     out = run(service.sliding_log(source(spark, tmp_path, rows, "event_id int, ts string, key string"), 2), "s", spark)
     assert {r["event_id"]: r["admitted"] for r in out} == {0: True, 1: True, 2: False, 3: False, 9: True}
 
@@ -82,13 +87,16 @@ def test_job_states_stream_and_upsert(spark, tmp_path):
     rows = [("j", "2024-01-01 00:00:00", "queued"), ("j", "2024-01-01 00:00:05", "running"), ("i", "2024-01-01 00:00:00", "queued")]
     states = service.job_states(source(spark, tmp_path, rows, "job_id string, ts string, status string"))
     path = str(tmp_path / "out")
-    q = service.upsert(states, path, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    with settings(spark, **STORE):
+        q = service.upsert(states, path, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["job_id"]: r["status"] for r in service.latest(spark, path).collect()} == {"j": "running", "i": "queued"}
     folder = str(tmp_path / "in")
     for k in range(2):  # two more batches, each of one job
         spark.createDataFrame([(f"n{k}", "2024-01-01 00:01:00", "queued")], "job_id string, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
-        service.upsert(service.job_states(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)), path, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        with settings(spark, **STORE):
+            q = service.upsert(service.job_states(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)), path, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
     assert {r["job_id"]: r["status"] for r in service.latest(spark, path).collect()} == {"j": "running", "i": "queued", "n0": "queued", "n1": "queued"}
     assert service.latest(spark, str(tmp_path / "nothing")).count() == 0
 
