@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,42 @@ def counts(sided: DataFrame, what: str) -> DataFrame:
 def summary(graph_nodes: DataFrame, graph_edges: DataFrame, findings: DataFrame) -> DataFrame:
     """One row of all counts."""
     return counts(graph_nodes, "nodes").crossJoin(counts(graph_edges, "edges")).crossJoin(counts(findings, "findings"))  # one row each
+
+
+#: Sections of a report of differences: the part of its JSON, its name there, its title.
+SECTIONS = (("graph_changes", "nodes", "Components"), ("graph_changes", "edges", "Data flows"), ("threat_changes", "threats", "Findings"))
+
+
+def pair_reports(nodes: DataFrame, edges: DataFrame, findings: DataFrame, narratives: DataFrame | None = None) -> DataFrame:
+    """Many pairs of reports at once. nodes, edges, findings: sides() of all pairs with pair_id in the key, and the columns side, name (how a row is told) and row (a map of its fields) ->
+    one row a pair: pair_id, <section>_added, <section>_removed, <section>_changed, markdown, changes (JSON of what was added and removed, for a prompt). narratives(pair_id, narrative) end the Markdown.
+
+    The three parts are one table with a section, which one aggregation by pair brings together; a report is as long as its pair's differences. Pairs without any difference have a report too.
+    """
+    parts = [df.select("pair_id", "side", "name", "row", F.lit(k).alias("k")) for k, df in enumerate((nodes, edges, findings))]
+    every = reduce(DataFrame.unionByName, parts)
+    told = F.collect_list(F.when(F.col("side") != "same", F.struct("k", "side", "name", "row")))
+    counted = [F.count_if((F.col("k") == k) & (F.col("side") == side)).alias(f"{what}_{side}") for k, (_, what, _) in enumerate(SECTIONS) for side in ("added", "removed", "changed")]
+    # maps have no order, so that rows are ordered by side and name, then by their JSON
+    own = every.groupBy("pair_id").agg(told.alias("_r"), *counted)
+    own = own.withColumn("_r", F.array_sort(F.transform("_r", lambda x: F.struct(x["k"].alias("k"), x["side"].alias("side"), x["name"].alias("name"), F.to_json(x["row"]).alias("json")))))
+    section = lambda k: F.filter("_r", lambda x: x["k"] == k)
+
+    def lines(k: int, title: str) -> Column:
+        rows = F.transform(section(k), lambda x: F.concat(F.lit("- "), x["side"], F.lit(": "), F.replace(x["name"], F.lit("|"), F.lit("/")), F.lit("\n")))
+        return F.concat(F.lit(f"## {title}\n\n"), F.when(F.size(section(k)) == 0, F.lit("No change.\n")).otherwise(F.array_join(rows, "")), F.lit("\n"))
+
+    def listed(k: int, what: str) -> str | Column:
+        out = []
+        for side in ("added", "removed"):
+            rows = F.array_join(F.transform(F.filter("_r", lambda x, side=side: (x["k"] == k) & (x["side"] == side)), lambda x: x["json"]), ",")
+            out += [F.concat(F.lit(f'"{what}_{side}":'), F.col(f"{what}_{side}").cast("string"), F.lit(f',"{side}_{what}":['), rows, F.lit("]"))]
+        return F.concat_ws(",", *out)
+
+    groups = {part: [listed(k, what) for k, (p, what, _) in enumerate(SECTIONS) if p == part] for part, _, _ in SECTIONS}
+    changes = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{part}":{{'), F.concat_ws(",", *x), F.lit("}")) for part, x in groups.items()]), F.lit("}"))
+    text = F.concat(F.lit("# Threat Report Diff\n\n"), *[lines(k, title) for k, (_, _, title) in enumerate(SECTIONS)])
+    if narratives is not None:
+        own = own.join(narratives.select("pair_id", "narrative"), "pair_id", "left")
+        text = F.concat(text, F.when(F.coalesce("narrative", F.lit("")) != "", F.concat(F.lit("## Summary\n\n"), "narrative", F.lit("\n"))).otherwise(""))
+    return own.select("pair_id", *[f"{what}_{side}" for _, what, _ in SECTIONS for side in ("added", "removed", "changed")], text.alias("markdown"), changes.alias("changes"))

@@ -61,13 +61,15 @@ def or_na(c: str) -> Column:
 
 
 def graph_query(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """one text a graph that names its components and flows, each list cut at 2000 characters."""
+    """one text a graph that names its components and flows, each list cut at 2000 characters. An entry has a character at least, so the first 2000 of each list are all that can count: only they are
+    brought together."""
+    first = lambda df, pos: df.withColumn("_r", F.row_number().over(Window.partitionBy("graph_id").orderBy(pos))).where(F.col("_r") <= QUERY_CHARS)
     listed = lambda part, pos: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, part.alias("t")))), lambda x: x["t"]), "; ")
     data = F.coalesce(F.nullif(F.array_join("data", ","), F.lit("")), F.lit("none"))
     node = F.concat("id", F.lit(":"), "label", F.lit(" zone="), or_na("zone"), F.lit(" type="), or_na("type"), F.lit(" data="), data)
     edge = F.concat("src", F.lit("->"), "dst", F.lit(" ("), F.coalesce(F.nullif("label", F.lit("")), F.lit("flow")), F.lit(") data="), data)
-    n = nodes.groupBy("graph_id").agg(F.substring(listed(node, "node_pos"), 1, QUERY_CHARS).alias("n"))
-    e = edges.groupBy("graph_id").agg(F.substring(listed(edge, "edge_pos"), 1, QUERY_CHARS).alias("e"))
+    n = first(nodes, "node_pos").groupBy("graph_id").agg(F.substring(listed(node, "node_pos"), 1, QUERY_CHARS).alias("n"))
+    e = first(edges, "edge_pos").groupBy("graph_id").agg(F.substring(listed(edge, "edge_pos"), 1, QUERY_CHARS).alias("e"))
     # fixed value
     text = F.concat(F.lit("Security knowledge needed for a system with components: "), F.coalesce("n", F.lit("")), F.lit(" | data flows: "), F.coalesce("e", F.lit("")))
     return n.join(e, "graph_id", "full").select("graph_id", text.alias("query"))

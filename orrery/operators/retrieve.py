@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from orrery.functions.text import tokens
 from orrery.functions.vectors import dot, norm
 from orrery.operators import index
+from orrery.tables import scratch, written
 
 STRATEGIES, RERANKERS = ("dense", "hybrid"), ("off", "local", "llm", "auto")
 #: Rows up to which a table of queries is sent to all tasks; more make blocks, so many at most.
@@ -110,10 +111,12 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame) -> DataFrame:
     return adds.join(asked, "term").groupBy("query_id", "kb", "chunk_id").agg(F.sum("adds").alias("score"))
 
 
-def bm25_texts(queries: DataFrame, chunked: DataFrame) -> DataFrame:
-    """A3 over chunks(kb, chunk_id, text) that have no index yet: only asked terms are counted, and a chunk's length goes along with them."""
-    posts = index.postings(chunked, terms=asked_terms(queries).select("term").distinct())
-    return bm25(queries, posts, index.lengths(chunked))
+def bm25_texts(queries: DataFrame, chunked: DataFrame, lens: DataFrame | None = None) -> DataFrame:
+    """A3 over chunks(kb, chunk_id, text) that have no index yet: only asked terms are counted, and a chunk's length goes along with them. Their postings are read twice, so they are a written table; `lens` are the
+    chunks' lengths, if they are at hand."""
+    with scratch() as keep:
+        posts = keep(written(index.postings(chunked, terms=asked_terms(queries).select("term").distinct()), "asked-postings"))
+    return bm25(queries, posts, index.lengths(chunked) if lens is None else lens)
 
 
 def checked(queries: DataFrame) -> DataFrame:
@@ -147,6 +150,7 @@ def topk(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id", "kb"), di
 def with_zeros(sparse: DataFrame, queries: DataFrame, lens: DataFrame, k: int) -> DataFrame:
     """Q7: chunks that share no term with a query have the score 0 and still fill its list up to k. Only the first k chunks of each kb can be needed
     besides those with a score, since ties go by chunk."""
+    sparse = written(sparse, "sparse-scores")  # read three times
     w = Window.partitionBy("kb").orderBy("chunk_id")
     hit = sparse.select("query_id", "kb", "chunk_id")
     per = sparse.groupBy("query_id", "kb").agg(F.count("*").alias("_n"))
@@ -309,8 +313,8 @@ def search(queries: DataFrame, chunked: DataFrame, vectors: DataFrame, k: int =
     d = topk(dense(queries, vectors), k)
     if strategy == "dense":
         return d.select("query_id", "kb", "chunk_id", F.col("score").alias("dense_score"), F.lit(0.0).alias("sparse_score"), F.col("score").alias("fused_score"), F.col("score").alias("final_score"), "rank")
-    lens = index.lengths(chunked)
-    s = topk(with_zeros(bm25_texts(queries, chunked), queries, lens, k), k)
+    lens = written(index.lengths(chunked), "lengths")
+    s = topk(with_zeros(bm25_texts(queries, chunked, lens), queries, lens, k), k)
     fused = fuse(d, s, opts)
     w = Window.partitionBy("query_id", "kb").orderBy(F.col("fused_score").desc(), "chunk_id")
     out = fused.withColumn("fused_score", F.round("fused_score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -330,9 +334,9 @@ def retrieve(requests: DataFrame, queries: DataFrame, chunked: DataFrame, vector
         ranked = ranked.join(chunked.select("kb", "chunk_id", "source", "text"), ["kb", "chunk_id"])
         return ranked.where(F.col("pos") <= opts.topk), ranked
     each = max(opts.topk, opts.candidates)
-    lens = index.lengths(chunked)
+    lens = written(index.lengths(chunked), "lengths")
     d = topk(dense(queries, vectors), each)
-    s = topk(with_zeros(bm25_texts(queries, chunked), queries, lens, each), each)
+    s = topk(with_zeros(bm25_texts(queries, chunked, lens), queries, lens, each), each)
     fused = fuse(d, s, opts).join(queries.select("query_id", "request_id", "query_pos"), "query_id")
     cands = candidates(fuse_queries(fused), opts.candidates).join(chunked.select("kb", "chunk_id", "source", "text"), ["kb", "chunk_id"])
     if reranker is not None and opts.reranker != "off":

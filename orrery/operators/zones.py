@@ -268,9 +268,10 @@ def cyclic(zones: DataFrame) -> DataFrame:
     return lost.join(up, ["graph_id", "parent_id", "id"], "left_semi").select("graph_id", "id").unionByName(alone).distinct()
 
 
-def ordered_zones(members: DataFrame, zones: DataFrame) -> DataFrame:
-    """members(graph_id, node_id, zone_id, pos) -> (graph_id, node_id, zones, zone): distinct ids from outer to inner, stable; zone is the innermost one's name, or its id where it isn't known."""
-    known = depths(zones).select("graph_id", F.col("id").alias("zone_id"), "depth", "name")
+def ordered_zones(members: DataFrame, zones: DataFrame, level: DataFrame | None = None) -> DataFrame:
+    """members(graph_id, node_id, zone_id, pos) -> (graph_id, node_id, zones, zone): distinct ids from outer to inner, stable; zone is the innermost one's name, or its id where it isn't known.
+    `level`(graph_id, id, name, depth) are the zones' depths, if they are at hand."""
+    known = (depths(zones) if level is None else level).select("graph_id", F.col("id").alias("zone_id"), "depth", "name")
     once = members.groupBy("graph_id", "node_id", "zone_id").agg(F.min("pos").alias("pos"))
     at = once.join(known, ["graph_id", "zone_id"], "left").select("graph_id", "node_id", F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "pos", "zone_id", F.coalesce("name", "zone_id").alias("name")).alias("z"))
     kept = at.groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("z")).alias("z"))

@@ -204,6 +204,30 @@ def snapshot_diff_counts(spark, sf_dir):
     return diff.counts(node_sides(spark, sf_dir), "nodes").crossJoin(diff.counts(edge_sides(spark, sf_dir), "edges"))  # one row each
 
 
+@query("""WITH o AS (SELECT o_custkey AS p, o_orderpriority AS pr, o_orderstatus AS st, 'T' || (o_orderkey % 5) AS t, o_orderdate < TIMESTAMP '1995-06-01' AS old FROM orders),
+u AS (SELECT p, 0 AS k, pr AS name, max(st) FILTER (old) AS b, max(st) FILTER (NOT old) AS a FROM o GROUP BY 1, 3
+UNION ALL SELECT p, 1, p || ' -> ' || pr || ': ' || st, CASE WHEN bool_or(old) THEN 'x' END, CASE WHEN bool_or(NOT old) THEN 'x' END FROM o GROUP BY 1, 3
+UNION ALL SELECT p, 2, t || ' | ' || pr, CASE WHEN bool_or(old) THEN 'x' END, CASE WHEN bool_or(NOT old) THEN 'x' END FROM o GROUP BY 1, 3),
+s AS (SELECT p, k, name, CASE WHEN b IS NULL THEN 'added' WHEN a IS NULL THEN 'removed' WHEN a <> b THEN 'changed' ELSE 'same' END AS side FROM u),
+l AS (SELECT p, k, string_agg('- ' || side || ': ' || replace(name, '|', '/') || chr(10), '' ORDER BY side, name) FILTER (side <> 'same') AS l FROM s GROUP BY 1, 2),
+t AS (SELECT p, '# Threat Report Diff' || chr(10) || chr(10) || string_agg('## ' || ['Components', 'Data flows', 'Findings'][k + 1] || chr(10) || chr(10) || coalesce(l, 'No change.' || chr(10)) || chr(10), '' ORDER BY k) AS text FROM l GROUP BY 1)
+SELECT p AS pair_id, count(*) FILTER (k = 0 AND side = 'added') AS nodes_added, count(*) FILTER (k = 0 AND side = 'removed') AS nodes_removed, count(*) FILTER (k = 0 AND side = 'changed') AS nodes_changed, count(*) FILTER (k = 1 AND side = 'added') AS edges_added,
+count(*) FILTER (k = 1 AND side = 'removed') AS edges_removed, count(*) FILTER (k = 2 AND side = 'added') AS threats_added, count(*) FILTER (k = 2 AND side = 'removed') AS threats_removed, md5(any_value(text)) AS markdown_md5 FROM s JOIN t USING (p) GROUP BY 1""")
+def report_pair_diffs(spark, sf_dir):
+    """Each customer's orders before and from the median day on as a pair of reports: priorities are components, priorities with a status flows, and numbers with a priority findings."""
+    o = table(spark, sf_dir, "orders")
+    o = o.select(F.col("o_custkey").alias("pair_id"), F.col("o_orderpriority").alias("id"), F.col("o_orderstatus").alias("label"), F.concat(F.lit("T"), (F.col("o_orderkey") % 5).cast("string")).alias("t"), (F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")).alias("old"))
+    sides = [o.where("old"), o.where("not old")]
+    n = diff.sides(*[d.groupBy("pair_id", "id").agg(F.max("label").alias("label")) for d in sides], ["pair_id", "id"], ["label"])
+    n = n.select("pair_id", "side", F.col("id").alias("name"), F.create_map(F.lit("id"), "id").alias("row"))
+    e = diff.sides(*[d.select("pair_id", "id", "label").distinct() for d in sides], ["pair_id", "id", "label"])
+    e = e.select("pair_id", "side", F.concat(F.col("pair_id").cast("string"), F.lit(" -> "), "id", F.lit(": "), "label").alias("name"), F.create_map(F.lit("dst"), "id", F.lit("label"), "label").alias("row"))
+    f = diff.sides(*[d.select("pair_id", "t", "id").distinct() for d in sides], ["pair_id", "t", "id"])
+    f = f.select("pair_id", "side", F.concat("t", F.lit(" | "), "id").alias("name"), F.create_map(F.lit("id"), "t", F.lit("title"), "id").alias("row"))
+    out = diff.pair_reports(n, e, f)
+    return out.select("pair_id", "nodes_added", "nodes_removed", "nodes_changed", "edges_added", "edges_removed", "threats_added", "threats_removed", F.md5("markdown").alias("markdown_md5"))
+
+
 def named_findings(spark, sf_dir):
     """Each order a finding on its customer and on one that isn't there."""
     o = table(spark, sf_dir, "orders")

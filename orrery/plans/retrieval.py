@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import sql
 from orrery.functions.text import clamp, embed_model, entities, escape_html, language_name, overlap, page_text, tokens
 from orrery.operators import blockmax, citations, clusters, index, retrieve
 from orrery.operators.flows import distinct_queries
-from orrery.plans.registry import query, table
+from orrery.plans.registry import ORACLES, query, table
 from orrery.sources import documents
 from orrery.tables import scratch, written
 
@@ -89,8 +90,8 @@ def fused(spark, sf_dir, k=40):
     docs = table(spark, sf_dir, "documents")
     d = kb(docs)
     q = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text", "lang")
-    lens = index.lengths(d)
-    sparse = retrieve.topk(retrieve.with_zeros(retrieve.bm25_texts(q, d), q, lens, k), k)
+    lens = written(index.lengths(d), "lengths")
+    sparse = retrieve.topk(retrieve.with_zeros(retrieve.bm25_texts(q, d, lens), q, lens, k), k)
     dense = retrieve.topk(retrieve.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir)), k)
     return q, retrieve.fuse(dense, sparse)
 
@@ -183,12 +184,13 @@ def cited(spark, sf_dir):
     ranked = retrieve.final_scores(hits).withColumn("final_score", F.round("final_score", 6)).select("request_id", "chunk_id", "final_score", "pos")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("kb"), "text")
     cands = ranked.join(d, "chunk_id").select("request_id", "kb", F.col("chunk_id").cast("string").alias("chunk_id"), F.lit("doc").alias("source"), "text", "final_score", "pos")
+    cands = written(cands, "candidates")  # read many times
     third = cands.where("pos = 3").select("request_id", F.col("chunk_id").alias("c3"))
     claim = lambda c: F.struct(F.lit("").alias("kb"), F.lit("").alias("source"), c.alias("chunk_id"))
     items = table(spark, sf_dir, "benchmark").join(third.withColumnRenamed("request_id", "item_id"), "item_id", "left")
     texts = F.array().cast("array<string>")
     found = items.select(F.col("item_id").alias("request_id"), F.lit(0).alias("pos"), F.col("text").alias("title"), F.lit("because of it").alias("why"), texts.alias("stride"), texts.alias("affected"), F.array(claim(F.lit("none")), claim(F.coalesce("c3", F.lit("")))).alias("rag_sources"))
-    return found, cands
+    return written(found, "claims"), cands
 
 
 @query(f"""WITH {BM25}, {BENCH_HITS}, c AS (SELECT query_id, chunk_id, rank, score, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-10 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS fs FROM rk WHERE rank <= 40 WINDOW w AS (PARTITION BY query_id)),
@@ -230,6 +232,32 @@ def chunk_windows(spark, sf_dir):
     return out.select("kb", "chunk_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
 
 
+@query(f"""WITH {BM25}, q AS (SELECT DISTINCT item_id AS query_id, unnest({DOC_TOK}) AS term FROM benchmark), sc AS (SELECT query_id, p.doc_id AS chunk_id, round(sum({SCORE}), 6) AS score FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN lens l ON l.doc_id = p.doc_id CROSS JOIN st GROUP BY 1, 2),
+g AS (SELECT item_id, {DOC_TOK} AS t FROM benchmark), o AS (SELECT query_id, chunk_id, score, round(len(list_intersect(list_distinct(g.t), d.t))::DOUBLE / len(list_distinct(g.t)), 9) AS overlap FROM sc JOIN g ON item_id = query_id JOIN d ON d.doc_id = chunk_id)
+SELECT query_id, max(score) AS best, max(overlap) AS overlap, count(*) AS n FROM o GROUP BY 1""")
+def sql_functions(spark, sf_dir):
+    """A query in SQL alone, with the engine's functions: each benchmark item's best BM25 score and overlap over all documents that share a term with it."""
+    sql.register(spark)
+    return spark.sql(f"""
+WITH d AS (SELECT doc_id, orrery_tokens(text) AS t FROM parquet.`{sf_dir}/documents.parquet`),
+b AS (SELECT item_id, orrery_tokens(text) AS t FROM parquet.`{sf_dir}/benchmark.parquet`),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, explode(t) AS term FROM d) GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT count(*) AS n, sum(greatest(1, size(t))) / count(*) AS avgdl FROM d),
+q AS (SELECT item_id, explode(array_distinct(t)) AS term FROM b),
+sc AS (SELECT item_id, doc_id, sum(orrery_bm25(tf, df, n, size(t), avgdl)) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN d USING (doc_id) CROSS JOIN s GROUP BY 1, 2),
+o AS (SELECT item_id, score, orrery_overlap(b.t, d.t) AS overlap FROM sc JOIN b USING (item_id) JOIN d USING (doc_id))
+SELECT item_id AS query_id, round(max(score), 6) AS best, round(max(overlap), 9) AS overlap, count(*) AS n FROM o GROUP BY 1""")
+
+
+@query(ORACLES["chunk_windows"])
+def chunk_table_function(spark, sf_dir):
+    """X1 as a table function in SQL: the rows of chunk_windows."""
+    sql.register(spark)
+    return spark.sql(f"""SELECT kb, chunk_id, chunk_index, token_count, md5(text) AS text_md5
+FROM orrery_chunks(TABLE(SELECT lang AS kb, doc_id AS stem, text FROM parquet.`{sf_dir}/documents.parquet`), 200, 20)""")
+
+
 def sql_map(entries: dict[str, str]) -> str:
     text = lambda t: "'" + t.replace("'", "''") + "'"
     return "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in entries.items()) + "}"

@@ -71,16 +71,19 @@ def job_state_stream(spark, sf_dir):
     return out.where("job_id is not null").groupBy("job_id").agg(last.alias("status"), F.max("updated_at").alias("updated_at"))
 
 
-@query("""WITH x AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN '10.0.' || (event_id % 256) || '.1' ELSE '192.168.1.' || (event_id % 256) END AS host FROM events)
-SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN host WHEN event_id % 4 = 0 THEN '172.16.0.' || (event_id % 200) WHEN event_id % 4 = 1 THEN '2001:db8::' || (event_id % 100) ELSE host END AS ip, CASE WHEN event_id % 5 = 0 THEN 'k' || user_id ELSE host END AS key FROM x""")
+@query("""WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN '2001:DB8:9::' || (event_id % 90) WHEN event_id % 3 = 0 THEN '10.0.' || (event_id % 256) || '.1' ELSE '192.168.1.' || (event_id % 256) END AS host FROM events)
+SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 7 <> 1 AND event_id % 3 <> 0 THEN host WHEN event_id % 4 = 0 THEN '172.16.0.' || (event_id % 200) WHEN event_id % 4 = 1 THEN '2001:db8::' || CASE WHEN event_id % 200 > 0 THEN lower(to_hex(event_id % 200)) ELSE '' END
+WHEN event_id % 4 = 2 THEN '::ffff:9.8.7.' || (event_id % 250) ELSE host END AS ip, CASE WHEN event_id % 5 = 0 THEN 'k' || user_id ELSE coalesce(host, 'unknown') END AS key FROM x""")
 def client_identity(spark, sf_dir):
-    """M3, M4: addresses behind a trusted network, and keys."""
+    """M3, M4: addresses behind trusted networks of both kinds, in several spellings, peers that are missing, and keys."""
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
-    host = F.when(k % 3 == 0, F.concat(F.lit("10.0."), (k % 256).cast("string"), F.lit(".1"))).otherwise(F.concat(F.lit("192.168.1."), (k % 256).cast("string")))
-    forwarded = F.when(k % 4 == 0, F.concat(F.lit("unknown, 172.16.0."), (k % 200).cast("string"), F.lit(", 9.9.9.9"))).otherwise(F.lit("999.1.1.1"))
-    real = F.when(k % 4 == 1, F.concat(F.lit(" 2001:db8::"), (k % 100).cast("string"))).otherwise(F.lit("nonsense"))
-    ip = service.client_ip(host, forwarded, real, proxies=["10.0.0.0/8"])
+    s = lambda c: c.cast("string")
+    four = F.when(k % 3 == 0, F.concat(F.lit("10.0."), s(k % 256), F.lit(".1"))).otherwise(F.concat(F.lit("192.168.1."), s(k % 256)))
+    host = F.when(k % 7 == 0, None).when(k % 7 == 1, F.concat(F.lit("2001:DB8:9::"), s(k % 90))).otherwise(four)
+    forwarded = F.when(k % 4 == 0, F.concat(F.lit("unknown, 172.16.0."), s(k % 200), F.lit(", 9.9.9.9"))).when(k % 4 == 2, F.concat(F.lit("1.2.3.04, ::::, 0:0::FFFF:9.8.7."), s(k % 250))).otherwise(F.lit("999.1.1.1"))
+    real = F.when(k % 4 == 1, F.concat(F.lit(" 2001:0DB8:0:0::0:0"), F.hex(k % 200))).otherwise(F.lit("nonsense"))
+    ip = service.client_ip(host, forwarded, real, proxies=["10.0.0.0/8", "no network", "2001:db8:8::/45"])
     return e.select("event_id", ip.alias("ip"), service.scope_key(F.lit("api_key"), F.when(k % 5 == 0, F.concat(F.lit("k"), F.col("user_id").cast("string"))), host).alias("key"))
 
 

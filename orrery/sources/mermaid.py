@@ -109,7 +109,8 @@ def parse(texts: DataFrame) -> Graph:
     nodes = nodes.withColumn("node_pos", F.row_number().over(Window.partitionBy("graph_id").orderBy("first")) - 1).withColumn("label", F.coalesce("label", "id"))
     inside = (F.col("line_no") > F.col("opened")) & (F.col("closed").isNull() | (F.col("line_no") < F.col("closed")))
     member = seen.select("graph_id", F.col("id").alias("node_id"), "line_no").distinct().join(stretches, "graph_id").where(inside)
-    placed = ordered_zones(member.select("graph_id", "node_id", "zone_id", (F.col("line_no") * 1000 + F.col("depth")).alias("pos")), zones).withColumnRenamed("node_id", "id")
+    level = stretches.join(zones.select("graph_id", F.col("id").alias("zone_id"), "name"), ["graph_id", "zone_id"]).select("graph_id", F.col("zone_id").alias("id"), "name", "depth")  # the stack tells it
+    placed = ordered_zones(member.select("graph_id", "node_id", "zone_id", (F.col("line_no") * 1000 + F.col("depth")).alias("pos")), zones, level).withColumnRenamed("node_id", "id")
     nodes = nodes.join(placed, ["graph_id", "id"], "left").select(
         "graph_id", "node_pos", "id", "label", "zone", F.coalesce("zones", F.expr(TEXTS)).alias("zones"), F.lit(None).cast("string").alias("type"), F.expr(TEXTS).alias("data"),
         F.lit(None).cast("boolean").alias("auth"), F.lit(None).cast("string").alias("notes"),
