@@ -6,8 +6,6 @@ with a smaller bound than the k-th of them is read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +43,12 @@ def postings(chunked: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     A score is what the term adds to the chunk's BM25 score for any query. A term that all chunks have lies in as many rows as there are blocks, so nothing grows with its frequency but their number.
     """
     with scratch() as keep:
-        own = blocked(chunked, block_chunks)
+        own = keep(blocked(chunked, block_chunks))
         each = own.select("kb", "block", "chunk_id", "doc_len", F.explode("terms").alias("term")).groupBy("kb", "term", "block", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
         lists = keep(written(each.groupBy("kb", "term", "block").agg(F.collect_list(F.struct("chunk_id", "tf", "doc_len")).alias("own")), "term-blocks"))  # block_chunks at most
-        stats = keep(written(index.kb_stats(own), "kb-stats"))
     df = lists.groupBy("kb", "term").agg(F.sum(F.size("own")).alias("df"))
     score = lambda x: F.struct(x["chunk_id"].alias("chunk_id"), index.bm25_term(x["tf"], F.col("df"), F.col("n_chunks"), x["doc_len"], F.col("avgdl")).alias("score"))
-    scored = lists.join(df, ["kb", "term"]).join(stats, "kb").withColumn("postings", F.transform("own", score))
+    scored = lists.join(df, ["kb", "term"]).join(index.kb_stats(own), "kb").withColumn("postings", F.transform("own", score))
     top = F.array_max(F.transform("postings", lambda x: x["score"]))
     return scored.select("term", "block", "df", top.alias("top"), "postings", "kb").sortWithinPartitions("kb", "term", "block")
 
@@ -82,13 +79,11 @@ def search(queries: DataFrame, posts: DataFrame, k: int, first_blocks: int = FIR
     """
     terms, own = asked(posts, queries)
     with scratch() as keep:
-        heads = written(bounds(own, terms), "block-bounds")
         w = Window.partitionBy("query_id", "kb").orderBy(F.col("bound").desc(), "block")
-        first = written(heads.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first_blocks).select("query_id", "kb", "block"), "first-blocks")
-        begun = keep(written(topk(_scores(own, terms, first), k), "first-scores"))
-        least = begun.where(F.col("rank") == k).select("query_id", "kb", F.col("score").alias("least"))
-        left = heads.join(first, ["query_id", "kb", "block"], "left_anti").join(least, ["query_id", "kb"], "left")
-        seen = keep(written(left.withColumn("visited", F.coalesce(F.col("bound") + SLACK >= F.col("least"), F.lit(True))).drop("least").unionByName(heads.join(first, ["query_id", "kb", "block"], "left_semi").withColumn("visited", F.lit(True))), "visited-blocks"))
-        rest = seen.where("visited").join(first, ["query_id", "kb", "block"], "left_anti")
-        more = keep(written(topk(_scores(own, terms, rest), k), "more-scores"))
-    return topk(reduce(DataFrame.unionByName, [x.drop("rank") for x in (begun, more)]), k), seen
+        heads = keep(written(bounds(own, terms).withColumn("first", F.row_number().over(w) <= first_blocks), "block-bounds"))
+        begun = keep(written(topk(_scores(own, terms, heads.where("first")), k), "first-scores"))
+    least = begun.where(F.col("rank") == k).select("query_id", "kb", F.col("score").alias("least"))
+    visited = F.col("first") | F.coalesce(F.col("bound") + SLACK >= F.col("least"), F.lit(True))
+    seen = heads.join(least, ["query_id", "kb"], "left").withColumn("visited", visited).drop("least")
+    more = _scores(own, terms, seen.where("visited and not first")).withColumn("score", F.round("score", 6))
+    return topk(begun.drop("rank").unionByName(more), k), seen.drop("first")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,4 +38,4 @@ def from_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge(graph: Graph, answers: DataFrame) -> Graph:
     """Graphs with the hints of answers(request_id, answer), request_id being the graph's id. Graphs without an answer stay as they are."""
     nodes, edges = from_answers(answers)
-    return replace(graph, nodes=patch.patch_nodes(graph.nodes, nodes, graph.zones), edges=patch.patch_edges(graph.edges, edges))
+    return Graph(patch.patch_nodes(graph.nodes, nodes, graph.zones), patch.patch_edges(graph.edges, edges), graph.zones, graph.metrics, graph.errors)

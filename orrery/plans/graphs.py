@@ -80,27 +80,31 @@ def graph_queries(spark, sf_dir):
     return flows.graph_queries(nation, e).unionByName(flows.graph_queries(n, e))
 
 
-def places(spark, sf_dir) -> DataFrame:
-    """The world, regions in it, nations in those; the world is its own parent."""
+def places(spark, sf_dir, customers: bool = False) -> DataFrame:
+    """The world, regions in it, nations in those and, if asked, customers in those; the world is its own parent."""
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.lit("w").alias("parent_id"), (F.col("r_regionkey") + 1).alias("zone_pos"))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), (F.col("n_nationkey") + 1000).alias("zone_pos"))
     w = spark.sql("SELECT 'w' AS id, 'WORLD' AS name, 'w' AS parent_id, 0 AS zone_pos")
-    return w.unionByName(r).unionByName(n).withColumn("graph_id", F.lit("all"))
+    out = w.unionByName(r).unionByName(n)
+    if customers:
+        c = F.col("c_custkey").cast("string")
+        out = out.unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), c).alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), (F.col("c_custkey") + 10_000).cast("int").alias("zone_pos")))
+    return out.withColumn("graph_id", F.lit("all"))
 
 
-PLACES = """z AS (SELECT 'w' AS id, 'WORLD' AS name, 'w' AS parent_id UNION ALL SELECT 'r' || r_regionkey, r_name, 'w' FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation)"""
+PLACES = """z AS (SELECT 'w' AS id, 'WORLD' AS name, 'w' AS parent_id UNION ALL SELECT 'r' || r_regionkey, r_name, 'w' FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer)"""
 
 
 @query(f"WITH RECURSIVE {PLACES}, t AS (SELECT id, name AS path, 0 AS depth FROM z WHERE id = parent_id UNION ALL SELECT z.id, t.path || ' > ' || z.name, t.depth + 1 FROM z JOIN t ON z.parent_id = t.id WHERE z.id <> z.parent_id) SELECT id, path, depth::INTEGER AS depth FROM t")
 def zone_depth_path(spark, sf_dir):
     """G1, G2."""
-    return zones.paths(places(spark, sf_dir)).select("id", "path", "depth")
+    return zones.paths(places(spark, sf_dir, True)).select("id", "path", "depth")
 
 
 @query(f"WITH RECURSIVE {PLACES}, t AS (SELECT id, id AS ancestor, 0 AS distance FROM z UNION ALL SELECT t.id, z.parent_id, distance + 1 FROM t JOIN z ON z.id = t.ancestor WHERE z.parent_id <> z.id) SELECT id, ancestor, distance::INTEGER AS distance FROM t")
 def zone_ancestors(spark, sf_dir):
     """G3."""
-    return zones.closure(places(spark, sf_dir)).select("id", "ancestor", "distance")
+    return zones.closure(places(spark, sf_dir, True)).select("id", "ancestor", "distance")
 
 
 def rects(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,26 +59,26 @@ def import_success_rate(spark, sf_dir):
 
 
 def ir_texts(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """Each region a native graph: nations are nodes in zone r, in zone w, and flow to the next nation. If broken, odd regions flow to a node that isn't there and lack a zone."""
-    n = table(spark, sf_dir, "nation")
-    me = F.concat(F.lit("n"), s("n_nationkey"))
-    node = F.to_json(F.struct(me.alias("id"), F.concat(F.lit(" "), "n_name").alias("label"), F.array(F.lit("r"), F.lit("w")).alias("zones"), F.lit("process").alias("type"), F.array(F.lit("d"), F.lit("")).alias("data"), (F.col("n_nationkey") % 2 == 0).alias("auth")))
-    other = F.when(F.lit(broken) & (F.col("n_regionkey") % 2 == 1), F.lit("nowhere")).otherwise(me)
+    """Each nation a native graph: its suppliers are nodes in zone r, in zone w, and flow to themselves. If broken, odd nations flow to a node that isn't there and lack a zone."""
+    n = table(spark, sf_dir, "supplier")
+    me = F.concat(F.lit("n"), s("s_suppkey"))
+    node = F.to_json(F.struct(me.alias("id"), F.concat(F.lit(" "), "s_name").alias("label"), F.array(F.lit("r"), F.lit("w")).alias("zones"), F.lit("process").alias("type"), F.array(F.lit("d"), F.lit("")).alias("data"), (F.col("s_suppkey") % 2 == 0).alias("auth")))
+    other = F.when(F.lit(broken) & (F.col("s_nationkey") % 2 == 1), F.lit("nowhere")).otherwise(me)
     edge = F.to_json(F.struct(me.alias("src"), other.alias("dst"), F.lit("  ").alias("label"), F.lit("https").alias("protocol")))
-    rows = n.groupBy(F.col("n_regionkey").alias("graph_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat(F.lit('"'), me, F.lit('":'), node).alias("n"), edge.alias("e")))).alias("x"))
+    rows = n.groupBy(F.col("s_nationkey").alias("graph_id")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.concat(F.lit('"'), me, F.lit('":'), node).alias("n"), edge.alias("e")))).alias("x"))
     zones = F.when(F.lit(broken) & (F.col("graph_id") % 2 == 1), F.lit('{"r":{"name":"R","parent_id":"w"}}')).otherwise(F.lit('{"w":{"name":"World"},"r":{"name":"R","parent_id":"w"}}'))
     text = F.concat(F.lit('{"nodes":{'), F.array_join(F.transform("x", lambda x: x["n"]), ","), F.lit('},"edges":['), F.array_join(F.transform("x", lambda x: x["e"]), ","), F.lit('],"zones":'), zones, F.lit("}"))
     return rows.select("graph_id", text.alias("text"))
 
 
-@query("SELECT n_regionkey AS graph_id, 'n' || n_nationkey AS id, n_name AS label, 'w,r' AS zones, 'R' AS zone, 'process' AS type, 'd' AS data, n_nationkey % 2 = 0 AS auth FROM nation")
+@query("SELECT s_nationkey AS graph_id, 'n' || s_suppkey AS id, s_name AS label, 'w,r' AS zones, 'R' AS zone, 'process' AS type, 'd' AS data, s_suppkey % 2 = 0 AS auth FROM supplier")
 def ir_nodes(spark, sf_dir):
     """S7, P21, T7."""
     return ir.parse(ir_texts(spark, sf_dir)).nodes.select("graph_id", "id", "label", F.array_join("zones", ",").alias("zones"), "zone", "type", F.array_join("data", ",").alias("data"), "auth")
 
 
-@query("""SELECT n_regionkey AS graph_id, 'edge ' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) || ' names unknown node nowhere' AS error FROM nation WHERE n_regionkey % 2 = 1
-UNION ALL SELECT n_regionkey, 'node n' || n_nationkey || ' names unknown zone w' FROM nation WHERE n_regionkey % 2 = 1 UNION ALL SELECT r_regionkey, 'zone r names unknown parent w' FROM region WHERE r_regionkey % 2 = 1""")
+@query("""SELECT s_nationkey AS graph_id, 'edge ' || (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) || ' names unknown node nowhere' AS error FROM supplier WHERE s_nationkey % 2 = 1
+UNION ALL SELECT s_nationkey, 'node n' || s_suppkey || ' names unknown zone w' FROM supplier WHERE s_nationkey % 2 = 1 UNION ALL SELECT DISTINCT s_nationkey, 'zone r names unknown parent w' FROM supplier WHERE s_nationkey % 2 = 1""")
 def ir_violations(spark, sf_dir):
     """S7, J9, P21, G5."""
     return ir.violations(ir_texts(spark, sf_dir, broken=True))
@@ -105,27 +111,43 @@ def td_flows(spark, sf_dir):
 
 
 def drawio_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each region a diagram: a dashed box around groups, one a nation, each with a shape inside, placed relative to its group; shapes flow to themselves, with a label in a cell of its own."""
-    n = table(spark, sf_dir, "nation")
-    k = s("n_nationkey")
+    """Each nation a diagram: a dashed box around groups, one a supplier, each with a shape inside, placed relative to its group; shapes flow to themselves, with a label in a cell of its own. By turns the page is
+    plain, URL-encoded, base64, base64 of raw deflate, and plain with a namespace."""
+    n = table(spark, sf_dir, "supplier")
+    k = s("s_suppkey")
     geo = lambda x, y, w, h: f'<mxGeometry x="{x}" y="{y}" width="{w}" height="{h}" as="geometry"/>'
     cells = F.concat(
-        F.lit('<mxCell id="g'), k, F.lit('" value="&lt;b&gt;'), "n_name", F.lit('&lt;/b&gt;" style="group;rounded=1" vertex="1" parent="1">'), F.lit('<mxGeometry x="'), (F.col("n_nationkey") * 100).cast("string"), F.lit('" y="10" width="80" height="80" as="geometry"/></mxCell>'),
+        F.lit('<mxCell id="g'), k, F.lit('" value="&lt;b&gt;'), "s_name", F.lit('&lt;/b&gt;" style="group;rounded=1" vertex="1" parent="1">'), F.lit('<mxGeometry x="'), (F.col("s_suppkey") * 100).cast("string"), F.lit('" y="10" width="80" height="80" as="geometry"/></mxCell>'),
         F.lit('<mxCell id="s'), k, F.lit('" value="shop%20'), k, F.lit('" style="ellipse" vertex="1" parent="g'), k, F.lit('">' + geo(10, 10, 20, 20) + "</mxCell>"),
         F.lit('<mxCell id="e'), k, F.lit('" edge="1" source="s'), k, F.lit('" target="s'), k, F.lit('" parent="1"/><mxCell id="l'), k, F.lit('" value="sells" style="edgeLabel;html=1" vertex="1" connectable="0" parent="e'), k, F.lit('"/>'),
     )
-    rows = n.select(F.col("n_regionkey").cast("string").alias("graph_id"), F.col("n_nationkey").alias("o"), cells.alias("t"))
-    head = '<mxfile><diagram id="p" name="Page"><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/><mxCell id="w" value="World" style="rectangle;dashed=1" vertex="1" parent="1">' + geo(0, 0, 5000, 200) + "</mxCell>"
-    return in_order(rows, "").select("graph_id", F.concat(F.lit(head), "text", F.lit("</root></mxGraphModel></diagram></mxfile>")).alias("text"))
-
-
-@query("SELECT n_regionkey::VARCHAR AS graph_id, 's' || n_nationkey AS id, 'shop ' || n_nationkey AS label, 'w,g' || n_nationkey AS zones, n_name AS zone FROM nation")
+    rows = n.select(F.col("s_nationkey").cast("string").alias("graph_id"), F.col("s_suppkey").alias("o"), cells.alias("t"))
+    head = '<mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/><mxCell id="w" value="World" style="rectangle;dashed=1" vertex="1" parent="1">' + geo(0, 0, 1_000_000_000, 200) + "</mxCell>"
+
+    def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for text in b["text"].to_pylist():
+                packer = zlib.compressobj(wbits=-15)
+                packed.append(base64.b64encode(packer.compress(quote(text).encode()) + packer.flush()).decode())
+            yield pa.RecordBatch.from_arrays([b["graph_id"], pa.array(packed, pa.string())], ["graph_id", "text"])
+
+    pages = in_order(rows, "").select("graph_id", F.concat(F.lit(head), "text", F.lit("</root></mxGraphModel>")).alias("text"))
+    way = F.col("graph_id").cast("int") % 5
+    plain = pages.where(way != 3).select("graph_id", F.when(way == 1, F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))).when(way == 2, F.base64(F.encode("text", "UTF-8"))).otherwise(F.col("text")).alias("text"))
+    every = plain.unionByName(pages.where(way == 3).mapInArrow(deflated, "graph_id string, text string"))
+    whole = F.concat(F.lit('<mxfile><diagram id="p" name="Page">'), "text", F.lit("</diagram></mxfile>"))
+    spaced = F.replace(F.regexp_replace(whole, "<(/?)(?=mx|root|diagram)", "<$1d:"), F.lit("<d:mxfile>"), F.lit('<d:mxfile xmlns:d="urn:d">'))
+    return every.select("graph_id", F.when(way == 4, spaced).otherwise(whole).alias("text"))
+
+
+@query("SELECT s_nationkey::VARCHAR AS graph_id, 's' || s_suppkey AS id, 'shop ' || s_suppkey AS label, 'w,g' || s_suppkey AS zones, s_name AS zone FROM supplier")
 def drawio_nodes(spark, sf_dir):
-    """S5, P6-P9, G6, F8, F9, J1, J2, J2b."""
+    """S5, S5a, S5c, S5d, P6-P9, G6, F8, F9, F30, J1, J2, J2b."""
     return drawio.parse(drawio_texts(spark, sf_dir)).nodes.select("graph_id", "id", "label", F.array_join("zones", ",").alias("zones"), "zone")
 
 
-@query("SELECT n_regionkey::VARCHAR AS graph_id, 's' || n_nationkey AS src, 's' || n_nationkey AS dst, 'sells' AS label, 'e' || n_nationkey AS id FROM nation")
+@query("SELECT s_nationkey::VARCHAR AS graph_id, 's' || s_suppkey AS src, 's' || s_suppkey AS dst, 'sells' AS label, 'e' || s_suppkey AS id FROM supplier")
 def drawio_edges(spark, sf_dir):
     """S5, J3, J17, P7."""
     return drawio.parse(drawio_texts(spark, sf_dir)).edges.select("graph_id", "src", "dst", "label", "id")

@@ -25,6 +25,19 @@ class Graph:
     errors: DataFrame
 
 
+class LazyGraph(Graph):
+    """A Graph whose tables are planned when they are first asked for, by functions of the same names: a query that reads the edges alone doesn't pay for the nodes."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        object.__setattr__(self, "_makers", makers)
+
+    def __getattribute__(self, name: str):
+        makers = object.__getattribute__(self, "__dict__").get("_makers", {})
+        if name in makers and name not in object.__getattribute__(self, "__dict__"):
+            object.__setattr__(self, name, makers[name]())
+        return object.__getattribute__(self, name)
+
+
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(graph_id, text): each file under path as a row; its path is the id."""
     return spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("graph_id"), F.col("value").alias("text"))

@@ -5,12 +5,15 @@ A subgraph opens at its line and closes at the first line after it that leaves i
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.text import let, strip, unquoted_label
 from orrery.operators.zones import ordered_zones
-from orrery.sources.graphs import TEXTS, Graph, lines, metrics, ones, register
+from orrery.sources.graphs import TEXTS, Graph, LazyGraph, lines, metrics, ones, register
+from orrery.tables import written
 
 # The syntax.
 ARROW = r"<-->|==>|-\.->|--->|-->|->"
@@ -86,38 +89,59 @@ def zones_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse(texts: DataFrame) -> Graph:
     """texts(graph_id, text) -> a graph's tables. Labels on edges and alone: the last one of a node stays. A node is in every subgraph that is open where an edge or a label names it (Q24)."""
     rows = numbered(texts)
-    zones, stretches = zones_of(rows)
-    plain = rows.where(~F.rlike("line", F.lit(SUBGRAPH)) & ~F.rlike("line", F.lit(END)))
-    cleaned = strip(F.replace(F.replace(F.split_part("line", F.lit("%%"), F.lit(1)), F.lit("—"), F.lit("-")), F.lit("→"), F.lit(">")))
-    body = plain.select("graph_id", "line_no", cleaned.alias("t")).where("t <> ''").withColumn("cand", F.rlike("t", F.lit(ARROW)))
     # each step in an explode of one element: the optimiser would merge the steps' expressions and repeat them without end
     step = lambda df, c, name: df.withColumn(name, F.explode(F.array(c)))
-    cut = step(body, F.when(F.col("cand"), edge_parts(F.col("t"))), "e")
-    cut = step(cut, F.struct(node_token(F.col("e.src")).alias("s"), node_token(F.col("e.dst")).alias("d"), unquoted_label(F.col("e.label")).alias("label")), "x")
-    cut = cut.select("graph_id", "line_no", "t", "cand", "e.both", "x.s", "x.d", "x.label").withColumn("ok", F.coalesce(F.col("s.id").isNotNull() & F.col("d.id").isNotNull(), F.lit(False)))
-    one = F.struct(F.lit(0).alias("ord"), F.col("s").alias("s"), F.col("d").alias("d"))
-    two = F.struct(F.lit(1).alias("ord"), F.col("d").alias("s"), F.col("s").alias("d"))
-    pairs = cut.where("ok").select("graph_id", "line_no", "label", F.explode(F.when(F.col("both"), F.array(one, two)).otherwise(F.array(one))).alias("p"))
-    w = Window.partitionBy("graph_id").orderBy("line_no", "ord")
-    edges = pairs.select("graph_id", "line_no", F.col("p.ord").alias("ord"), F.col("p.s.id").alias("src"), F.col("p.d.id").alias("dst"), "label", F.col("p.s.label").alias("sl"), F.col("p.d.label").alias("dl")).withColumn("edge_pos", F.row_number().over(w) - 1)
-    alone = step(cut.where("not ok"), node_token(F.col("t")), "n").where("n.id is not null and n.label is not null")
-    seen = edges.select("graph_id", "line_no", (F.col("ord") * 2).alias("o"), F.col("src").alias("id"), F.col("sl").alias("label"))
-    seen = seen.unionByName(edges.select("graph_id", "line_no", (F.col("ord") * 2 + 1).alias("o"), F.col("dst").alias("id"), F.col("dl").alias("label")))
-    seen = seen.unionByName(alone.select("graph_id", "line_no", F.lit(0).alias("o"), "n.id", "n.label"))
-    at = F.struct("line_no", "o")
-    nodes = seen.groupBy("graph_id", "id").agg(F.min(at).alias("first"), F.max_by("label", F.when(F.col("label").isNotNull(), at)).alias("label"))
-    nodes = nodes.withColumn("node_pos", F.row_number().over(Window.partitionBy("graph_id").orderBy("first")) - 1).withColumn("label", F.coalesce("label", "id"))
-    inside = (F.col("line_no") > F.col("opened")) & (F.col("closed").isNull() | (F.col("line_no") < F.col("closed")))
-    member = seen.select("graph_id", F.col("id").alias("node_id"), "line_no").distinct().join(stretches, "graph_id").where(inside)
-    level = stretches.join(zones.select("graph_id", F.col("id").alias("zone_id"), "name"), ["graph_id", "zone_id"]).select("graph_id", F.col("zone_id").alias("id"), "name", "depth")  # the stack tells it
-    placed = ordered_zones(member.select("graph_id", "node_id", "zone_id", (F.col("line_no") * 1000 + F.col("depth")).alias("pos")), zones, level).withColumnRenamed("node_id", "id")
-    nodes = nodes.join(placed, ["graph_id", "id"], "left").select(
-        "graph_id", "node_pos", "id", "label", "zone", F.coalesce("zones", F.expr(TEXTS)).alias("zones"), F.lit(None).cast("string").alias("type"), F.expr(TEXTS).alias("data"),
-        F.lit(None).cast("boolean").alias("auth"), F.lit(None).cast("string").alias("notes"),
-    )
-    told = metrics(
-        texts.select("graph_id", F.size(lines(F.coalesce("text", F.lit("")))).alias("total_lines")),
-        {"edge_candidates": ones(cut.where("cand")), "edges_parsed": ones(edges), "node_label_candidates": ones(alone), "node_labels_parsed": ones(alone)},
-    )
-    out = edges.select("graph_id", "edge_pos", "src", "dst", "label", F.lit(None).cast("string").alias("protocol"), F.expr(TEXTS).alias("data"), F.lit(None).cast("string").alias("id"))
-    return Graph(nodes, out, zones, told, texts.select("graph_id", F.lit("").alias("error")).limit(0))
+
+    @cache
+    def stack() -> tuple[DataFrame, DataFrame]:
+        return zones_of(rows)
+
+    @cache
+    def cut() -> DataFrame:
+        plain = rows.where(~F.rlike("line", F.lit(SUBGRAPH)) & ~F.rlike("line", F.lit(END)))
+        cleaned = strip(F.replace(F.replace(F.split_part("line", F.lit("%%"), F.lit(1)), F.lit("—"), F.lit("-")), F.lit("→"), F.lit(">")))
+        body = plain.select("graph_id", "line_no", cleaned.alias("t")).where("t <> ''").withColumn("cand", F.rlike("t", F.lit(ARROW)))
+        out = step(body, F.when(F.col("cand"), edge_parts(F.col("t"))), "e")
+        out = step(out, F.struct(node_token(F.col("e.src")).alias("s"), node_token(F.col("e.dst")).alias("d"), unquoted_label(F.col("e.label")).alias("label")), "x")
+        return out.select("graph_id", "line_no", "t", "cand", "e.both", "x.s", "x.d", "x.label").withColumn("ok", F.coalesce(F.col("s.id").isNotNull() & F.col("d.id").isNotNull(), F.lit(False)))
+
+    @cache
+    def found() -> DataFrame:
+        one = F.struct(F.lit(0).alias("ord"), F.col("s").alias("s"), F.col("d").alias("d"))
+        two = F.struct(F.lit(1).alias("ord"), F.col("d").alias("s"), F.col("s").alias("d"))
+        pairs = cut().where("ok").select("graph_id", "line_no", "label", F.explode(F.when(F.col("both"), F.array(one, two)).otherwise(F.array(one))).alias("p"))
+        w = Window.partitionBy("graph_id").orderBy("line_no", "ord")
+        return pairs.select("graph_id", "line_no", F.col("p.ord").alias("ord"), F.col("p.s.id").alias("src"), F.col("p.d.id").alias("dst"), "label", F.col("p.s.label").alias("sl"), F.col("p.d.label").alias("dl")).withColumn("edge_pos", F.row_number().over(w) - 1)
+
+    @cache
+    def alone() -> DataFrame:
+        return step(cut().where("not ok"), node_token(F.col("t")), "n").where("n.id is not null and n.label is not null")
+
+    def nodes() -> DataFrame:
+        zones, stretches = stack()
+        edges = found()
+        seen = edges.select("graph_id", "line_no", (F.col("ord") * 2).alias("o"), F.col("src").alias("id"), F.col("sl").alias("label"))
+        seen = seen.unionByName(edges.select("graph_id", "line_no", (F.col("ord") * 2 + 1).alias("o"), F.col("dst").alias("id"), F.col("dl").alias("label")))
+        seen = written(seen.unionByName(alone().select("graph_id", "line_no", F.lit(0).alias("o"), "n.id", "n.label")), "named-nodes")  # files are taken apart once for the nodes' joins
+        at = F.struct("line_no", "o")
+        out = seen.groupBy("graph_id", "id").agg(F.min(at).alias("first"), F.max_by("label", F.when(F.col("label").isNotNull(), at)).alias("label"))
+        out = out.withColumn("node_pos", F.row_number().over(Window.partitionBy("graph_id").orderBy("first")) - 1).withColumn("label", F.coalesce("label", "id"))
+        inside = (F.col("line_no") > F.col("opened")) & (F.col("closed").isNull() | (F.col("line_no") < F.col("closed")))
+        member = seen.select("graph_id", F.col("id").alias("node_id"), "line_no").distinct().join(stretches, "graph_id").where(inside)
+        level = stretches.join(zones.select("graph_id", F.col("id").alias("zone_id"), "name"), ["graph_id", "zone_id"]).select("graph_id", F.col("zone_id").alias("id"), "name", "depth")  # the stack tells it
+        placed = ordered_zones(member.select("graph_id", "node_id", "zone_id", (F.col("line_no") * 1000 + F.col("depth")).alias("pos")), zones, level).withColumnRenamed("node_id", "id")
+        return out.join(placed, ["graph_id", "id"], "left").select(
+            "graph_id", "node_pos", "id", "label", "zone", F.coalesce("zones", F.expr(TEXTS)).alias("zones"), F.lit(None).cast("string").alias("type"), F.expr(TEXTS).alias("data"),
+            F.lit(None).cast("boolean").alias("auth"), F.lit(None).cast("string").alias("notes"),
+        )
+
+    def told() -> DataFrame:
+        return metrics(
+            texts.select("graph_id", F.size(lines(F.coalesce("text", F.lit("")))).alias("total_lines")),
+            {"edge_candidates": ones(cut().where("cand")), "edges_parsed": ones(found()), "node_label_candidates": ones(alone()), "node_labels_parsed": ones(alone())},
+        )
+
+    def edges() -> DataFrame:
+        return found().select("graph_id", "edge_pos", "src", "dst", "label", F.lit(None).cast("string").alias("protocol"), F.expr(TEXTS).alias("data"), F.lit(None).cast("string").alias("id"))
+
+    return LazyGraph(nodes=nodes, edges=edges, zones=lambda: stack()[0], metrics=told, errors=lambda: texts.select("graph_id", F.lit("").alias("error")).limit(0))
