@@ -69,11 +69,13 @@ def pair_reports(nodes: DataFrame, edges: DataFrame, findings: DataFrame, narrat
         rows = F.transform(section(k), lambda x: F.concat(F.lit("- "), x["side"], F.lit(": "), F.replace(x["name"], F.lit("|"), F.lit("/")), F.lit("\n")))
         return F.concat(F.lit(f"## {title}\n\n"), F.when(F.size(section(k)) == 0, F.lit("No change.\n")).otherwise(F.array_join(rows, "")), F.lit("\n"))
 
-    def listed(k: int, what: str) -> str | Column:
+    def of(k: int, side: str) -> Column:
+        return F.array_join(F.transform(F.filter("_r", lambda x: (x["k"] == k) & (x["side"] == side)), lambda x: x["json"]), ",")
+
+    def listed(k: int, what: str) -> Column:
         out = []
         for side in ("added", "removed"):
-            rows = F.array_join(F.transform(F.filter("_r", lambda x, side=side: (x["k"] == k) & (x["side"] == side)), lambda x: x["json"]), ",")
-            out += [F.concat(F.lit(f'"{what}_{side}":'), F.col(f"{what}_{side}").cast("string"), F.lit(f',"{side}_{what}":['), rows, F.lit("]"))]
+            out += [F.concat(F.lit(f'"{what}_{side}":'), F.col(f"{what}_{side}").cast("string"), F.lit(f',"{side}_{what}":['), of(k, side), F.lit("]"))]
         return F.concat_ws(",", *out)
 
     groups = {part: [listed(k, what) for k, (p, what, _) in enumerate(SECTIONS) if p == part] for part, _, _ in SECTIONS}
