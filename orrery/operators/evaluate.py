@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import plain_cosine
+from orrery.tables import scratch, written
 
 
 def similarity_text(title: Column, why: Column) -> Column:
@@ -40,6 +45,53 @@ def embedded_matches(expected: DataFrame, actual: DataFrame, threshold: float, o
     return best_matches(expected, actual, plain_cosine(F.col("e.embedding"), F.col("a.embedding")), threshold, one_to_one)
 
 
+def embedded(sides: list[DataFrame], embed: Callable[[pd.Series], pd.Series]) -> list[DataFrame]:
+    """The tables with `embedding`, that of their column `text`. Each distinct text of all of them is embedded once, by embed, which takes a column of texts and gives one of vectors."""
+
+    @F.pandas_udf("array<double>")
+    def vector(text: pd.Series) -> pd.Series:
+        return embed(text)
+
+    with scratch() as keep:
+        texts = reduce(DataFrame.unionByName, [d.select("text") for d in sides]).distinct()
+        known = keep(written(texts.withColumn("embedding", vector("text")), "text-embeddings"))
+    return [d.join(known, "text", "left") for d in sides]
+
+
+def benchmark(gold: DataFrame, threats: DataFrame, embed: Callable[[pd.Series], pd.Series], threshold: float = 0.6, one_to_one: bool = False, digits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """gold(scenario, id, title, why, threshold), threats(scenario, pos, id, title, why) -> (matches: scenario, id, actual_id, score, with nulls for items that nothing matches; report() of scenarios and all together).
+    Texts are compared by similarity_text()."""
+    expected, actual = embedded([d.withColumn("text", similarity_text(F.col("title"), F.col("why"))) for d in (gold, threats)], embed)
+    with scratch() as keep:
+        expected, actual = keep(written(expected, "gold")), keep(written(actual, "threats"))
+        found = keep(written(embedded_matches(expected, actual, threshold, one_to_one), "matches"))
+    every = expected.select("scenario", "id").join(found, ["scenario", "id"], "left")
+    return every, report(expected, actual, found, digits)
+
+
+def benchmark_files(spark: SparkSession, root: str, reports: str, embed: Callable[[pd.Series], pd.Series], only: list[str] | None = None, threshold: float = 0.6, **options) -> tuple[DataFrame, DataFrame]:
+    """The gold lists <root>/<scenario>/expected_threats.json against the reports <reports>/<scenario>.json, in one call. Unknown scenarios, or none, are an error."""
+    from orrery.sources import documents
+
+    gold = documents.gold(spark, root, only)
+    if gold.isEmpty():
+        raise documents.DocumentError("no scenario with expected_threats.json")
+    own = documents.reports(spark, f"{reports}/*.json").withColumn("scenario", F.regexp_extract("path", r"([^/]+)\.json$", 1))
+    threats = own.join(gold.select("scenario").distinct(), "scenario", "left_semi").select("scenario", F.posexplode("threats").alias("pos", "t")).select("scenario", "pos", "t.id", "t.title", "t.why")
+    return benchmark(gold.select("scenario", "id", "title", "why", "threshold"), threats, embed, threshold, **options)
+
+
+def benchmark_text(matches: DataFrame, told: DataFrame, digits: int = 4) -> DataFrame:
+    """(scenario, line): each scenario's metrics with the ids that were matched and missed, and the total, as text. A line is as long as its scenario's gold list."""
+    number = lambda c: F.format_string(f"%.{digits}f", F.col(c))
+    ids = lambda hit: F.array_join(F.array_sort(F.collect_list(F.when(F.col("actual_id").isNotNull() == hit, F.col("id").cast("string")))), ", ")
+    listed = matches.groupBy("scenario").agg(ids(True).alias("_m"), ids(False).alias("_n"))
+    head = F.when(F.col("scenario").isNull(), F.lit("TOTAL")).otherwise(F.concat(F.lit("["), F.col("scenario").cast("string"), F.lit("]")))
+    line = F.concat(head, F.lit(" accepted="), "accepted", F.lit("/"), "gold", F.lit(" outputs="), "outputs", F.lit(" precision="), number("precision"), F.lit(" recall="), number("recall"), F.lit(" f1="), number("f1"))
+    more = lambda c, name: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n  {name}: "), c)).otherwise("")
+    return told.join(listed, "scenario", "left").select("scenario", F.concat(line, more(F.col("_m"), "matched "), more(F.col("_n"), "missing ")).alias("line"))
+
+
 def report(expected: DataFrame, actual: DataFrame, matches: DataFrame, digits: int = 4) -> DataFrame:
     """Scenario (null for all together), accepted, outputs, gold, precision, recall, f1: scenarios and the micro average in one pass by grouping sets."""
     n = lambda df, name: df.groupBy("scenario").agg(F.count("*").alias(name))

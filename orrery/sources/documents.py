@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.text import page_text, raw_tokens, strip
@@ -158,6 +158,5 @@ def gold(spark: SparkSession, root: str, only: list[str] | None = None) -> DataF
 
 def numbered_blocks(docs: DataFrame) -> DataFrame:
     """one text of all context documents (few: they fit a prompt), numbered by source."""
-    w = Window.orderBy("source")
-    own = docs.withColumn("n", F.row_number().over(w))
-    return own.select("n", context_block(F.col("n"), F.col("source"), F.col("text")).alias("block")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
+    one = docs.agg(F.sort_array(F.collect_list(F.struct("source", "text"))).alias("_d"))
+    return one.select(F.array_join(F.transform("_d", lambda x, i: context_block(i + 1, x["source"], x["text"])), "\n\n").alias("context"))
