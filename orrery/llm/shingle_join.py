@@ -6,7 +6,7 @@ pairs that it can't reach are found by a prefix-filtered join: with shingles in
 one of the first n - ceil(0.8 n) + 1 of either. Any order is right; here shingles that a sample shows to be frequent come last, so
 that passages of many texts make few candidates.
 
-The first round links each text by its fingerprint and with the nearest of one leader a shingle and range of sizes; the second
+The first round links each text by its fingerprint and with the nearest of one leader a shingle and range of sizes; a few more do so with other leaders, of other components than the text's; the last
 compares only texts of different components so far, and of a shingle's texts none of its largest component with one another. So a group of near copies
 doesn't make all its pairs. Sets take several bytes a word: only those of candidates are written.
 """
@@ -32,6 +32,8 @@ OVER, UNDER = 4, 5
 SAMPLE, FREQUENT, HOT = 50, 5, 50_000
 #: Bits of a set's parity sketch, at least; it has two to four a shingle. Sets differ in as many shingles at least as their sketches in bits.
 PARITY = 512
+#: Rounds, at most, in which sets are held against leaders of other components before all that is left is compared.
+ROUNDS = 1
 #: So many keys are broadcast at most, 16 bytes each; more are joined.
 FEW = 200_000
 
@@ -172,13 +174,21 @@ def held_prefixes(own: DataFrame, best: DataFrame) -> DataFrame:
     return shared.select("gram", "sig", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"))
 
 
+def led_pairs(held: DataFrame, best: DataFrame, salt: int, part: DataFrame | None = None) -> DataFrame:
+    """Candidates (a, b): of the leaders of a set's shingles and range of sizes the nearest, of another component than its own where `part`(sig, component) tells them. A shingle's leader is drawn by a hash of both, so that
+    a group of near copies has many of them, and each round others: then a set that isn't similar to one is to another."""
+    own = held if part is None else held.join(part, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+    own = own.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(UNDER / OVER))))
+    c = [] if part is None else ["c"]
+    leader = own.groupBy("gram", "range").agg(F.min(F.struct(F.xxhash64("gram", "sig", F.lit(salt)).alias("h"), F.col("sig").alias("a"), *[F.col(x).alias("c_a") for x in c])).alias("l"), F.count("*").alias("k"))
+    leader = written(leader.where("k > 1").select("gram", "range", "l.a", *["l.c_a" for _ in c]), "leaders")
+    led = own.select("gram", "range", F.col("sig").alias("b"), *c).join(leader, ["gram", "range"]).where("a <> b" if part is None else "c <> c_a").select("a", "b").distinct()
+    return close(written(led, "led"), best).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
+
+
 def first_pairs(held: DataFrame, best: DataFrame) -> DataFrame:
-    """Candidates (a, b) that are likely to span most components: by fingerprints, and of the leaders of a set's shingles and range of sizes the nearest."""
-    ranged = held.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(UNDER / OVER))))
-    leader = ranged.groupBy("gram", "range").agg(F.min("sig").alias("a"), F.count("*").alias("k")).where("k > 1").select("gram", "range", "a")
-    leader = written(leader, "leaders")
-    led = ranged.select("gram", "range", F.col("sig").alias("b")).join(leader, ["gram", "range"]).where("a <> b").select("a", "b").distinct()
-    nearest = close(written(led, "led"), best).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
+    """Candidates (a, b) that are likely to span most components: by fingerprints, and by leaders."""
+    nearest = led_pairs(held, best, 0)
     by_fp = written(best.groupBy("fp").agg(F.min("sig").alias("s")), "fingerprints")
     edges = written(simhash.links(by_fp.select("fp")), "fingerprint-links")
     one, two = (by_fp.select(F.col("fp").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
@@ -224,6 +234,12 @@ def survivors(docs: DataFrame) -> DataFrame:
         held = written(held_prefixes(own, best), "prefixes")
         found = verified(first_pairs(held, best), keyed, best)
         part = written(components(found), "parts").select(F.col("node").alias("sig"), "component")
+        for salt in range(1, ROUNDS + 1):
+            new = verified(led_pairs(held, best, salt, part), keyed, best)
+            if new.isEmpty():
+                break
+            found = written(found.unionByName(new), "links")
+            part = written(components(found), "parts").select(F.col("node").alias("sig"), "component")
         more = verified(other_pairs(held, part, best), keyed, best)
         part = written(components(found.unionByName(more)), "parts")
         named = written(own.select("sig", "row").join(part, F.col("sig") == F.col("node"), "left").select("row", F.coalesce("component", "sig").alias("c")), "named")
