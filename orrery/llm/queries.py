@@ -201,5 +201,18 @@ r AS (SELECT doc_id, d.source, size, source_size, target, u, (row_number() OVER
 SELECT doc_id, size, source_size, target, (least(floor(e * (place + 1) + u) - floor(e * place + u), 2)::BIGINT * size)::BIGINT AS taken FROM r"""
 
 
+#: Each window of 400 bytes by its hash, in hexadecimal, since SQL cuts text and not bytes.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(greatest(0, length(h) // 2 - 399))) AS i FROM d)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 400, true) AS new FROM w SEMI JOIN again USING (k)),
+g AS (SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM r),
+s AS (SELECT doc_id, n, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY 1, 2),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_tool_calls": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_url_filters": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_tool_calls": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op12_suffix_dedup": OP12_SQL}
