@@ -72,30 +72,64 @@ def _same_cell(a: str, b: str) -> Column:
     return reduce(Column.__and__, [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("graph_id", "_level", "_cx", "_cy")])
 
 
+#: What makes rectangles equal; ids of equal ones that a row holds at most.
+SHAPE, TOGETHER = ["graph_id", "x", "y", "width", "height"], 256
+
+
+def smallest(rects: DataFrame, n: int = 2) -> DataFrame:
+    """Of equal rectangles those with the n smallest ids, cut in each task before the shuffle: (SHAPE, id)."""
+    own = rects.select(*SHAPE, "id").distinct()
+    return own.withColumn("_r", F.row_number().over(Window.partitionBy(*SHAPE).orderBy("id"))).where(F.col("_r") <= n).drop("_r")
+
+
+def together(df: DataFrame, key: list[str], one: str) -> DataFrame:
+    """(key, ids): the column `one` of equal rows in arrays of at most TOGETHER, as a written table. Rows are brought together by their key; adaptive execution may split a key of many."""
+    n = F.floor(F.monotonically_increasing_id() / TOGETHER)
+    own = df.select(*key, F.col(one).alias("_one")).hint("rebalance", *key).sortWithinPartitions(*key).withColumn("_n", n)
+    return written(own.groupBy(*key, "_n").agg(F.collect_list(F.struct("_one")).alias("ids")).drop("_n"), "together")
+
+
 def rect_parents(rects: DataFrame) -> DataFrame:
     """rects(graph_id, id, name, x, y, width, height) -> zones(graph_id, id, name, parent_id).
 
     The parent is the smallest rectangle that encloses one; ties by id. Rectangles of one size and place enclose each other, so only the larger, or of two equals that
-    with the smaller id, can be the parent: parents never form a cycle (Q4). What encloses a rectangle holds its corner, so they meet in that corner's cell.
+    with the smaller id, can be the parent: parents never form a cycle (Q4). What encloses a rectangle holds its corner, so they meet in that corner's cell. Equal rectangles
+    are compared once: of those that enclose only the two smallest ids can count (the second where the first is the rectangle's own), and of those that are enclosed only an id that several
+    different rectangles have goes alone.
     """
-    cells = grid(rects)
-    placed = in_cells(rects, cells)
-    a, b = placed.alias("a"), at_cell(rects, cells, F.col("x"), F.col("y"), levels_of(placed)).alias("b")
-    bigger = (area("a") > area("b")) | ((area("a") == area("b")) & (F.col("a.id") < F.col("b.id")))
-    pairs = b.join(a, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b") & bigger)
+    with scratch() as keep:
+        several = F.count("*").over(Window.partitionBy("graph_id", "id")) > 1
+        rows = keep(written(rects.select(*SHAPE, "id").distinct().withColumn("_own", F.when(several, F.col("id"))), "rectangles"))
+        cells = grid(rects)
+        placed = in_cells(smallest(rows), cells)
+        shapes = rows.select(*SHAPE, "_own").distinct()
+        a, b = placed.alias("a"), at_cell(shapes, cells, F.col("x"), F.col("y"), levels_of(placed)).alias("b")
+        other = F.col("b._own").isNull() | (F.col("a.id") != F.col("b._own"))
+        pairs = b.join(a, _same_cell("a", "b") & other & encloses("a", "b") & (area("a") >= area("b")))
+        larger = F.when(area("a") > area("b"), F.struct(area("a").alias("area"), F.col("a.id").alias("id")))
+        found = pairs.groupBy(*[F.col(f"b.{c}").alias(c) for c in [*SHAPE, "_own"]]).agg(F.min(larger).alias("larger"), F.min(F.when(area("a") == area("b"), F.col("a.id"))).alias("equal"))
+        found = keep(written(found, "enclosing"))
+    r, f = rows.alias("r"), found.alias("f")
+    each = r.join(f, reduce(Column.__and__, [F.col(f"r.{c}") == F.col(f"f.{c}") for c in SHAPE]) & F.col("r._own").eqNullSafe(F.col("f._own")))
     # of equal areas the one nearest in the order of (area, id descending) is the inner one
-    best = pairs.groupBy(F.col("b.graph_id").alias("graph_id"), F.col("b.id").alias("id")).agg(F.min(F.struct(area("a").alias("area"), F.col("a.id").alias("id"))).alias("p"))
+    p = F.when(F.col("equal") < F.col("r.id"), F.struct(area("r").alias("area"), F.col("equal").alias("id"))).otherwise(F.col("larger"))
+    best = each.groupBy(F.col("r.graph_id").alias("graph_id"), F.col("r.id").alias("id")).agg(F.min(p).alias("p"))
     own = rects.select("graph_id", "id", "name").distinct().join(best, ["graph_id", "id"], "left")
     return own.select("graph_id", "id", F.coalesce(F.nullif("name", F.lit("")), F.col("id").cast("string")).alias("name"), F.col("p.id").alias("parent_id"))
 
 
 def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
-    """points(graph_id, node_id, cx, cy) -> (graph_id, node_id, zone_id) for each rectangle that holds the point, edges included."""
+    """points(graph_id, node_id, cx, cy) -> (graph_id, node_id, zone_id) for each rectangle that holds the point, edges included. Equal points and equal rectangles are compared once; the result lists their pairs."""
     cells = grid(rects)
-    placed = in_cells(rects, cells)
-    p, r = at_cell(points, cells, F.col("cx"), F.col("cy"), levels_of(placed)).alias("p"), placed.alias("r")
-    on = _same_cell("p", "r") & holds_point("r", F.col("p.cx"), F.col("p.cy"))
-    return p.join(r, on).select(F.col("p.graph_id").alias("graph_id"), F.col("p.node_id").alias("node_id"), F.col("r.id").alias("zone_id"))
+    with scratch() as keep:
+        placed = in_cells(keep(together(rects, SHAPE, "id")), cells)
+        p, r = at_cell(keep(together(points, ["graph_id", "cx", "cy"], "node_id")), cells, F.col("cx"), F.col("cy"), levels_of(placed)).alias("p"), placed.alias("r")
+    found = p.join(r, _same_cell("p", "r") & holds_point("r", F.col("p.cx"), F.col("p.cy")))
+    # a few rows here are many in the result, so they are dealt out evenly first
+    n = int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.select(F.col("p.graph_id").alias("graph_id"), F.col("p.ids").alias("_p"), F.col("r.ids").alias("_r")).repartition(n)
+    found = found.select("graph_id", F.explode("_p").alias("_p"), "_r")
+    return found.select("graph_id", F.col("_p._one").alias("node_id"), F.explode("_r").alias("_z")).select("graph_id", "node_id", F.col("_z._one").alias("zone_id"))
 
 
 def holding_others(rects: DataFrame) -> DataFrame:
@@ -103,7 +137,7 @@ def holding_others(rects: DataFrame) -> DataFrame:
     sized = rects.where("width > 0 and height > 0")
     cells = grid(sized)
     placed = in_cells(sized, cells)
-    a, b = placed.alias("a"), at_cell(sized.select("graph_id", "id", "x", "y", "width", "height"), cells, F.col("x"), F.col("y"), levels_of(placed)).alias("b")
+    a, b = placed.alias("a"), at_cell(smallest(sized), cells, F.col("x"), F.col("y"), levels_of(placed)).alias("b")
     return a.join(b, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b"), "left_semi").drop("_level", "_cx", "_cy").distinct()
 
 
