@@ -141,6 +141,11 @@ def holding_others(rects: DataFrame) -> DataFrame:
     return a.join(b, _same_cell("a", "b") & (F.col("a.id") != F.col("b.id")) & encloses("a", "b"), "left_semi").drop("_level", "_cx", "_cy").distinct()
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """Joined by sorted partitions, never by a broadcast: tables of a row a node lie compressed in few bytes, so that the planner would send them whole through the driver."""
+    return df.hint("merge")
+
+
 def climbed(nodes: DataFrame, parent: str = "parent_id", sums: list[str] = [], names: str | None = None) -> DataFrame:
     """(graph_id, id, root, depth, outside, <sums>, names): of each node that isn't in or below a cycle its root, its depth (a root's is 0), the root's own parent where that is no node, the sums of the columns
     `sums` over its ancestors and, if asked, the values of the column `names` from the root down to itself. The others have a null depth.
@@ -154,7 +159,7 @@ def climbed(nodes: DataFrame, parent: str = "parent_id", sums: list[str] = [], n
     with scratch() as keep:
         own = written(own, "forest")
         known = own.select("graph_id", F.col("id").alias("_p"), F.lit(True).alias("_known"), *[F.col(c).alias(f"_up_{c}") for c in sums])
-        up = own.join(known, ["graph_id", "_p"], "left")
+        up = own.join(apart(known), ["graph_id", "_p"], "left")
         child = F.coalesce("_known", F.lit(False)) & (F.col("_p") != F.col("id"))
         outside = F.when(~child & (F.col("_p") != F.col("id")), F.col("_p"))
         now = up.select("graph_id", "id", F.when(child, F.col("_p")).alias("to"), F.when(child, 1).otherwise(0).alias("depth"), outside.alias("outside"), F.when(~child, F.col("id")).alias("root"), *[F.when(child, F.col(f"_up_{c}")).otherwise(zero).alias(c) for c in sums], *lists)
@@ -162,7 +167,7 @@ def climbed(nodes: DataFrame, parent: str = "parent_id", sums: list[str] = [], n
         open_ = now.where("to is not null").count()
         while open_:
             t = now.select("graph_id", F.col("id").alias("to"), F.col("to").alias("t_to"), F.col("depth").alias("t_depth"), F.col("outside").alias("t_outside"), F.col("root").alias("t_root"), *[F.col(c).alias(f"t_{c}") for c in [*sums, *lists]])
-            moved = now.where("to is not null").join(t, ["graph_id", "to"]).select("graph_id", "id", F.col("t_to").alias("to"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_outside").alias("outside"), F.col("t_root").alias("root"), *[(F.col(c) + F.col(f"t_{c}")).alias(c) for c in sums], *[F.concat(f"t_{c}", c).alias(c) for c in lists])
+            moved = now.where("to is not null").join(apart(t), ["graph_id", "to"]).select("graph_id", "id", F.col("t_to").alias("to"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_outside").alias("outside"), F.col("t_root").alias("root"), *[(F.col(c) + F.col(f"t_{c}")).alias(c) for c in sums], *[F.concat(f"t_{c}", c).alias(c) for c in lists])
             now = written(now.where("to is null").unionByName(moved), "climbed")
             left = now.where("to is not null").count()
             if left == open_:
@@ -181,22 +186,22 @@ def intervals(nodes: DataFrame, parent: str = "parent_id", up: DataFrame | None
     """
     up = climbed(nodes, parent) if up is None else up
     with scratch() as keep:
-        tree = nodes.groupBy("graph_id", "id").agg(F.max(parent).alias("_p")).join(up.where("depth is not null").select("graph_id", "id", "root", "depth", "outside"), ["graph_id", "id"])
+        tree = nodes.groupBy("graph_id", "id").agg(F.max(parent).alias("_p")).join(apart(up.where("depth is not null").select("graph_id", "id", "root", "depth", "outside")), ["graph_id", "id"])
         tree = written(tree.withColumn("n", F.monotonically_increasing_id()), "tree")
-        kid = tree.where("depth > 0").join(tree.select("graph_id", F.col("id").alias("_p"), F.col("n").alias("above")), ["graph_id", "_p"])
+        kid = tree.where("depth > 0").join(apart(tree.select("graph_id", F.col("id").alias("_p"), F.col("n").alias("above"))), ["graph_id", "_p"])
         after = F.lead("n").over(Window.partitionBy("above").orderBy("id"))  # two rows at a time, however many children
         kid = written(kid.select("n", "above", "id", after.alias("next")), "siblings")
         first = kid.groupBy("above").agg(F.min_by("n", "id").alias("first")).withColumnRenamed("above", "n")
-        enters = tree.select("n").join(first, "n", "left").select((F.col("n") * 2).alias("e"), F.coalesce(F.col("first") * 2, F.col("n") * 2 + 1).alias("to"))
-        leaves = tree.select("n").join(kid, "n", "left").select((F.col("n") * 2 + 1).alias("e"), F.coalesce(F.col("next") * 2, F.col("above") * 2 + 1).alias("to"))
+        enters = tree.select("n").join(apart(first), "n", "left").select((F.col("n") * 2).alias("e"), F.coalesce(F.col("first") * 2, F.col("n") * 2 + 1).alias("to"))
+        leaves = tree.select("n").join(apart(kid), "n", "left").select((F.col("n") * 2 + 1).alias("e"), F.coalesce(F.col("next") * 2, F.col("above") * 2 + 1).alias("to"))
         now = written(enters.unionByName(leaves).withColumn("far", F.when(F.col("to").isNotNull(), 1).otherwise(0)), "tour")
         while not now.where("to is not null").isEmpty():
             t = now.select(F.col("e").alias("to"), F.col("to").alias("t_to"), F.col("far").alias("t_far"))
-            moved = now.where("to is not null").join(t, "to").select("e", F.col("t_to").alias("to"), (F.col("far") + F.col("t_far")).alias("far"))
+            moved = now.where("to is not null").join(apart(t), "to").select("e", F.col("t_to").alias("to"), (F.col("far") + F.col("t_far")).alias("far"))
             now = written(now.where("to is null").unionByName(moved), "tour")
         place = now.groupBy(F.shiftright("e", 1).alias("n")).agg(F.max(F.when(F.col("e") % 2 == 0, -F.col("far"))).alias("enter"), F.max(F.when(F.col("e") % 2 == 1, -F.col("far"))).alias("leave"))
         # events to the tour's end, negative, so that they rise along it
-        return keep(written(tree.join(place, "n").select("graph_id", "id", "root", "depth", "outside", "enter", "leave"), "intervals"))
+        return keep(written(tree.join(apart(place), "n").select("graph_id", "id", "root", "depth", "outside", "enter", "leave"), "intervals"))
 
 
 def above(a: str, b: str) -> Column:
@@ -214,7 +219,7 @@ def closure(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
     with scratch() as keep:
         up = written(climbed(nodes, parent), "climbed")
         tree = written(intervals(nodes, parent, up), "intervals")
-        lost = written(nodes.select("graph_id", "id", F.col(parent).alias("parent_id")).join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost")
+        lost = written(nodes.select("graph_id", "id", F.col(parent).alias("parent_id")).join(apart(up.where("depth is null").select("graph_id", "id")), ["graph_id", "id"], "left_semi"), "lost")
         deepest = tree.agg(F.max("depth"), F.min("enter")).first()
         parts = [tree.select("graph_id", "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))]
         if deepest[0]:
@@ -229,7 +234,7 @@ def closure(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
                 pieces.append(F.array_compact(F.array(F.when(left, F.struct(F.lit(k).alias("k"), low.alias("i"))), F.when(right & ~(left & (low == high - 1)), F.struct(F.lit(k).alias("k"), (high - 1).alias("i"))))))
             a = span.select("graph_id", "root", F.col("id").alias("ancestor"), F.col("depth").alias("_d"), F.explode(F.flatten(F.array(*pieces))).alias("p"))
             b = span.select("graph_id", "root", "id", "depth", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"lo div {1 << k}").alias("i")) for k in range(levels)])).alias("p"))
-            parts.append(b.join(a, ["graph_id", "root", "p"]).where("ancestor <> id").select("graph_id", "id", "ancestor", (F.col("depth") - F.col("_d")).alias("distance")))
+            parts.append(b.join(apart(a), ["graph_id", "root", "p"]).where("ancestor <> id").select("graph_id", "id", "ancestor", (F.col("depth") - F.col("_d")).alias("distance")))
         parts.append(tree.where("outside is not null").select("graph_id", "id", F.col("outside").alias("ancestor"), (F.col("depth") + 1).alias("distance")))
         for t in (tree, lost):
             keep(t)
@@ -269,18 +274,18 @@ def depths(zones: DataFrame, up: DataFrame | None = None) -> DataFrame:
     table, if it is at hand."""
     with scratch() as keep:
         up = keep(written(climbed(zones), "climbed")) if up is None else up
-        lost = keep(written(zones.select("graph_id", "id", "parent_id").join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost"))
+        lost = keep(written(zones.select("graph_id", "id", "parent_id").join(apart(up.where("depth is null").select("graph_id", "id")), ["graph_id", "id"], "left_semi"), "lost"))
     deep = up.where("depth is not null").select("graph_id", "id", "depth")
     if not lost.isEmpty():
         deep = deep.unionByName(circles(lost).groupBy("graph_id", "id").agg(F.max("distance").alias("depth")))
-    return deep.join(zones.select("graph_id", "id", "name"), ["graph_id", "id"])
+    return deep.join(apart(zones.select("graph_id", "id", "name")), ["graph_id", "id"])
 
 
 def paths(zones: DataFrame, sep: str = " > ") -> DataFrame:
     """(graph_id, id, depth, path): the names from the outermost zone to this one. In or below a cycle, by the distances of circles()."""
     with scratch() as keep:
         up = keep(written(climbed(zones, names="name"), "zone-paths"))
-        lost = keep(written(zones.join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost"))
+        lost = keep(written(zones.join(apart(up.where("depth is null").select("graph_id", "id")), ["graph_id", "id"], "left_semi"), "lost"))
     out = up.where("depth is not null").select("graph_id", "id", "depth", F.array_join("names", sep).alias("path"))
     if lost.isEmpty():
         return out
@@ -323,7 +328,7 @@ def absolute(cells: DataFrame) -> DataFrame:
     """cells(graph_id, id, parent, x, y, width, height) -> the same with x and y summed over all ancestors; cells whose parents form a cycle count each once."""
     with scratch() as keep:
         up = keep(written(climbed(cells, "parent", ["x", "y"]), "climbed"))
-        lost = keep(written(cells.join(up.where("depth is null").select("graph_id", "id"), ["graph_id", "id"], "left_semi"), "lost"))
+        lost = keep(written(cells.join(apart(up.where("depth is null").select("graph_id", "id")), ["graph_id", "id"], "left_semi"), "lost"))
     off = up.where("depth is not null").select("graph_id", "id", F.col("x").alias("dx"), F.col("y").alias("dy"))
     if not lost.isEmpty():
         pairs = circles(lost, "parent").where("distance > 0").join(cells.select("graph_id", F.col("id").alias("ancestor"), F.col("x").alias("px"), F.col("y").alias("py")), ["graph_id", "ancestor"])
