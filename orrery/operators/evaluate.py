@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.vectors import plain_cosine
+from orrery.operators import best
 from orrery.tables import scratch, written
 
 
@@ -35,14 +35,21 @@ def best_matches(expected: DataFrame, actual: DataFrame, score: Column, threshol
     least = F.coalesce(F.nullif(F.col("e.threshold"), F.lit(0.0)), F.lit(threshold))
     pairs = e.join(a, F.col("e.scenario") == F.col("a.scenario")).select(F.col("e.scenario").alias("scenario"), F.col("e.id").alias("id"), F.col("a.id").alias("actual_id"), F.col("a.pos").alias("pos"), F.round(score, 9).alias("score"), least.alias("least"))
     out = pairs.where(F.col("score") >= F.col("least")).groupBy("scenario", "id").agg(F.max(F.struct("score", "pos", "actual_id")).alias("m")).select("scenario", "id", "m.actual_id", "m.score")
-    if one_to_one:
-        out = out.withColumn("_r", F.row_number().over(Window.partitionBy("scenario", "actual_id").orderBy(F.col("score").desc(), "id"))).where("_r = 1").drop("_r")
-    return out
+    return once_each(out) if one_to_one else out
 
 
 def embedded_matches(expected: DataFrame, actual: DataFrame, threshold: float, one_to_one: bool = False) -> DataFrame:
-    """J14, X7 over embeddings: each distinct text is embedded once before; here the columns embedding are compared."""
-    return best_matches(expected, actual, plain_cosine(F.col("e.embedding"), F.col("a.embedding")), threshold, one_to_one)
+    """J14, X7 over embeddings: each distinct text is embedded once before; here the columns embedding are compared, equal ones once, as products of matrices: best_matches() by cosine without a row a pair. Vectors that aren't
+    finite match nothing."""
+    least = F.coalesce(F.nullif(F.col("threshold"), F.lit(0.0)), F.lit(threshold))
+    found = expected.select("scenario", "id", "embedding", least.alias("_least")).join(best.matches(expected, actual), ["scenario", "embedding"]).where(F.col("score") >= F.col("_least"))
+    out = found.groupBy("scenario", "id").agg(F.max(F.struct("score", "pos", "actual_id")).alias("m")).select("scenario", "id", "m.actual_id", "m.score")
+    return once_each(out) if one_to_one else out
+
+
+def once_each(matches: DataFrame) -> DataFrame:
+    """Q10: each output goes to its best item."""
+    return matches.withColumn("_r", F.row_number().over(Window.partitionBy("scenario", "actual_id").orderBy(F.col("score").desc(), "id"))).where("_r = 1").drop("_r")
 
 
 def embedded(sides: list[DataFrame], embed: Callable[[pd.Series], pd.Series]) -> list[DataFrame]:
