@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import global_rank
+from .common import global_rank, scratch
 
 #: Cells along each dimension: 2 ** BITS.
 BITS = 5
@@ -21,8 +21,6 @@ BITS = 5
 QUANTILE_ERROR = 0.005
 #: The largest table of cells: 2 ** TABLE_BITS rows of two longs.
 TABLE_BITS = 16
-#: Rows of a text dimension whose values give its bounds.
-SAMPLE, SEED = 20_000, 7
 
 
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -52,30 +50,32 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def text_bounds(df: DataFrame, rows: int, name: str, bits: int = BITS, sample: int = SAMPLE) -> list[str]:
-    """At most 2 ** bits - 1 distinct values of a text column that part a sample of its values into equal runs. The sample is chosen by a hash of the whole row, about `sample` of df's rows however many
-    there are, and is ranked in Spark: only the bounds come to the driver."""
-    held = df.select(F.col(name).cast("string").alias("v"), F.xxhash64(F.lit(SEED), *df.columns).alias("h")).where("v is not null")
-    if rows > sample:
-        held = held.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(sample / rows * (1 << 30))))
-    ranked = held.select("v", F.percent_rank().over(Window.orderBy("v")).alias("p"))  # of the bounded sample
-    cuts = ranked.groupBy(F.floor(F.col("p") * (1 << bits))).agg(F.min("v").alias("v")).select("v").distinct()
-    return sorted((r["v"] for r in cuts.collect()), key=lambda v: v.encode())[: (1 << bits) - 1]
+def text_bounds(df: DataFrame, name: str, bits: int = BITS) -> list[str]:
+    """At most 2 ** bits - 1 distinct values of a text column that part all its values into equal runs. Values are counted, and the counts of distinct values are summed in their order by range partitions: only the bounds come
+    to the driver."""
+    counts = df.select(F.col(name).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    with scratch():
+        ranked = global_rank(counts, [F.col("v")], "text-counts", sums=("n",))
+        total = ranked.agg(F.sum("n")).first()[0] or 0
+        # rows below a value, as a share of all others: the first value of each run is a bound
+        run = F.floor(F.col("before_n") / max(1, total - 1) * (1 << bits))
+        cuts = ranked.groupBy(run).agg(F.min("v").alias("v")).select("v").collect()
+    return sorted((r["v"] for r in cuts), key=lambda v: v.encode())[: (1 << bits) - 1]
 
 
 def quantise(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
     """Add an array of cells: how many of a dimension's bounds a value reaches, spread over all 2 ** bits cells; 0 for null and NaN.
 
-    Bounds are quantiles: of numbers within QUANTILE_ERROR over all rows, of whole texts over a sample. A dimension of few values has a cell for each of them, far apart on the curve.
+    Bounds are quantiles over all rows: of numbers within QUANTILE_ERROR, of whole texts exactly. A dimension of few values has a cell for each of them, far apart on the curve.
     """
     numeric = [d for d in dimensions if isinstance(df.schema[d].dataType, NumericType)]
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
     found = df.select(*[F.col(d).cast("double").alias(f"__orrery_n{i}") for i, d in enumerate(numeric)]).approxQuantile([f"__orrery_n{i}" for i in range(len(numeric))], steps, QUANTILE_ERROR) if numeric else []
     bounds = {d: sorted(set(b)) for d, b in zip(numeric, found, strict=True)}
-    rows, cells = df.count() if len(numeric) < len(dimensions) else 0, []
+    cells = []
     for d in dimensions:
         value = F.col(d).cast("double" if d in numeric else "string")
-        cuts = bounds[d] if d in numeric else text_bounds(df, rows, d, bits)
+        cuts = bounds[d] if d in numeric else text_bounds(df, d, bits)
         reached = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), _reached(value))) if cuts else F.lit(0)
         spread = F.floor(reached * ((1 << bits) - 1) / max(1, len(cuts))).cast("int")
         cells.append(F.when(value.isNull() | F.isnan(value) if d in numeric else value.isNull(), F.lit(0)).otherwise(spread))
