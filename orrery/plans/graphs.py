@@ -22,8 +22,8 @@ def party(spark, sf_dir) -> DataFrame:
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    """Order lines as edges; edge_pos is unique: orders, then a place within the order."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", "o_orderpriority")
+    """Order lines as edges; edge_pos is unique: orders, then a place within the order. Orders are fewer than lines: they are hashed, and neither is sorted."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", "o_orderpriority").hint("shuffle_hash")
     li = table(spark, sf_dir, "lineitem").join(o, "l_orderkey")
     protocol = F.when(F.col("l_linestatus") == "O", "HTTPS").when(F.col("l_returnflag") == "R", "smtp")
     return li.select(
