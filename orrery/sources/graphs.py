@@ -92,6 +92,10 @@ def metrics(graphs: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
     out = graphs
     for name, df in counts.items():
         out = out.join(df.groupBy("graph_id").agg(F.sum("n").alias(name)), "graph_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return rated(out)
+
+
+def rated(out: DataFrame) -> DataFrame:
     return out.withColumn("import_success_rate", success_rate(F.col("edges_parsed"), F.col("node_labels_parsed"), F.col("edge_candidates"), F.col("node_label_candidates")))
 
 

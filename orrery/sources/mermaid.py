@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import let, strip, unquoted_label
 from orrery.operators.zones import ordered_zones
-from orrery.sources.graphs import TEXTS, Graph, LazyGraph, lines, metrics, ones, register
+from orrery.sources.graphs import TEXTS, Graph, LazyGraph, lines, rated, register
 from orrery.tables import written
 
 # The syntax.
@@ -22,6 +22,7 @@ BOTH_WAYS = r"^\s*(.+?)\s*<-->\s*(?:\|\s*([^|]+?)\s*\|\s*)?(.+?)\s*$"
 PIPE = rf"^\s*(.+?)\s*{OP}\s*\|\s*([^|]+?)\s*\|\s*(.+?)\s*$"
 TRAILING_PIPE = rf"^\s*(.+?)\s*{OP}\s*(.+?)\s*\|\s*([^|]+?)\s*\|\s*$"
 INLINE = rf"^\s*(.+?)\s*--+\s*([^|<>]+?)\s*{OP}\s*(.+?)\s*$"
+INLINE_PART = rf"--\s*[^|<>]+?\s*{OP}"
 PLAIN = rf"^\s*(.+?)\s*{OP}\s*(.+?)\s*$"
 NODE_ID = r"^\s*([A-Za-z0-9_.-]+)(.*)$"
 SUBGRAPH, END = r"(?i)^\s*subgraph\s+(.+)", r"(?i)^\s*end\s*$"
@@ -53,7 +54,11 @@ def _edge_parts(line: Column) -> Column:
     get = lambda p, i: F.regexp_extract(line, p, i)
     part = lambda p, s, d, l, both=False: F.struct(get(p, s).alias("src"), get(p, d).alias("dst"), (F.nullif(get(p, l), F.lit("")) if l else F.lit(None).cast("string")).alias("label"), F.lit(both).alias("both"))  # noqa: E731, E741
     fits = lambda p: F.rlike(line, F.lit(p))
-    return F.when(fits(BOTH_WAYS), part(BOTH_WAYS, 1, 3, 2, True)).when(fits(PIPE), part(PIPE, 1, 3, 2)).when(fits(TRAILING_PIPE), part(TRAILING_PIPE, 1, 2, 3)).when(fits(INLINE), part(INLINE, 1, 3, 2)).when(fits(PLAIN), part(PLAIN, 1, 2, 0))
+    has = lambda t: F.contains(line, F.lit(t))  # noqa: E731  what a pattern can't do without is looked for first: it is cheap, and a pattern that doesn't fit tries every start
+    return (
+        F.when(has("<-->") & fits(BOTH_WAYS), part(BOTH_WAYS, 1, 3, 2, True)).when(has("|") & fits(PIPE), part(PIPE, 1, 3, 2)).when(has("|") & fits(TRAILING_PIPE), part(TRAILING_PIPE, 1, 2, 3))
+        .when(fits(INLINE_PART) & fits(INLINE), part(INLINE, 1, 3, 2)).when(fits(PLAIN), part(PLAIN, 1, 2, 0))
+    )
 
 
 def numbered(texts: DataFrame) -> DataFrame:
@@ -61,28 +66,27 @@ def numbered(texts: DataFrame) -> DataFrame:
     return texts.select("graph_id", F.posexplode(lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
 
 
-def zones_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(zones, stretches): stretches(graph_id, zone_id, depth, opened, closed) with closed null for subgraphs that never end.
+def subgraphs(rows: DataFrame) -> DataFrame:
+    """(graph_id, zone_pos, id, name, parent_id, depth, opened, closed), a row a subgraph, with closed null for those that never end.
 
-    The depth after a line is the running sum of +1 and -1 that never falls below 0, since an `end` that closes nothing is ignored: the sum less its lowest value so far.
+    The depth after a line is the running sum of +1 and -1 that never falls below 0, since an `end` that closes nothing is ignored: the sum less its lowest value so far. What closes a subgraph is the next end of its
+    level, and its parent is the last subgraph that was opened a level above: windows along a level, without pairs of lines. The table is written, as lines would be read again wherever it stands in a plan.
     """
     w = Window.partitionBy("graph_id").orderBy("line_no")
     opens, ends = F.rlike("line", F.lit(SUBGRAPH)), F.rlike("line", F.lit(END))
-    marks = rows.where(opens | ends).withColumn("open", opens).withColumn("sum", F.sum(F.when(opens, 1).otherwise(-1)).over(w))
+    marks = rows.where(opens | ends).withColumn("open", opens).withColumn("sum", F.sum(F.when(F.col("open"), 1).otherwise(-1)).over(w))
     marks = marks.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(w)))
     raw = strip(F.regexp_extract("line", SUBGRAPH, 1))
     bracket = F.contains(raw, F.lit("[")) & F.endswith(raw, F.lit("]"))
     name = F.when(bracket, F.regexp_replace(F.regexp_extract(raw, r"(?s)^[^\[]*\[(.*)$", 1), r"\]+$", "")).otherwise(raw)
-    starts = marks.where("open").withColumns({"zone_pos": F.row_number().over(w) - 1, "name": strip(name)}).withColumn("id", F.concat(F.lit("zone_"), F.col("zone_pos").cast("string")))
-    stops = marks.where("not open").select("graph_id", F.col("line_no").alias("stop"), (F.col("depth") + 1).alias("depth"))
-    opened = starts.select("graph_id", "id", "zone_pos", "name", "depth", F.col("line_no").alias("opened"))
-    near = opened.join(stops, ["graph_id", "depth"], "left").where("stop is null or stop > opened").groupBy("graph_id", "id").agg(F.min("stop").alias("closed"))
-    stretches = opened.join(near, ["graph_id", "id"], "left")
-    parents = stretches.select("graph_id", (F.col("depth") + 1).alias("depth"), F.col("id").alias("parent_id"), F.col("opened").alias("po"), F.col("closed").alias("pc"))
-    inside = (F.col("po") < F.col("opened")) & (F.col("pc").isNull() | (F.col("pc") > F.col("opened")))
-    held = stretches.join(parents, ["graph_id", "depth"]).where(inside).select("graph_id", "id", "parent_id")
-    zones = stretches.join(held, ["graph_id", "id"], "left").select("graph_id", "zone_pos", "id", "name", "parent_id")
-    return zones, stretches.select("graph_id", F.col("id").alias("zone_id"), "depth", "opened", "closed")
+    later = Window.partitionBy("graph_id", "level").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.min(F.when(~F.col("open"), F.col("line_no"))).over(later)
+    starts = marks.withColumn("level", F.when(F.col("open"), F.col("depth")).otherwise(F.col("depth") + 1)).withColumn("closed", closed).where("open")
+    starts = starts.withColumns({"zone_pos": F.row_number().over(w) - 1, "name": strip(name)}).withColumn("id", F.concat(F.lit("zone_"), F.col("zone_pos").cast("string")))
+    above = Window.partitionBy("graph_id", "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    sides = F.array(F.struct(F.col("depth").alias("level"), F.lit(None).cast("string").alias("outer")), F.struct((F.col("depth") + 1).alias("level"), F.col("id").alias("outer")))  # as a child on its level, as a parent below
+    held = starts.drop("level").withColumn("side", F.explode(sides)).select("*", "side.*").withColumn("parent_id", F.last("outer", ignorenulls=True).over(above)).where("outer is null")
+    return written(held.select("graph_id", "zone_pos", "id", "name", "parent_id", "depth", F.col("line_no").alias("opened"), "closed"), "subgraphs")
 
 
 @register("mermaid")
@@ -93,8 +97,8 @@ def parse(texts: DataFrame) -> Graph:
     step = lambda df, c, name: df.withColumn(name, F.explode(F.array(c)))
 
     @cache
-    def stack() -> tuple[DataFrame, DataFrame]:
-        return zones_of(rows)
+    def stack() -> DataFrame:
+        return subgraphs(rows)
 
     @cache
     def cut() -> DataFrame:
@@ -113,22 +117,25 @@ def parse(texts: DataFrame) -> Graph:
         w = Window.partitionBy("graph_id").orderBy("line_no", "ord")
         return pairs.select("graph_id", "line_no", F.col("p.ord").alias("ord"), F.col("p.s.id").alias("src"), F.col("p.d.id").alias("dst"), "label", F.col("p.s.label").alias("sl"), F.col("p.d.label").alias("dl")).withColumn("edge_pos", F.row_number().over(w) - 1)
 
-    @cache
-    def alone() -> DataFrame:
-        return step(cut().where("not ok"), node_token(F.col("t")), "n").where("n.id is not null and n.label is not null")
+    def named() -> DataFrame:
+        """cut() with `n`, the node of a line that is a label alone: id and label, null elsewhere."""
+        out = step(cut(), F.when(~F.col("ok"), node_token(F.col("t"))), "n")
+        return out.withColumn("n", F.when(F.col("n.id").isNotNull() & F.col("n.label").isNotNull(), F.col("n")))
 
     def nodes() -> DataFrame:
-        zones, stretches = stack()
-        edges = found()
-        seen = edges.select("graph_id", "line_no", (F.col("ord") * 2).alias("o"), F.col("src").alias("id"), F.col("sl").alias("label"))
-        seen = seen.unionByName(edges.select("graph_id", "line_no", (F.col("ord") * 2 + 1).alias("o"), F.col("dst").alias("id"), F.col("dl").alias("label")))
-        seen = written(seen.unionByName(alone().select("graph_id", "line_no", F.lit(0).alias("o"), "n.id", "n.label")), "named-nodes")  # files are taken apart once for the nodes' joins
+        at_place = lambda o, n: F.struct(F.lit(o).alias("o"), F.col(n)["id"].alias("id"), F.col(n)["label"].alias("label"))
+        once = [at_place(0, "s"), at_place(1, "d")]
+        each = F.when(F.col("ok") & F.col("both"), F.array(*once, at_place(2, "d"), at_place(3, "s"))).when(F.col("ok"), F.array(*once)).when(F.col("n").isNotNull(), F.array(at_place(0, "n")))
+        seen = named().select("graph_id", "line_no", F.explode(each).alias("x")).select("graph_id", "line_no", "x.*")
+        seen = written(seen, "named-nodes")  # files are taken apart once for the nodes' joins
+        zones = stack()
         at = F.struct("line_no", "o")
         out = seen.groupBy("graph_id", "id").agg(F.min(at).alias("first"), F.max_by("label", F.when(F.col("label").isNotNull(), at)).alias("label"))
         out = out.withColumn("node_pos", F.row_number().over(Window.partitionBy("graph_id").orderBy("first")) - 1).withColumn("label", F.coalesce("label", "id"))
         inside = (F.col("line_no") > F.col("opened")) & (F.col("closed").isNull() | (F.col("line_no") < F.col("closed")))
+        stretches = zones.select("graph_id", F.col("id").alias("zone_id"), "depth", "opened", "closed")
         member = seen.select("graph_id", F.col("id").alias("node_id"), "line_no").distinct().join(stretches, "graph_id").where(inside)
-        level = stretches.join(zones.select("graph_id", F.col("id").alias("zone_id"), "name"), ["graph_id", "zone_id"]).select("graph_id", F.col("zone_id").alias("id"), "name", "depth")  # the stack tells it
+        level = zones.select("graph_id", "id", "name", "depth")  # the stack tells it
         placed = ordered_zones(member.select("graph_id", "node_id", "zone_id", (F.col("line_no") * 1000 + F.col("depth")).alias("pos")), zones, level).withColumnRenamed("node_id", "id")
         return out.join(placed, ["graph_id", "id"], "left").select(
             "graph_id", "node_pos", "id", "label", "zone", F.coalesce("zones", F.expr(TEXTS)).alias("zones"), F.lit(None).cast("string").alias("type"), F.expr(TEXTS).alias("data"),
@@ -136,12 +143,15 @@ def parse(texts: DataFrame) -> Graph:
         )
 
     def told() -> DataFrame:
-        return metrics(
-            texts.select("graph_id", F.size(lines(F.coalesce("text", F.lit("")))).alias("total_lines")),
-            {"edge_candidates": ones(cut().where("cand")), "edges_parsed": ones(found()), "node_label_candidates": ones(alone()), "node_labels_parsed": ones(alone())},
-        )
+        total = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        labels = total(F.col("n").isNotNull())
+        counts = named().groupBy("graph_id").agg(
+            total(F.col("cand")).alias("edge_candidates"), (total(F.col("ok")) + total(F.col("ok") & F.col("both"))).alias("edges_parsed"), labels.alias("node_label_candidates"), labels.alias("node_labels_parsed"),
+        )
+        out = texts.select("graph_id", F.size(lines(F.coalesce("text", F.lit("")))).alias("total_lines")).join(counts, "graph_id", "left")
+        return rated(out.select("graph_id", "total_lines", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts.columns[1:]]))
 
     def edges() -> DataFrame:
         return found().select("graph_id", "edge_pos", "src", "dst", "label", F.lit(None).cast("string").alias("protocol"), F.expr(TEXTS).alias("data"), F.lit(None).cast("string").alias("id"))
 
-    return LazyGraph(nodes=nodes, edges=edges, zones=lambda: stack()[0], metrics=told, errors=lambda: texts.select("graph_id", F.lit("").alias("error")).limit(0))
+    return LazyGraph(nodes=nodes, edges=edges, zones=lambda: stack().select("graph_id", "zone_pos", "id", "name", "parent_id"), metrics=told, errors=lambda: texts.select("graph_id", F.lit("").alias("error")).limit(0))
