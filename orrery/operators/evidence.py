@@ -42,8 +42,12 @@ def last_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def resolve_edges(findings: DataFrame, edges: DataFrame) -> DataFrame:
     """Each edge reference with the edge_pos that it means, null if none: by ends and label, else by ends, else by id."""
     exact, bare, ids = last_edges(edges)
-    out = edge_refs(findings).join(exact, ["graph_id", "src", "dst", "label"], "left").join(bare, ["graph_id", "src", "dst"], "left").join(ids, ["graph_id", "edge_id"], "left")
-    return out.select("graph_id", "finding_id", "p", "q", "ref", F.coalesce("e1", "e2", "e3").alias("edge_pos"))
+    refs = edge_refs(findings)
+    out = ["graph_id", "finding_id", "p", "q", "ref"]
+    # a reference has ends or an id, so that each kind is joined to its own lookups only; rows without a key would all meet in one task
+    ends = refs.where("src is not null").select(*out, "src", "dst", "label").join(exact, ["graph_id", "src", "dst", "label"], "left").drop("label").join(bare, ["graph_id", "src", "dst"], "left").select(*out, F.coalesce("e1", "e2").alias("edge_pos"))
+    named = refs.where("src is null").select(*out, "edge_id").join(ids, ["graph_id", "edge_id"], "left").select(*out, F.col("e3").alias("edge_pos"))
+    return ends.unionByName(named)
 
 
 def to_edges(findings: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import diff, evidence, flows, patch, zones
 from orrery.plans.registry import query, table
+from orrery.tables import written
 
 def none():
     return F.array().cast("array<string>")
@@ -244,9 +245,9 @@ def evidence_to_nodes(spark, sf_dir):
     return evidence.to_nodes(named_findings(spark, sf_dir), party(spark, sf_dir)).select("node_id", F.array_join("findings", ",").alias("findings"))
 
 
-def edge_findings(spark, sf_dir):
+def edge_findings(e: DataFrame):
     """Each order line names its own edge: with label, with a label that no edge has, bare, or by id."""
-    e = lines(spark, sf_dir).withColumn("edge_pos", F.col("edge_pos") * 10_000_000 + F.col("l_partkey"))
+    e = e.withColumn("edge_pos", F.col("edge_pos") * 10_000_000 + F.col("l_partkey"))
     ends, n = F.concat("src", F.lit("->"), "dst"), F.pmod(F.floor(F.col("edge_pos") / 10_000_000), F.lit(4))
     ref = F.when(n == 0, F.concat(ends, F.lit(": "), "label")).when(n == 1, F.concat(ends, F.lit(":unknown"))).when(n == 2, F.concat("src", F.lit(" -> "), "dst")).otherwise(F.col("id"))
     return e, e.select("graph_id", F.concat(F.lit("f"), F.col("edge_pos").cast("string")).alias("id"), F.col("edge_pos").alias("pos"), F.array(ref).alias("evidence_edges"))
@@ -256,7 +257,8 @@ def edge_findings(spark, sf_dir):
 SELECT 'f' || p AS finding_id, CASE n WHEN 0 THEN x.e WHEN 3 THEN i.e ELSE b.e END AS edge_pos FROM u JOIN x ON x.src = u.src AND x.dst = u.dst AND x.label = u.label JOIN b ON b.src = u.src AND b.dst = u.dst JOIN i ON i.id = u.id""")
 def evidence_edge_resolve(spark, sf_dir):
     """By ends and label, else by ends, else by id."""
-    e, f = edge_findings(spark, sf_dir)
+    e = written(lines(spark, sf_dir).select("graph_id", "edge_pos", "src", "dst", "label", "id", "l_partkey"), "lines")  # read for the references and for each lookup
+    e, f = edge_findings(e)
     return evidence.resolve_edges(f, e).select("finding_id", "edge_pos")
 
 
