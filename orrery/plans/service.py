@@ -58,7 +58,9 @@ SELECT e.user_id, e.i, e.event_id, CASE WHEN len(list_filter(log, lambda x: x >=
 SELECT event_id, user_id AS key, ok AS admitted FROM r""")
 def rate_limit_stream(spark, sf_dir):
     """M2 as a stream with event-time state: all events, shuffled within an hour, by the SQL of the batch query."""
-    return replayed(spark, requests(spark, sf_dir), lambda s: streams.sliding_log(s, 2, 86400, "3600 seconds"), {"event_id": -1})
+    r = requests(spark, sf_dir)
+    parts = streams.parts_of(r.agg(F.approx_count_distinct("key")).first()[0])
+    return replayed(spark, r, lambda s: streams.sliding_log(s, 2, 86400, "3600 seconds", parts), {"event_id": -1})
 
 
 @query("""WITH n AS (SELECT ceil(max(epoch_us(ts)) / 1000.0)::BIGINT * 1000 AS now FROM events), l AS (SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated_at FROM events GROUP BY 1)
@@ -66,7 +68,8 @@ SELECT job_id, CASE WHEN epoch_us(updated_at) < now - 86400000000 THEN 'expired'
 def job_state_stream(spark, sf_dir):
     """M5 as a stream: each job's last row, expired where it had no event for a day of event time."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("status"))
-    out = replayed(spark, e, lambda s: streams.job_states(s, 86400, "3600 seconds"), {"event_id": -1})
+    parts = streams.parts_of(e.agg(F.approx_count_distinct("job_id")).first()[0])
+    out = replayed(spark, e, lambda s: streams.job_states(s, 86400, "3600 seconds", parts), {"event_id": -1})
     last = F.max_by("status", F.struct("updated_at", "event_id", F.col("status") == "expired"))  # a job expires after the event it expires by
     return out.where("job_id is not null").groupBy("job_id").agg(last.alias("status"), F.max("updated_at").alias("updated_at"))
 
