@@ -68,12 +68,17 @@ def levels_of(placed: DataFrame) -> DataFrame:
     return placed.select("graph_id", "_level").distinct()
 
 
-def _same_cell(a: str, b: str) -> Column:
-    return reduce(Column.__and__, [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("graph_id", "_level", "_cx", "_cy")])
+CELL = ["graph_id", "_level", "_cx", "_cy"]
+
+
+def _same_cell(a: str, b: str, more: tuple[str, ...] = ()) -> Column:
+    return reduce(Column.__and__, [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in (*CELL, *more)])
 
 
 #: What makes rectangles equal; ids of equal ones that a row holds at most.
 SHAPE, TOGETHER = ["graph_id", "x", "y", "width", "height"], 256
+#: Pieces a partition that the pairs of all cells are cut into; pairs up to which a piece stays whole.
+PIECES, WHOLE = 8, 1_000_000
 
 
 def smallest(rects: DataFrame, n: int = 2) -> DataFrame:
@@ -83,10 +88,29 @@ def smallest(rects: DataFrame, n: int = 2) -> DataFrame:
 
 
 def together(df: DataFrame, key: list[str], one: str) -> DataFrame:
-    """(key, ids): the column `one` of equal rows in arrays of at most TOGETHER, as a written table. Rows are brought together by their key; adaptive execution may split a key of many."""
+    """(key, _n, ids): the column `one` of equal rows in arrays of at most TOGETHER, numbered, as a written table. Rows are brought together by their key; adaptive execution may split a key of many."""
     n = F.floor(F.monotonically_increasing_id() / TOGETHER)
     own = df.select(*key, F.col(one).alias("_one")).hint("rebalance", *key).sortWithinPartitions(*key).withColumn("_n", n)
-    return written(own.groupBy(*key, "_n").agg(F.collect_list(F.struct("_one")).alias("ids")).drop("_n"), "together")
+    return written(own.groupBy(*key, "_n").agg(F.collect_list(F.struct("_one")).alias("ids")), "together")
+
+
+def dealt(a: DataFrame, b: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (CELL, _n, ids, ...) of both sides dealt to n partitions by CELL and piece (_a, _b), to be joined by these. A cell of more pairs of ids than its share is cut into _a times _b pieces, as even as its two sides: a row
+    goes to one slice of its own side, with a copy for each slice of the other. Cut cells are PIECES * n at most, so they are sent to all tasks; what is shuffled are lists, never pairs."""
+    load = lambda df, to: df.groupBy(*CELL).agg(F.sum(F.size("ids")).cast("double").alias(to))
+    with scratch() as keep:
+        loads = keep(written(load(a, "_x").join(load(b, "_y"), CELL), "cell-loads"))
+    share = max(WHOLE, (loads.agg(F.sum(F.col("_x") * F.col("_y"))).first()[0] or 0) / (PIECES * n))
+    pieces = F.ceil(F.col("_x") * F.col("_y") / share)
+    own = F.least(pieces, F.greatest(F.lit(1), F.ceil(F.sqrt(pieces * F.col("_x") / F.col("_y")))))
+    cut = F.broadcast(loads.where(F.col("_x") * F.col("_y") > share).select(*CELL, own.cast("int").alias("_as"), F.ceil(pieces / own).cast("int").alias("_bs")))
+
+    def side(df: DataFrame, one: str, other: str) -> DataFrame:
+        slices = lambda c: F.coalesce(f"{c}s", F.lit(1))
+        df = df.join(cut, CELL, "left").withColumn(one, F.pmod(F.xxhash64("_n", *[c for c in df.columns if c not in (*CELL, "_n", "ids")]), slices(one)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), slices(other) - 1))).drop("_as", "_bs", "_n").repartition(n, *CELL, "_a", "_b")
+
+    return side(a, "_a", "_b"), side(b, "_b", "_a")
 
 
 def rect_parents(rects: DataFrame) -> DataFrame:
@@ -119,15 +143,16 @@ def rect_parents(rects: DataFrame) -> DataFrame:
 
 
 def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
-    """points(graph_id, node_id, cx, cy) -> (graph_id, node_id, zone_id) for each rectangle that holds the point, edges included. Equal points and equal rectangles are compared once; the result lists their pairs."""
+    """points(graph_id, node_id, cx, cy) -> (graph_id, node_id, zone_id) for each rectangle that holds the point, edges included. Equal points and equal rectangles are compared once; the result lists their pairs, which
+    are made after the last shuffle."""
     cells = grid(rects)
+    n = int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch() as keep:
         placed = in_cells(keep(together(rects, SHAPE, "id")), cells)
-        p, r = at_cell(keep(together(points, ["graph_id", "cx", "cy"], "node_id")), cells, F.col("cx"), F.col("cy"), levels_of(placed)).alias("p"), placed.alias("r")
-    found = p.join(r, _same_cell("p", "r") & holds_point("r", F.col("p.cx"), F.col("p.cy")))
-    # a few rows here are many in the result, so they are dealt out evenly first
-    n = int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.select(F.col("p.graph_id").alias("graph_id"), F.col("p.ids").alias("_p"), F.col("r.ids").alias("_r")).repartition(n)
+        p = at_cell(keep(together(points, ["graph_id", "cx", "cy"], "node_id")), cells, F.col("cx"), F.col("cy"), levels_of(placed))
+    p, r = (x.alias(c) for x, c in zip(dealt(p, placed, n), "pr", strict=True))
+    found = p.join(r, _same_cell("p", "r", ("_a", "_b")) & holds_point("r", F.col("p.cx"), F.col("p.cy")))
+    found = found.select(F.col("p.graph_id").alias("graph_id"), F.col("p.ids").alias("_p"), F.col("r.ids").alias("_r"))
     found = found.select("graph_id", F.explode("_p").alias("_p"), "_r")
     return found.select("graph_id", F.col("_p._one").alias("node_id"), F.explode("_r").alias("_z")).select("graph_id", "node_id", F.col("_z._one").alias("zone_id"))
 
